@@ -1,12 +1,14 @@
 """Queries of the training-data operators, and DuckDB SQL where it can express them."""
 
-from dutymark.llm import chat, classifier, mixing, pii, quality_rules
+from dutymark.llm import chat, classifier, decontaminate, jaccard, mixing, pii, quality_rules
 
 QUERIES = {
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_pii": pii.op7_pii,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_quality_classifier": classifier.op9_quality_classifier,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLE_SQL = {"op5_mixing": mixing.OP5_SQL, "op8_chat_formatting": chat.OP8_SQL}
