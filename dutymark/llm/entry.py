@@ -1,8 +1,10 @@
 """Queries of the training-data operators, and DuckDB SQL where it can express them."""
 
-from dutymark.llm import chat, classifier, decontaminate, jaccard, mixing, pii, quality_rules
+from dutymark.llm import chat, classifier, decontaminate, jaccard, mixing, pii, quality_rules, substrings, warc
 
 QUERIES = {
+    "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op1_warc": warc.op1_warc,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
@@ -11,4 +13,4 @@ QUERIES = {
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
-ORACLE_SQL = {"op5_mixing": mixing.OP5_SQL, "op8_chat_formatting": chat.OP8_SQL}
+ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op5_mixing": mixing.OP5_SQL, "op8_chat_formatting": chat.OP8_SQL}
