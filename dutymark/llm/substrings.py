@@ -174,7 +174,7 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(row_key("doc_id", "text").alias("rid"), F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
     counts = source.select("text").mapInArrow(_anchors, "a long").groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bit = F.col("a").bitwiseAND(2**BITS - 1) + 1
+    bit = F.col("a").bitwiseAND(F.lit(2**BITS - 1)) + 1
     cells = counts.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     bitmap = np.zeros(2**BITS // 8, np.uint8)
     for r in cells.toLocalIterator():  # 4 KB a row, 2**BITS bits at most, whatever the input
@@ -225,7 +225,7 @@ def remove_duplicates(docs: DataFrame) -> DataFrame:
     source = docs.select(row_key("doc_id", "text").alias("rid"), "doc_id", F.col("text").cast("binary").alias("text"))
     joined = source.join(runs, "rid", "left").select("doc_id", "text", "runs")
     out = joined.mapInArrow(_strip, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept binary")
-    return out.withColumn("kept", F.decode("kept", F.lit("UTF-8")))
+    return out.withColumn("kept", F.decode("kept", "UTF-8"))
 
 
 def remove_reference_spans(docs: DataFrame, reference: DataFrame, min_words: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -267,7 +267,7 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, min_words: int
     runs = both.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     joined = source.join(runs, "rid", "left").select("doc_id", "text", "runs")
     out = joined.mapInArrow(_strip, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept binary")
-    return out.withColumn("kept", F.decode("kept", F.lit("UTF-8")))
+    return out.withColumn("kept", F.decode("kept", "UTF-8"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
