@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and DuckDB SQL where it can express them."""
 
-from dutymark.llm import chat, classifier, decontaminate, jaccard, mixing, pii, quality_rules, substrings, warc
+from dutymark.llm import chat, classifier, decontaminate, jaccard, lm_score, mixing, pii, quality_rules, substrings, warc
 
 QUERIES = {
+    "op3_lm_scoring": lm_score.op3_lm_scoring,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op1_warc": warc.op1_warc,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
