@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from dutymark.llm.common import table
 
 #: Words per seed, share of an item's n-grams that seed and how many at least, score from which a document counts as a copy.
-SEED, RARE_SHARE, LEAST_SEEDS, MIN_SCORE = 4, 0.5, 8, 0.5
-#: Characters of items in a block: at most 50,000 words, so that four word numbers fit in 63 bits.
+SEED, RARE_SHARE, LEAST_SEEDS, MIN_SCORE = 3, 0.5, 8, 0.45
+#: Characters of items in a block: at most 50,000 words, so that SEED word numbers fit in 63 bits.
 BLOCK_CHARS = 100_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 
@@ -153,7 +153,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SC
     """(doc_id, item_id, score, first_word, end_word, seeds) for each document and item that align.
 
     score is the alignment's score over that of the whole item. One row per input row and item: repeated rows
-    repeat. Null or empty texts and items, and items under four words, match nothing; ids may be null.
+    repeat. Null or empty texts and items, and items under SEED words, match nothing; ids may be null.
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")

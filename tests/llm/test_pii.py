@@ -1,0 +1,72 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from dutymark.llm.pii import entities, find_personal_data, luhn, mod97, redact, redacted
+from tests.llm.cases import awkward_docs, no_docs
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def base_spans(text):
+    return [(e["kind"], e["start"], e["end"]) for e in entities(text) if e["kind"] in PLAIN]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a.@-+1 4(0)2%_é\n", max_size=60))
+def test_base_spans_equal_plain_patterns(text):
+    assert base_spans(text) == plain_spans(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "1.2.3.4", "256.1.1.1", "0000000001.2.3.4", "a@b.c", "a@b", "@b.c", "+1 (319) 555-5132", ".5", " ", "9", "a.b@c.d.e@f.g", "00000000000000000000300.1.1.1"]), max_size=8))
+def test_base_spans_equal_plain_patterns_on_near_misses(parts):
+    text = "".join(parts)
+    assert base_spans(text) == plain_spans(text)
+
+
+def test_checksums():
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+    assert mod97("GB82WEST12345698765432") and not mod97("GB82WEST12345698765431")
+
+
+def test_context_decides_on_weak_spans():
+    assert [e["kind"] for e in entities("my social security number is 123-45-6789 ok")] == ["national_id"]
+    assert entities("part 123-45-6789 of the list") == []
+    assert [e["kind"] for e in entities("pay to iban GB82 WEST 1234 5698 7654 32 now")] == ["iban"]
+
+
+def test_redaction_of_overlaps():
+    text = "a@b.co +1 (319) 555-5132"
+    assert redacted(text, entities(text)) == "[EMAIL] [PHONE]"
+    assert redacted("abc", [{"kind": "x", "start": 0, "end": 2}, {"kind": "y", "start": 1, "end": 3}]) == "[X]"
+
+
+def test_awkward_rows(spark):
+    docs = awkward_docs(spark)
+    rows = find_personal_data(docs).collect()
+    assert len(rows) == docs.count()
+    found = next(r for r in rows if r["doc_id"] == 10)["entities"]
+    assert {e["kind"] for e in found} >= {"email", "phone", "card", "ip"}
+    assert all(not r["entities"] for r in rows if r["doc_id"] in (3, 4, 5))
+    clean = redact(docs)
+    assert clean.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in clean.collect()}[10] == "mail [EMAIL] or call [PHONE], card [CARD], host [IP]"
+    assert find_personal_data(no_docs(spark)).count() == 0 and redact(no_docs(spark)).count() == 0
