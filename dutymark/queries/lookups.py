@@ -17,14 +17,14 @@ CANON = lambda x: f"case when len({DIG(x)}) = 0 then '' when len({DIG(x)}) >= 8
 CHAPTER = lambda c: f"cast({list(map(float, fixed.CHAPTER_RATES))}[try_cast({c}[1:2] as int)] as double)"
 
 
-@query("f1_search_tariff", "v_tariff", "select hsn_code, description, gst_rate, category from v_tariff where description ilike '%steel%' and abs(gst_rate - 18) < 0.01 and category ilike '%economy%'")
+@query("f1_search_tariff", "v_tariff", "select hsn_code, description, gst_rate, category from v_tariff where description ilike '%plate%' and abs(gst_rate - 18) < 0.01 and category ilike '%promo%'")
 def _(t):
-    return L.search_tariff(t, "steel", 18.0, "economy")
+    return L.search_tariff(t, "plate", 18.0, "promo")
 
 
-@query("f2_filter_candidates", "v_tariff", "select hsn_code, description, gst_rate, category, score from (select *, len(description) / 64.0 as score from v_tariff) where score >= 0.3 and upper(category) in ('STANDARD ANODIZED TIN', 'PROMO BURNISHED COPPER') and abs(gst_rate - 12) < 0.01")
+@query("f2_filter_candidates", "v_tariff", "select hsn_code, description, gst_rate, category, score from (select *, len(description) / 64.0 as score from v_tariff) where score >= 0.3 and upper(category) in ('ECONOMY', 'PROMO') and abs(gst_rate - 12) < 0.01")
 def _(t):
-    return L.filter_candidates(t.withColumn("score", F.length("description") / 64.0), 0.3, ["standard anodized tin", "Promo Burnished Copper"], 12.0)
+    return L.filter_candidates(t.withColumn("score", F.length("description") / 64.0), 0.3, ["economy", "Promo"], 12.0)
 
 
 @query("f4_match_code", "v_codes v_tariff", f"select c.id as query_id, t.* from (select id, {CANON('code')} as hsn from v_codes) c join v_tariff t on c.hsn = t.hsn_code where hsn <> ''")
@@ -34,14 +34,14 @@ def _(c, t):
 
 @query("f5_match_code_prefix", "v_codes v_tariff", f"""with q as (select id as query_id, {DIG('code')} as p from v_codes), o as (select hsn_code, min(description) as description from v_tariff group by 1),
 h as (select query_id, hsn_code, description, greatest(0.45, round(1 - 0.05 * (len(hsn_code) - len(p)), 4)) as score from q join o on starts_with(hsn_code, p) where len(p) between 2 and 8)
-select *, cast(row_number() over (partition by query_id order by score desc, hsn_code) as int) as rank from h qualify rank <= 5""")
+select query_id, hsn_code, description, cast(score as double) as score, cast(row_number() over (partition by query_id order by score desc, hsn_code) as int) as rank from h qualify rank <= 5""")
 def _(c, t):
     return L.match_code_prefix(as_queries(c, "id", "code"), t, 5)
 
 
 @query("f6_match_embedded_code", "v_tariff v_text", """with q as (select id as query_id, regexp_extract(text || ' ' || lpad(cast(1 + id % 97 as varchar), 2, '0') || lpad(cast(1 + id % 50 as varchar), 2, '0') || ' end', '\\b(\\d{4,8})\\b', 1) as p from v_text), o as (select hsn_code, min(description) as d from v_tariff group by 1),
 h as (select query_id, hsn_code, cast(row_number() over (partition by query_id order by hsn_code) as int) as rank from q join o on starts_with(hsn_code, p) where p <> '')
-select query_id, hsn_code, greatest(0.72, round(0.98 - 0.08 * (rank - 1), 4)) as score, rank from h where rank <= 4""")
+select query_id, hsn_code, cast(greatest(0.72, round(0.98 - 0.08 * (rank - 1), 4)) as double) as score, rank from h where rank <= 4""")
 def _(t, x):
     q = x.selectExpr("id as query_id", "text || ' ' || lpad(cast(1 + id % 97 as string), 2, '0') || lpad(cast(1 + id % 50 as string), 2, '0') || ' end' as text")
     return L.match_embedded_code(q, t, 4)
@@ -148,12 +148,12 @@ def _(q, c):
 
 
 @query("j8_brand_guard", "v_queries", f"""with q as (select row_id, case row_id % 4 when 0 then 'oil' when 1 then 'vellam podi' when 2 then upper(query) else 'TV set' end as t from v_queries)
-select row_id, t as text, (t = 'oil') or t = 'vellam podi' as skip, case when len(coalesce(list_filter(string_split({NO_SIZE('t')}, ' '), lambda w: len(w) >= 2 and not list_contains({listed([s.upper() for s in fixed.STOPWORDS])}, w))[1], '')) < 4 then 0.75 else 0.55 end as floor from q""")
+select row_id, t as text, (t = 'oil') or t = 'vellam podi' as skip, case when len(coalesce(list_filter(string_split({NO_SIZE('t')}, ' '), lambda w: len(w) >= 2 and not list_contains({listed([s.upper() for s in fixed.STOPWORDS])}, w))[1], '')) < 4 then cast(0.75 as double) else 0.55::double end as floor from q""")
 def _(q):
     return L.brand_guard(q.selectExpr("row_id", "case row_id % 4 when 0 then 'oil' when 1 then 'vellam podi' when 2 then upper(query) else 'TV set' end as text"), ["oil", "rice", "salt"])
 
 
-WORDS = (("almond", "08021200", 5), ("antique", "97060000", 3), ("blush", "33049910", 9), ("almond antique", "94036000", 1), ("steel", "72107000", 2))
+WORDS = (("blue", "08021200", 5), ("anvil", "97060000", 3), ("ring", "33049910", 9), ("blue anvil", "94036000", 1), ("plate", "72107000", 2))
 WORD_ROWS = ", ".join(f"('{k}', '{c}', {p})" for k, c, p in WORDS)
 
 
@@ -163,7 +163,7 @@ def _(q):
     return L.match_keyword(as_queries(q), q.sparkSession.createDataFrame(list(WORDS), "keyword string, code string, priority int"))
 
 
-HINTED = ("antique", "blush", "almond")
+HINTED = ("anvil", "ring", "blue")
 
 
 @query("j10_match_category_keyword", "v_queries v_catalog", f"""with k as (select unnest({listed(HINTED)}) as keyword), n as (select keyword, {CANON('raw_code')} as code, count(*) as n from v_catalog join k on contains(lower(description), keyword) group by 1, 2), m as (select keyword, code from n qualify row_number() over (partition by keyword order by n desc, code) = 1),
@@ -225,12 +225,12 @@ def _(q, a, t):
 
 
 @query("j19_match_regional_alias", "v_queries v_alias", f"""with q as (select row_id as query_id, {squeeze('lower(query)')} as p from v_queries)
-select query_id, alias, code from q join v_alias on starts_with(p, alias) or (len(alias) >= 10 and starts_with(p, alias[1:8])) where p not in ('almond') and len(p) >= 3 and len(alias) >= 3 qualify row_number() over (partition by query_id order by p = alias desc, len(alias) desc, alias) = 1""")
+select query_id, alias, code from q join v_alias on starts_with(p, alias) or (len(alias) >= 10 and starts_with(p, alias[1:8])) where p not in ('blue') and len(p) >= 3 and len(alias) >= 3 qualify row_number() over (partition by query_id order by p = alias desc, len(alias) desc, alias) = 1""")
 def _(q, a):
-    return L.match_regional_alias(as_queries(q), a, ["almond"])
+    return L.match_regional_alias(as_queries(q), a, ["blue"])
 
 
-FOOD = (("almond", "almond antique"), ("almond azure", "azure almond"), ("blush", "blush"))
+FOOD = (("blue", "blue anvil"), ("hot gear", "gear hot"), ("ring", "ring"))
 FOOD_ROWS = ", ".join(f"('{h}', '{w}')" for h, w in FOOD)
 
 

@@ -244,7 +244,7 @@ def _(t):
     return t.select("doc_id", text.normalize_term(F.substring_index("text", "\n", 1)).alias("term"))
 
 
-RULES = {"material": (("steel|iron", "metal"), ("linen|cotton", "textile"), ("glass", "glass")), "region": (("rose|blush", "red"), ("azure|navy", "blue")), "hint": (("steel", "73"), ("glass", "70"))}
+RULES = {"material": (("bolt|plate", "metal"), ("ring|rod", "textile"), ("gear", "gear")), "region": (("red|hot", "red"), ("blue|cold", "blue")), "hint": (("plate", "73"), ("widget", "70"))}
 
 
 @query("t19_entities", "part", "select p_partkey as id, " + ", ".join("case " + " ".join(f"when regexp_matches(lower(p_name || ' ' || p_type), '{p}') then '{v}'" for p, v in pairs) + f" end as {kind}" for kind, pairs in RULES.items()) + " from part")
@@ -280,7 +280,7 @@ def _(t):
     return t.select("event_id", text.scaled_confidence(C("confidence") / 128.0, named).alias("scaled"))
 
 
-PHRASES = {"almond antique": "nut", "almond": "badam", "antique": "old", "blush chiffon azure": "veil", "vellam podi": "jaggery powder", "podi": "powder", "tata tea": "tea"}
+PHRASES = {"blue anvil": "nut", "blue": "badam", "anvil": "old", "small red bolt": "veil", "vellam podi": "jaggery powder", "podi": "powder", "tata tea": "tea"}
 
 
 @query("t26_replace_phrases", "v_text", f"""with recursive p as (select id, string_split({squeeze('lower(text)')}, ' ') as w from v_text), m as (select {sql_map(PHRASES)} as m),
@@ -297,7 +297,7 @@ def _(t):
     return t.select("id", codes.clean_category(C("category")).alias("category"))
 
 
-LEADS = ("almond", "almond antique", "blush", "tata")
+LEADS = ("blue", "blue anvil", "ring", "tata")
 
 
 @query("t28_strip_brand_prefix", "v_text", f"select id, trim(regexp_replace(upper(text), '^({'|'.join(b.upper() for b in sorted(LEADS, key=len, reverse=True))})\\b\\s*', '')) as rest from v_text")
