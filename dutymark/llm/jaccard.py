@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from dutymark.llm.common import row_key, saved, table
 from dutymark.llm.components import components
-from dutymark.llm.textscan import WordHashes, window_hashes
+from dutymark.llm.textscan import window_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 20 bands of 4: a pair at 0.8 shares none with probability 3e-5.
@@ -48,12 +48,10 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> tuple[int,
     return tuple(out)
 
 
-def shingles(data: bytes, seen: WordHashes) -> np.ndarray:
+def shingles(data: bytes) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; under five words all words make one shingle, no word none."""
-    words = data.split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(seen.of(words), min(SHINGLE, len(words))))
+    words = word_hashes(data)[0]
+    return np.unique(window_hashes(words, min(SHINGLE, len(words)))) if len(words) else words
 
 
 def minima(own: np.ndarray) -> np.ndarray:
@@ -77,11 +75,10 @@ def window_rows(x: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes()
     for b in batches:
         gids, rows = [], []
         for gid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = shingles(text or b"", seen)
+            own = shingles(text or b"")
             if len(own):
                 gids.append(gid)
                 rows.append(bands_of(minima(own)).view(np.int64))
@@ -89,9 +86,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes()
     for b in batches:
-        own = [shingles(t or b"", seen) for t in b.column("text").to_pylist()]
+        own = [shingles(t or b"") for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column(c) for c in ("gid", "group", "blocks", "block", "copies")] + [pa.array([s.tobytes() for s in own], pa.binary()), pa.array([minima(s).tobytes() for s in own], pa.binary())],
             ["gid", "group", "blocks", "block", "copies", "shingles", "signature"],

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dutymark.llm.common import row_key, saved, table
-from dutymark.llm.textscan import WordHashes, window_hashes
+from dutymark.llm.textscan import window_hashes, word_hashes
 
 #: Words of a window and of an anchor; log2 of the bitmap's bits; distinct runs of an anchor beyond which it is dealt by window.
 WINDOW, ANCHOR, BITS, COMMON = 20, 7, 27, 256
@@ -105,9 +105,8 @@ def anchor_runs(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes()
     for b in batches:
-        found = [anchor_runs(seen.of((t or b"").split()))[0] for t in b.column(0).to_pylist()]
+        found = [anchor_runs(word_hashes(t or b"")[0])[0] for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], ["a"])
 
 
@@ -116,18 +115,19 @@ def _runs(bitmap_b):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = bitmap_b.value
-        seen = WordHashes()
         names = ["a", "c", "doc", "rid", "start", "n", "words"]
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 out: list[list] = [[] for _ in names]
                 for rid, doc, text in zip(*(b.column(k).slice(at, 500).to_pylist() for k in range(3)), strict=True):
-                    words = (text or b"").split()
-                    a, start, n = anchor_runs(seen.of(words))
+                    data = text or b""
+                    hashes, first, end = word_hashes(data)
+                    a, start, n = anchor_runs(hashes)
                     bit = a.view(np.uint64) & np.uint64(2**BITS - 1)
                     hit = np.flatnonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
-                    for k, s, m in zip(a[hit].tolist(), start[hit].tolist(), n[hit].tolist(), strict=True):
-                        run = b" ".join(words[s : s + m + WINDOW - 1])
+                    a, start, n = a[hit], start[hit], n[hit]
+                    for k, s, m, low, high in zip(*(x.tolist() for x in (a, start, n, first[start], end[start + n + WINDOW - 2])), strict=True):
+                        run = b" ".join(data[low:high].split())
                         for column, x in zip(out, (k, int.from_bytes(xxhash.xxh3_64_digest(run), "big", signed=True), doc, rid, s, m, run), strict=True):
                             column.append(x)
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
@@ -201,17 +201,20 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for text, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            words = (text or b"").split()
-            gone = 0
-            kept = words
-            if runs:
-                mask = covered(len(words), np.array([r["start"] for r in runs]), np.array([r["n"] + WINDOW - 1 for r in runs]))
-                kept = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
-                gone = int(mask.sum())
-            rows.append((len(words), gone, b" ".join(kept)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+        for at in range(0, b.num_rows, 200):
+            rows = []
+            for text, runs in zip(b.column(1).slice(at, 200), b.column(2).slice(at, 200), strict=True):
+                words = (text.as_py() or b"").split()
+                gone = 0
+                kept = words
+                if runs.is_valid and len(runs.values):
+                    start, n = (runs.values.field(k).to_numpy() for k in (0, 1))
+                    mask = covered(len(words), start, n + WINDOW - 1)
+                    kept = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
+                    gone = int(mask.sum())
+                rows.append((len(words), gone, b" ".join(kept)))
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 200), *columns], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def remove_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Numpy helpers on words of one text: hashes, shingles, minima."""
+"""Numpy helpers on words of one text."""
 
 from __future__ import annotations
 
@@ -25,6 +25,35 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+_BASE = 0x9E6C63D0876A9A47  # odd, so that it has an inverse modulo 2**64
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE ** i and _BASE ** -i modulo 2**64 for i < n or more."""
+    while len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            old = _powers[k]
+            _powers[k] = np.concatenate([old, old * np.uint64(pow(base, len(old), 2**64))])
+    return _powers[0], _powers[1]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, first byte, end byte) of each word of a text, without a Python object per word.
+
+    The hash is a polynomial of the word's bytes, read off running sums over the text, then mixed.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[True], _BLANK[raw], [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = _powers_to(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts]), starts, ends
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX1
     x = (x ^ (x >> np.uint64(27))) * MIX2
