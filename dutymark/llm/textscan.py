@@ -3,28 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word seen, emptied when it holds too many."""
-
-    def __init__(self, limit: int = 400_000) -> None:
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\x0b\x0c\r")] = True
 _BASE = 0x9E6C63D0876A9A47  # odd, so that it has an inverse modulo 2**64
