@@ -82,7 +82,7 @@ TRADE_WORDS = {"btrm": "bathroom", "clnr": "cleaner", "shmp": "shampoo", "conc":
 SYNONYMS = {"jaggery": ("gur", "vellam"), "rice": ("paddy", "matta"), "soap": ("detergent", "toilet"), "oil": ("gingelly", "fat"), "shoe": ("footwear", "chappal"), "tea": ("chai",)}
 
 # Rates of category rules (rule number, keyword, allowed chapters).
-CATEGORY_RULES = ((1, "azure", ("73", "74")), (2, "almond", ("08", "20")), (3, "blush", ("33",)), (4, "chiffon", ("54", "58")), (5, "steel", ("72", "73")))
+CATEGORY_RULES = ((1, "gear", ("84", "87")), (2, "anvil", ("82",)), (3, "ring", ("71", "73")), (4, "rod", ("72", "95")), (5, "plate", ("69", "72")))
 
 # Lists of source weights.
 SOURCE_PRIORITY = {"verified_exact": 1.0, "correct_datas": 0.9, "product_batch": 0.8, "hsn_codes": 0.5}

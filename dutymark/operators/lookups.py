@@ -283,3 +283,13 @@ def token_contains(queries: DataFrame, reference: DataFrame, key: str = "id") ->
     pairs = words.select("word", F.substring("word", 1, 3).alias("k3")).distinct().join(starts, "k3").filter(F.contains("d", "word")).select("word", "d").distinct()
     hits = words.join(pairs, "word").groupBy("query_id", "d").agg(F.count(F.lit(1)).alias("n"))
     return hits.join(n, "query_id").join(pieces, "d").select("query_id", key, (C("n") / C("words")).alias("coverage"))
+
+
+def match_words(queries: DataFrame, reference: DataFrame, mode: str, k: int, key: str = "id") -> DataFrame:
+    """(query_id, key, rank): rows whose text holds all words of the query, its longest 60 % ("most"), or its longest one ("one")."""
+    words = F.array_sort(F.array_distinct(F.filter(text.tokenize(C("text")), lambda w: F.length(w) >= 3)), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    take = {"all": F.size("w"), "most": F.ceil(F.size("w") * 0.6).cast("int"), "one": F.least(F.size("w"), F.lit(1))}[mode]
+    asked = queries.select("query_id", words.alias("w")).filter("size(w) > 0").select("query_id", F.slice("w", F.lit(1), take).alias("w"))
+    asked = asked.select("query_id", F.array_join("w", " ").alias("text"))
+    hits = token_contains(asked, reference, key).filter("coverage = 1.0")
+    return top_per(hits.join(reference.select(key, F.length("description").alias("size")), key), "query_id", k, "size", key).select("query_id", key, "rank")

@@ -121,33 +121,67 @@ def fts_search(queries: DataFrame, reference: DataFrame, weights: dict[str, floa
     return top_per(found.withColumn("score", F.round(C("s") / (1 + C("s")), 9)), "query_id", k, F.desc("score"), key).select("query_id", key, "score", "rank")
 
 
-def token_set_topk(queries: DataFrame, names: DataFrame, k: int, cutoff: float = 60.0) -> DataFrame:
-    """(query_id, id, ratio, rank): share of common words, softened by letters, 0 to 100. Pairs share their rarest words first.
+def _ratios(batches):
+    """Share of common words, softened by letters, 0 to 100, for columns a and b."""
+    import difflib
+
+    for batch in batches:
+        out = []
+        for a, c in zip(batch["a"], batch["b"], strict=True):
+            x, y = set(a.split()), set(c.split())
+            both = " ".join(sorted(x & y))
+            one, two = (" ".join([both, *sorted(s)]).strip() for s in (x - y, y - x))
+            out.append(100 * max(difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() if p and q else 0.0 for p, q in ((both, one), (both, two), (one, two))))
+        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "ratio": np.round(out, 4)})
 
-    Blocking: distinct texts meet on a shared word; the ratio is computed in Arrow batches.
-    """
 
-    def ratio(batches):
-        import difflib
+def token_set_ratios(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) plus ratio, computed in Arrow batches."""
+    return pairs.select("a", "b").distinct().mapInPandas(_ratios, "a string, b string, ratio double")
 
-        for b in batches:
-            out = []
-            for a, c in zip(b["a"], b["b"], strict=True):
-                x, y = set(a.split()), set(c.split())
-                both = " ".join(sorted(x & y))
-                one, two = (" ".join([both, *sorted(s)]).strip() for s in (x - y, y - x))
-                out.append(100 * max(difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() if p and q else 0.0 for p, q in ((both, one), (both, two), (one, two))))
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "ratio": np.round(out, 4)})
 
+def token_set_topk(queries: DataFrame, names: DataFrame, k: int, cutoff: float = 60.0) -> DataFrame:
+    """(query_id, id, ratio, rank): the best token-set ratios. Distinct texts meet on a shared word."""
     q = queries.select("query_id", text.squeeze(F.lower("text")).alias("a"))
     n = names.select("id", text.squeeze(F.lower("description")).alias("b"))
     words = lambda df, c: df.select(c).distinct().select(c, F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))).alias("w"))
-    pairs = words(q, "a").join(words(n, "b"), "w").select("a", "b").distinct().mapInPandas(ratio, "a string, b string, ratio double").filter(C("ratio") >= cutoff)
+    pairs = token_set_ratios(words(q, "a").join(words(n, "b"), "w")).filter(C("ratio") >= cutoff)
     first = n.groupBy("b").agg(F.min("id").alias("id"))
     best = top_per(pairs.join(first, "b"), "a", k, F.desc("ratio"), "id")
     return q.join(best, "a").select("query_id", "id", "ratio", "rank")
 
 
+def match_brand_type(queries: DataFrame, catalog: DataFrame, floor: float = 0.35) -> DataFrame:
+    """(query_id, id, score): same first word; 0.6 of the share of type words found and 0.4 of the token-set ratio."""
+    q = queries.select("query_id", text.squeeze(F.lower("text")).alias("a")).withColumn("head", F.substring_index("a", " ", 1))
+    c = catalog.groupBy(text.squeeze(F.lower("description")).alias("b")).agg(F.min("id").alias("id")).withColumn("head", F.substring_index("b", " ", 1))
+    pairs = q.select("a", "head").distinct().join(c, "head").select("a", "b", "id")
+    kinds = F.array_remove(F.array_distinct(text.tokenize(C("a"))), F.substring_index("a", " ", 1))
+    share = F.size(F.filter(kinds, lambda w: F.contains("b", w))) / F.greatest(F.size(kinds), F.lit(1))
+    scored = pairs.join(token_set_ratios(pairs), ["a", "b"]).withColumn("score", F.round(0.6 * share + 0.4 * C("ratio") / 100, 6)).filter(C("score") >= floor)
+    return q.join(first_per(scored, "a", F.desc("score"), "id"), "a").select("query_id", "id", "score")
+
+
+def match_extracted_keyword(queries: DataFrame, goods: DataFrame, min_sim: float = 0.25) -> DataFrame:
+    """(query_id, id, similarity, confidence): the product words of the text against curated rows; 82, 75, 68 or 60 by similarity."""
+    opened = queries.select("query_id", text.expand_pos(text.fix_typos(C("text"))).alias("text")).persist()  # computed once; inlined, the nested text functions would multiply
+    words = opened.select("query_id", F.array_join(text.product_keywords(C("text")), " ").alias("text")).filter("text <> ''")
+    best = trgm_topk(words, goods, min_sim, 1)
+    s = C("similarity")
+    return best.select("query_id", "id", "similarity", F.when(s >= 0.7, 82).when(s >= 0.5, 75).when(s >= 0.35, 68).otherwise(60).alias("confidence"))
+
+
+def expansions(queries: DataFrame, aliases: DataFrame, synonyms: dict = fixed.SYNONYMS, per_word: int = 4, most: int = 12, hints: int = 8) -> DataFrame:
+    """(query_id, expanded, codes): up to `per_word` English terms of each word's exact aliases and 3 synonyms, `most` in all; codes of the aliases."""
+    words = queries.select("query_id", F.posexplode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("pos", "word"))
+    known = top_per(aliases, "term", per_word, F.desc("weight"), "english", rank="r").select(C("term").alias("word"), "english", "code", "r")
+    others = text.expand_synonyms(F.array("word"), synonyms)
+    more = words.select("query_id", "pos", F.posexplode(F.slice(others, 2, 3)).alias("r", "english")).select("query_id", "pos", (C("r") + 100).alias("r"), "english", F.lit(None).cast("string").alias("code"))
+    every = words.join(known, "word").select("query_id", "pos", "r", "english", "code").unionByName(more)
+    g = every.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "r", "english", "code"))).alias("o"))
+    return g.select("query_id", F.slice(F.array_distinct(C("o.english")), 1, most).alias("expanded"), F.slice(F.array_distinct(F.array_compact(C("o.code"))), 1, hints).alias("codes"))
+
+
 #: Rows of the query side of a vector search that are broadcast at once.
 VECTOR_BLOCK = 2_000
 

@@ -65,7 +65,7 @@ def staged(queries: DataFrame, tiers: list) -> DataFrame:
     """Candidates of all tiers, each run only on queries that no earlier one settled. tiers: functions of a queries frame."""
     left, out = queries, None
     for tier in tiers:
-        found = tier(left)
+        found = tier(left).persist()  # read for the result and for what is left
         out = found if out is None else out.unionByName(found)
         settled = found.filter((C("confidence") >= ACCEPT) & ~C("review")).select("query_id").distinct()
         left = left.join(settled, "query_id", "left_anti")
@@ -126,7 +126,7 @@ def match_query(queries: DataFrame, tariff: DataFrame, k: int = 5) -> DataFrame:
     ]
     left, out = queries, None
     for n, step in enumerate(steps, 1):
-        found = step(left).withColumn("step", F.lit(n))
+        found = step(left).withColumn("step", F.lit(n)).persist()  # read for the result and for what is left
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
     return L.top_per(out, "query_id", k, F.desc("score"), "hsn_code")
@@ -154,6 +154,7 @@ def brand_lookup(queries: DataFrame, aliases: DataFrame, catalog: DataFrame, flo
 def multi_search(queries: DataFrame, catalog: DataFrame, tariff: DataFrame, hints: DataFrame, k: int = 5) -> DataFrame:
     """Catalog hits from 0.94 settle a query; the rest is fanned out to words, similarity and prefixes and merged per code."""
     verified = S.match_verified(queries, catalog, k, 0.5).join(catalog.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code")), "id")
+    verified = verified.persist()
     early = verified.filter("score >= 0.94").select("query_id", "hsn_code", F.lit("L6_verified_products").alias("method"), "score")
     left = queries.join(early.select("query_id").distinct(), "query_id", "left_anti")
     one = tariff.groupBy("hsn_code").agg(F.min("description").alias("description"), F.min("category").alias("category"))
@@ -169,3 +170,81 @@ def retry_with_core(queries: DataFrame, matcher, floor: float = 0.35) -> DataFra
     first = best(matcher(queries))
     weak = queries.join(first.filter(C("score") >= floor).select("query_id"), "query_id", "left_anti").select("query_id", text.core_product(C("text")).alias("text")).filter("text <> ''")
     return best(first.unionByName(best(matcher(weak))))
+
+
+def layered_search(queries: DataFrame, catalog: DataFrame, tariff: DataFrame) -> DataFrame:
+    """(query_id, hsn_code, score, layer): exact catalog, similar catalog from 0.35, word search, similar tariff; the first layer with a row wins."""
+    code = catalog.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"))
+    one = tariff.groupBy("hsn_code").agg(F.min("description").alias("description"), F.min("category").alias("category"))
+    layers = [
+        ("exact", lambda q: L.match_exact(q, catalog).select("query_id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"), F.lit(1.0).alias("score"))),
+        ("catalog", lambda q: S.trgm_topk(q, catalog, 0.35, 1, strict=False).join(code, "id").select("query_id", "hsn_code", C("similarity").alias("score"))),
+        ("words", lambda q: S.fts_search(q, one, {"description": 1.0, "category": 0.4}, 1, key="hsn_code").select("query_id", "hsn_code", "score")),
+        ("tariff", lambda q: S.trgm_topk(q, one.withColumnRenamed("hsn_code", "id"), 0.35, 1, strict=False).select("query_id", C("id").alias("hsn_code"), C("similarity").alias("score"))),
+    ]
+    left, out = queries, None
+    for name, layer in layers:
+        found = layer(left).withColumn("layer", F.lit(name)).persist()
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return out
+
+
+def match_regional(queries: DataFrame, aliases: DataFrame, terms: DataFrame, catalog: DataFrame, blocked: list[str]) -> DataFrame:
+    """Candidates by regional alias, expanded text (from 0.45, less 0.03), model code and footwear shape; the first acceptable one."""
+    code = catalog.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"))
+
+    def expanded(q: DataFrame) -> DataFrame:
+        said = S.expand_query(q, terms).select("query_id", C("expanded").alias("text"))
+        near = S.trgm_topk(said, catalog.select("id", F.lower("description").alias("description")), 0.45, 1, strict=False).join(code, "id")
+        return candidates(near, 2, C("hsn_code"), F.round((C("similarity") - 0.03) * 100), "regional_expanded", "fuzzy")
+
+    return resolve_cascade(staged(queries, [
+        lambda q: candidates(L.match_regional_alias(q, aliases, blocked), 1, codes.canonicalize_hsn(C("code")), F.lit(85), "regional_alias", "curated"),
+        expanded,
+        lambda q: candidates(L.match_model_code(q, catalog).join(code, "id"), 3, C("hsn_code"), F.lit(72), "model_code", "fuzzy"),
+        lambda q: candidates(q.withColumn("s", text.parse_footwear(C("text"))).filter("s is not null"), 4, C("s.code"), F.lit(70), "footwear", "fuzzy"),
+    ]))
+
+
+def match_catalog_v3(queries: DataFrame, catalog: DataFrame, tariff: DataFrame) -> DataFrame:
+    """Passes in order: exact text, similar text, opening text, all words, embedded code, word search, part of the words."""
+    code = catalog.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"))
+    one = tariff.groupBy("hsn_code").agg(F.min("description").alias("description"), F.min("category").alias("category"))
+    by_id = lambda df, tier, conf, layer: candidates(df.join(code, "id"), tier, C("hsn_code"), conf, layer, "verified")
+    return resolve_cascade(staged(queries, [
+        lambda q: candidates(L.match_exact(q, catalog), 0, codes.canonicalize_hsn(C("raw_code")), F.lit(96), "exact", "verified"),
+        lambda q: by_id(S.trgm_topk(q, catalog, 0.55, 1), 1, F.round(C("similarity") * 100), "similar"),
+        lambda q: by_id(L.match_prefix(q, catalog, 1), 2, F.lit(80), "prefix"),
+        lambda q: by_id(L.match_words(q, catalog, "all", 1), 3, F.lit(74), "words"),
+        lambda q: candidates(L.match_embedded_code(q, one, 1), 4, C("hsn_code"), F.round(C("score") * 100), "code", "tariff"),
+        lambda q: candidates(S.fts_search(q, one, {"description": 1.0, "category": 0.4}, 1, key="hsn_code"), 5, C("hsn_code"), F.round(C("score") * 90), "search", "tariff"),
+        lambda q: by_id(L.match_words(q, catalog, "most", 1), 6, F.lit(58), "part"),
+    ]))
+
+
+def hybrid_cascade(queries: DataFrame, dataset: DataFrame, k: int) -> DataFrame:
+    """(query_id, hsn_code, score, rank): exact code 1, exact text 0.82 and bare text 0.76 plus the source bonus, else the word score; best of each code.
+
+    dataset: id, hsn_code, description, bonus.
+    """
+    code = queries.select("query_id", codes.canonicalize_hsn(C("text")).alias("hsn_code")).filter("hsn_code <> ''").join(dataset.select("hsn_code").distinct(), "hsn_code").select("query_id", "hsn_code", F.lit(1.0).alias("score"))
+    parts = [code]
+    for make, base in ((text.text_key, 0.82), (text.strip_sizes, 0.76)):
+        refs = dataset.withColumn("key", make(C("description"))).groupBy("key", "hsn_code").agg(F.max("bonus").alias("bonus"))
+        parts.append(queries.select("query_id", make(C("text")).alias("key")).join(refs, "key").select("query_id", "hsn_code", (base + C("bonus")).alias("score")))
+    settled = parts[0].union(parts[1]).union(parts[2]).persist()
+    left = queries.join(settled.select("query_id").distinct(), "query_id", "left_anti")
+    every = settled.union(S.hybrid_match(left, dataset, k).select("query_id", "hsn_code", "score")).groupBy("query_id", "hsn_code").agg(F.round(F.max("score"), 9).alias("score"))
+    return L.top_per(every, "query_id", k, F.desc("score"), "hsn_code")
+
+
+def predict_catalog(queries: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
+    """classify_distinct, then for what it left open: expanded text, brand, layered search, tariff words; the best per query."""
+    first = classify_distinct(queries, refs).select(*COLUMNS).persist()
+    left = queries.join(first.filter(C("confidence") >= ACCEPT).select("query_id"), "query_id", "left_anti")
+    later = staged(left, [
+        lambda q: candidates(S.match_extracted_keyword(q, refs["catalog"]).join(refs["catalog"].select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code")), "id"), 5, C("hsn_code"), C("confidence"), "keyword", "fuzzy"),
+        lambda q: candidates(layered_search(q, refs["catalog"], refs["tariff"]), 6, C("hsn_code"), F.round(C("score") * 100), "layered", "tariff"),
+    ])
+    return resolve_cascade(first.unionByName(later))

@@ -1,3 +1,3 @@
 """Registered queries of the library, by area."""
 
-from dutymark.queries import lookups, master, scalars, similarity  # noqa: F401
+from dutymark.queries import flows, lookups, master, scalars, similarity  # noqa: F401
