@@ -58,6 +58,8 @@ KEY_UNITS = "G|GM|GMS|KG|KGS|ML|L|LTR|LITRE|LITER|PC|PCS|NOS|NO|N|P|IN|MG|OZ|LB"
 PACK_UNITS = "ML|L|LTR|G|GM|KG"
 TOKEN_UNITS = "ml|g|gm|kg|l|ltr|mg|oz|lb|pc|pcs|nos"
 
+SHAPES = (r"\b\d+\s*X\s*\d+\b", r"\b\d+\s*\+\s*\d+\b", r"\b\d+[SNP]\b")
+
 # Words that open a name without meaning.
 LEADING_STOPS = ("THE", "A", "AN", "AND", "WITH", "FOR", "OF", "IN", "AT", "BY")
 

@@ -62,7 +62,10 @@ def strip_noise(c: Column) -> Column:
 def normalize_name(c: Column) -> Column:
     """Search form of a name: abbreviations, noise, brackets, leading stop words. Other scripts only lose blanks."""
     opened = expand_pos(fix_typos(F.trim(F.coalesce(c, F.lit("")))))
-    plain = squeeze(F.regexp_replace(strip_noise(opened), r"[()\[\]{}#@\\|^~`]", " "))
+    plain = F.regexp_replace(strip_noise(opened), r"[()\[\]{}#@\\|^~`]", " ")
+    for shape in fixed.SHAPES:
+        plain = F.regexp_replace(plain, shape, " ")
+    plain = squeeze(plain)
     stops = "|".join(fixed.LEADING_STOPS)
     return F.when(is_plain(F.coalesce(c, F.lit(""))), F.regexp_replace(plain, rf"^(({stops}) )+(?=\S)", "")).otherwise(squeeze(opened))
 

@@ -55,10 +55,10 @@ class VersionedTable:
         self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _current(self) -> dict | None:
-        named = self._at(f"{self.path}/_current")
+        named = self._at(f"{self.path}/current")
         if not self._fs.exists(named):
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/_current").first()[0])
+        return json.loads(self.spark.read.text(f"{self.path}/current").first()[0])
 
     def read(self) -> DataFrame | None:
         now = self._current()
@@ -71,7 +71,7 @@ class VersionedTable:
             return
         version = f"v{batch}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{version}")
-        out = self._fs.create(self._at(f"{self.path}/_current"), True)
+        out = self._fs.create(self._at(f"{self.path}/current"), True)
         try:
             out.write(bytearray(json.dumps({"version": version, "batch": batch}).encode()))
         finally:
