@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-grams of test items seed, Smith-Waterman alignment scores.
+"""Benchmark decontamination: n-grams of test items seed, Smith-Waterman alignment scores.
 
-A first pass counts in how many documents each n-gram of the items occurs; the rarest half of an
-item's n-grams are its seeds. A second pass finds seeds in each document, and aligns the item with
-the words around them. Items are handled in blocks of bounded size, each broadcast; a document
-meets its seeds in its own row, so no text is shuffled.
+One pass finds the n-grams of the items in each document, and aligns the item with the words around
+them. Every n-gram seeds, as an edited copy can have lost any of them. Items are handled in blocks of
+bounded size, each broadcast; a document meets its seeds in its own row, so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 
 from dutymark.llm.common import table
 
-#: Words per seed, share of an item's n-grams that seed and how many at least, score from which a document counts as a copy.
-SEED, RARE_SHARE, LEAST_SEEDS, MIN_SCORE = 3, 0.5, 8, 0.45
+#: Words per seed, score from which a document counts as a copy.
+SEED, MIN_SCORE = 3, 0.45
 #: Characters of items in a block: at most 50,000 words, so that SEED word numbers fit in 63 bits.
 BLOCK_CHARS = 100_000
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -86,15 +85,6 @@ class Block:
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return places, np.repeat(low, count) + offset
 
-    def only(self, frequency: np.ndarray) -> Block:
-        """The block with the seeds alone: by item the rarest n-grams, LEAST_SEEDS at least."""
-        keep = np.zeros(len(self.keys), bool)
-        for i in range(len(self.items)):
-            own = np.flatnonzero(self.owner == i)
-            own = own[np.lexsort((self.place[own], frequency[own]))]
-            keep[own[: max(LEAST_SEEDS, int(np.ceil(RARE_SHARE * len(own))))]] = True
-        return Block(self.ids, self.items, self.vocabulary, self.keys[keep], self.owner[keep], self.place[keep])
-
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     """Best local alignment: (score, end in words). Row by row; the gap along a row is a running maximum."""
@@ -163,24 +153,10 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SC
     for whole in item_blocks(benchmark, block_chars):
         if not len(whole.keys):
             continue
-        whole_b = spark.sparkContext.broadcast(whole)
+        block_b = spark.sparkContext.broadcast(whole)
 
-        def count(batches: Iterator[pa.RecordBatch], whole_b=whole_b) -> Iterator[pa.RecordBatch]:
-            block = whole_b.value
-            total = np.zeros(len(block.keys), np.int64)
-            for b in batches:
-                for text in b.column(0).to_pylist():
-                    total[np.unique(block.hits(block.numbers(text))[1])] += 1
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
-
-        frequency = np.zeros(len(whole.keys), np.int64)
-        for r in source.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            frequency[r["gram"]] = r["n"]
-        seeds_b = spark.sparkContext.broadcast(whole.only(frequency))
-
-        def search(batches: Iterator[pa.RecordBatch], seeds_b=seeds_b) -> Iterator[pa.RecordBatch]:
-            block = seeds_b.value
+        def search(batches: Iterator[pa.RecordBatch], block_b=block_b) -> Iterator[pa.RecordBatch]:
+            block = block_b.value
             for b in batches:
                 rows = [(doc, block.ids[i], *x) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, *x in copies_in(block.numbers(text), block, min_score)]
                 names = ["doc_id", "item_id", "score", "first_word", "end_word", "seeds"]

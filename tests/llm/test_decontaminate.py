@@ -62,6 +62,25 @@ def test_a_copy_in_most_documents_is_still_found(spark):
     assert find_copies(docs, spark.createDataFrame([(1, item, None)], ITEMS)).count() == 50
 
 
+def test_copies_with_many_edited_words_are_found_without_a_whole_copy(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(prose(rng, 40))) for i in range(60)]
+    rows, planted = [], set()
+    for i, text in items:
+        words = text.split()
+        for k in rng.sample(range(40), 6 + i % 5):
+            words[k] = f"edit{k}"
+        score = align(np.array([hash(w) for w in text.split()]), np.array([hash(w) for w in words]))[0] / (MATCH * 40)
+        kept = any(not any(w.startswith("edit") for w in words[k : k + 3]) for k in range(38))
+        if score >= 0.45 and kept:
+            planted.add((i, i))
+        rows.append((i, " ".join(prose(rng, 60) + words + prose(rng, 60))))
+    rows += [(100 + i, " ".join(prose(rng, 150))) for i in range(60)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(planted) >= 50
+    assert planted <= {(r["doc_id"], r["item_id"]) for r in find_copies(docs, bench).collect()}
+
+
 def test_awkward_rows(spark):
     docs = awkward_docs(spark)
     bench = spark.createDataFrame([(1, docs.filter("doc_id = 2").first()["text"], "x"), (1, docs.filter("doc_id = 2").first()["text"], "x"), (2, None, None), (None, "", None), (3, "two words", None)], ITEMS)
