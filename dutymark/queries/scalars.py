@@ -241,7 +241,7 @@ def _(t):
 
 @query("t18_normalize_term", "documents")
 def _(t):
-    return t.select("doc_id", text.normalize_term(F.substring_index("text", "\n", 1)).alias("term"))
+    return t.select("doc_id", text.normalize_term(C("text")).alias("term"))
 
 
 RULES = {"material": (("bolt|plate", "metal"), ("ring|rod", "textile"), ("gear", "gear")), "region": (("red|hot", "red"), ("blue|cold", "blue")), "hint": (("plate", "73"), ("widget", "70"))}

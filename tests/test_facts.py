@@ -37,3 +37,11 @@ def test_texts(spark):
     assert one(spark, text.normalize_name(F.lit("THE SHP BTL 2X200 ML"))) == "SHAMPOO BOTTLE ML"
     assert one(spark, text.detect_language(F.lit("मसाला"))) == "hi" and one(spark, text.detect_language(F.lit("vellam podi"))) == "ml-roman"
     assert one(spark, text.normalize_term(F.lit("café crème"))) == "CAFE CREME"
+
+
+def test_terms_of_all_lines(spark, tmp_path):
+    from dutymark.queries import scalars  # noqa: F401
+    from dutymark.registry import QUERIES
+
+    spark.createDataFrame([(1, "first line\nsecond, line\nCafé"), (2, "one\ntwo")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["term"] for r in QUERIES["t18_normalize_term"](spark, str(tmp_path)).collect()} == {1: "FIRST LINE SECOND LINE CAFE", 2: "ONE TWO"}
