@@ -79,9 +79,12 @@ def union_similarity(queries: DataFrame, catalog: DataFrame, tariff: DataFrame,
 
 def match_curated(queries: DataFrame, goods: DataFrame, min_sim: float = 0.38) -> DataFrame:
     """(query_id, id, similarity, confidence): by scope order, then similarity; confidence 80 above 0.5, else 65 at least."""
-    hits = trgm_topk(queries, goods, min_sim, 50).join(goods.select("id", "scope"), "id")
-    rank = F.when(C("scope") == "exact", 0).when(C("scope") == "heading", 1).otherwise(2)
-    best = first_per(hits, "query_id", rank, F.desc("similarity"), "id")
+    scope = F.when(C("scope") == "exact", 0).when(C("scope") == "heading", 1).otherwise(2)
+    # of rows with one text the first by scope stands for all: their similarity is the same
+    rows = first_per(goods.select(C("description").alias("b"), "id", scope.alias("scope")), "b", "scope", "id")
+    pairs = trgm_pairs(queries.select(C("text").alias("a")), rows, min_sim).filter(C("similarity") > min_sim)
+    hits = pairs.withColumn("similarity", F.round("similarity", 9)).join(rows, "b")
+    best = queries.select("query_id", C("text").alias("a")).join(first_per(hits, "a", "scope", F.desc("similarity"), "id"), "a")
     return best.select("query_id", "id", "similarity", F.when(C("similarity") > 0.5, 80).otherwise(F.greatest(F.lit(65), F.floor(C("similarity") * 100))).cast("int").alias("confidence"))
 
 

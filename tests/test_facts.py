@@ -45,3 +45,11 @@ def test_terms_of_all_lines(spark, tmp_path):
 
     spark.createDataFrame([(1, "first line\nsecond, line\nCafé"), (2, "one\ntwo")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["term"] for r in QUERIES["t18_normalize_term"](spark, str(tmp_path)).collect()} == {1: "FIRST LINE SECOND LINE CAFE", 2: "ONE TWO"}
+
+
+def test_the_best_scope_wins_over_any_number_of_more_similar_rows(spark):
+    from dutymark.operators.similarity import match_curated
+
+    goods = [(i, f"steel anvil blue {chr(97 + i // 26)}{chr(97 + i % 26)}", "chapter") for i in range(80)] + [(80, "steel anvil blue", "chapter"), (99, "steel anvil blue with a long tail", "exact")]
+    out = match_curated(spark.createDataFrame([(1, "steel anvil blue"), (2, "steel anvil blue")], "query_id long, text string"), spark.createDataFrame(goods, "id long, description string, scope string"))
+    assert sorted((r["query_id"], r["id"]) for r in out.collect()) == [(1, 99), (2, 99)]
