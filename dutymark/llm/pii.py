@@ -78,6 +78,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     if "@" in text:
         for s, e in emails(text):
             yield "email", s, e
+    for m in _SECRET.finditer(text):
+        yield "secret", m.start(), m.end()
     if not re.search("[0-9]", text):
         return
     if "." in text:
@@ -96,7 +98,7 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _IBAN.finditer(text):
         if mod97(m[0].replace(" ", "")):
             yield "iban", m.start(), m.end()
-    for kind, pattern in (("local_phone", _LOCAL_PHONE), ("national_id", _NATIONAL), ("secret", _SECRET)):
+    for kind, pattern in (("local_phone", _LOCAL_PHONE), ("national_id", _NATIONAL)):
         for m in pattern.finditer(text):
             yield kind, m.start(), m.end()
 
