@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by smallest labels and pointer jumps."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -8,23 +8,38 @@ from pyspark.sql import functions as F
 from dutymark.llm.common import saved
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges (a, b) of longs -> (node, label), label the smallest node of its component.
+def _edges(a, b, df: DataFrame) -> DataFrame:
+    """Distinct edges of df, smaller node first, without loops."""
+    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
 
-    Each round takes the least label of the neighbours, then the label of the label, and is written to
-    the shared folder. Only the number of changed labels comes to the driver.
+
+def star(df: DataFrame, node: str, hubs: str) -> DataFrame:
+    """Edges (a, b) that connect each node with all of its hubs: one to the least hub, and distinct ones from there to the others."""
+    least = df.groupBy(node).agg(F.min(hubs).alias("low"), F.collect_set(hubs).alias("all"))
+    ends = F.explode(F.concat(F.array(node), "all"))
+    return _edges(F.col("low"), F.col("end"), least.select("low", ends.alias("end")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) of longs -> (node, label), label the smallest node of its component; nodes without an edge to another are left out.
+
+    Each round gives every node the least neighbour, then that one's least neighbour, as its parent, and replaces
+    the edges by distinct ones between parents: they get fewer with each round until none is left. Then the parents of all
+    rounds are followed from the last to the first. Rounds are written to the shared folder; only whether edges are left comes to
+    the driver.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = saved(both, "edges")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b"))
-    least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    labels = saved(nodes.distinct().join(least, "node", "left").select("node", F.least("node", "least").alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("low"))
-        target = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        jumped = saved(lower.join(target, "low").select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") < F.col("label")).alias("changed")), "labels")
-        labels = jumped.select("node", "label")
-        if jumped.filter("changed").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    live = saved(_edges(F.col("a"), F.col("b"), edges), "edges")
+    ups: list[DataFrame] = []
+    while not live.isEmpty():
+        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("parent"))
+        above = near.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
+        ups.append(saved(near.join(above, "parent").select("node", F.col("top").alias("parent")), "parents"))
+        of = lambda side: ups[-1].select(F.col("node").alias(side), F.col("parent").alias(f"{side}_up"))
+        live = saved(_edges(F.col("a_up"), F.col("b_up"), live.join(of("a"), "a").join(of("b"), "b")), "edges")
+    if not ups:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+    label = ups[-1].withColumnRenamed("parent", "label")
+    for up in reversed(ups[:-1]):
+        label = up.join(label.withColumnRenamed("node", "parent"), "parent", "left").select("node", F.coalesce("label", "parent").alias("label"))
+    return label

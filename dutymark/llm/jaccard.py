@@ -1,11 +1,14 @@
 """Similarity join on five-word shingles with Bayesian pruning.
 
 1. Each distinct text gets HASHES minima; BANDS bands of ROWS of them name buckets.
-2. Texts that share a bucket are joined into candidate groups (stars, not pairs).
-3. A group is dealt to blocks; a task compares two blocks: pairs that share a band are compared
+2. A text's home is the most frequent of the buckets that it shares; a home is dealt to blocks of bounded size.
+   Two blocks are compared only if a bucket has texts in both, and only with the texts of such buckets.
+3. A task compares two blocks: pairs that share a band are compared
    STEP minima at a time and dropped once P(similarity >= threshold | matches so far) < TOLERANCE;
    the rest is verified on the whole shingle sets. A task returns a row per text, never its pairs.
 4. Verified links are joined into classes.
+
+Texts are told apart by 64-bit hashes: of n different texts n ** 2 / 2 ** 65 pairs are expected to be taken for equal.
 """
 
 from __future__ import annotations
@@ -18,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dutymark.llm.common import row_key, saved, table
-from dutymark.llm.components import components
+from dutymark.llm.common import row_key, saved, spare, table
+from dutymark.llm.components import components, star
 from dutymark.llm.textscan import window_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 20 bands of 4: a pair at 0.8 shares none with probability 3e-5.
-BANDS, ROWS, STEP, TOLERANCE = 20, 4, 16, 1e-4
+BANDS, ROWS, STEP, TOLERANCE = 20, 4, 16, 1e-6
 HASHES = BANDS * ROWS
-BLOCK = 256
+#: Texts and shingles of a block, and pairs whose minima are compared at once.
+BLOCK, BLOCK_SHINGLES, AT_ONCE = 1024, 2_000_000, 100_000
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,11 +68,8 @@ def minima(own: np.ndarray) -> np.ndarray:
 
 def bands_of(signature: np.ndarray) -> np.ndarray:
     """One 64-bit bucket name per band, for a signature or a matrix of them."""
-    return window_rows(signature.reshape(*signature.shape[:-1], BANDS, ROWS).astype(np.uint64))
-
-
-def window_rows(x: np.ndarray) -> np.ndarray:
-    out = x[..., 0].copy()
+    x = signature.reshape(*signature.shape[:-1], BANDS, ROWS).astype(np.uint64)
+    out = x[..., 0] + np.arange(BANDS, dtype=np.uint64) * np.uint64(2**32)
     for j in range(1, ROWS):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + x[..., j]
     return (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
@@ -76,58 +77,72 @@ def window_rows(x: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        gids, rows = [], []
-        for gid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = shingles(text or b"")
+        gids, sizes, rows = [], [], []
+        for gid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            own = shingles(text.as_py() or b"")
             if len(own):
                 gids.append(gid)
+                sizes.append(len(own))
                 rows.append(bands_of(minima(own)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["gid", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["gid", "size", "bands"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        own = [shingles(t or b"") for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(c) for c in ("gid", "group", "blocks", "block", "copies")] + [pa.array([s.tobytes() for s in own], pa.binary()), pa.array([minima(s).tobytes() for s in own], pa.binary())],
-            ["gid", "group", "blocks", "block", "copies", "shingles", "signature"],
-        )
+        for at in range(0, b.num_rows, 200):
+            part = b.slice(at, 200)
+            own = [shingles(t.as_py() or b"") for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(c) for c in ("gid", "block", "copies", "pairs")] + [pa.array([s.tobytes() for s in own], pa.binary()), pa.array([minima(s).tobytes() for s in own], pa.binary())],
+                ["gid", "block", "copies", "pairs", "shingles", "signature"],
+            )
+
+
+def _candidates(left: np.ndarray, right: np.ndarray, same: bool, bands: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows that share a band and whose sizes allow the threshold, some left rows at a time."""
+    rows = max(1, AT_ONCE // max(1, len(right)))
+    for at in range(0, len(left), rows):
+        own = left[at : at + rows]
+        near = bands[own, 0][:, None] == bands[right, 0][None, :]
+        for k in range(1, BANDS):
+            near |= bands[own, k][:, None] == bands[right, k][None, :]
+        low, high = np.minimum(sizes[own][:, None], sizes[right][None, :]), np.maximum(sizes[own][:, None], sizes[right][None, :])
+        near &= low >= threshold * high
+        i, j = np.nonzero(near)
+        i, j = own[i], right[j]
+        yield (i[i < j], j[i < j]) if same else (i, j)
 
 
 def linked_pairs(left: list[int], right: list[int], sets: list[np.ndarray], signatures: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j) of the pairs between left and right (i < j if they are the same block) whose similarity reaches threshold."""
-    bands = bands_of(signatures)
-    li, ri = np.array(left), np.array(right)
-    near = np.zeros((len(li), len(ri)), bool)
-    for k in range(BANDS):
-        near |= bands[li, k][:, None] == bands[ri, k][None, :]
-    i, j = np.nonzero(near)
-    i, j = li[i], ri[j]
-    if left is right:
-        i, j = i[i < j], j[i < j]
     sizes = np.array([len(s) for s in sets])
-    fits = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j])
-    i, j = i[fits], j[fits]
-    matches = np.zeros(len(i), int)
-    for step, least in enumerate(least_matches(threshold)):
-        part = slice(step * STEP, (step + 1) * STEP)
-        matches += (signatures[i, part] == signatures[j, part]).sum(1)
-        live = matches >= least
-        i, j, matches = i[live], j[live], matches[live]
+    live_i, live_j = [np.empty(0, int)], [np.empty(0, int)]
+    for i, j in _candidates(np.array(left), np.array(right), left is right, bands_of(signatures), sizes, threshold):
+        matches = np.zeros(len(i), int)
+        for step, least in enumerate(least_matches(threshold)):
+            part = slice(step * STEP, (step + 1) * STEP)
+            matches += (signatures[i, part] == signatures[j, part]).sum(1)
+            live = matches >= least
+            i, j, matches = i[live], j[live], matches[live]
+        live_i.append(i)
+        live_j.append(j)
+    i, j = np.concatenate(live_i), np.concatenate(live_j)
     if not len(i):
         return i, j
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
-    own = [codes[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    begins = ends - sizes
     ok = np.zeros(len(i), bool)
     order = np.argsort(i, kind="stable")
-    mask = np.zeros(codes.max() + 1, bool)
+    mask = np.zeros(codes.max() + 1, np.int32)
     for chunk in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
-        mask[own[i[chunk[0]]]] = True
-        for p in chunk:
-            both = np.count_nonzero(mask[own[j[p]]])
-            ok[p] = both >= threshold * (sizes[i[p]] + sizes[j[p]] - both) - 1e-9
-        mask[own[i[chunk[0]]]] = False
+        own = codes[begins[i[chunk[0]]] : ends[i[chunk[0]]]]
+        mask[own] = 1
+        for part in np.split(chunk, range(64, len(chunk), 64)):
+            to = j[part]
+            both = np.add.reduceat(mask[np.concatenate([codes[begins[k] : ends[k]] for k in to])], np.cumsum(sizes[to]) - sizes[to])
+            ok[part] = both >= threshold * (len(own) + sizes[to] - both) - 1e-9
+        mask[own] = 0
     return i[ok], j[ok]
 
 
@@ -157,6 +172,24 @@ def _compare(threshold: float):
     return compare
 
 
+def dealt_blocks(signed: DataFrame) -> DataFrame:
+    """(gid, block, pairs array<struct<x,y>>): the block of each text that shares a bucket, and the pairs of blocks it is compared in.
+
+    Blocks are numbered by a hash; two that share a number are compared as one.
+    """
+    cells = signed.select("gid", "size", F.explode("bands").alias("bucket"))
+    shared = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cells = saved(cells.join(shared, "bucket"), "cells")
+    home = cells.groupBy("gid").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.max("size").alias("size"))
+    parts = home.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    placed = saved(home.join(parts, "home").select("gid", F.xxhash64("home", F.pmod(F.xxhash64(F.lit("block"), "gid"), F.col("parts"))).alias("block")), "blocks")
+    at = cells.select("gid", "bucket").join(placed, "gid")
+    spread = at.groupBy("bucket").agg(F.collect_set("block").alias("blocks")).filter("size(blocks) > 1")
+    other = at.join(spread, "bucket").groupBy("gid").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("others"))
+    pair = lambda o: F.struct(F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y"))
+    return placed.join(other, "gid", "left").select("gid", "block", F.transform(F.array_union(F.array("block"), F.coalesce("others", F.array("block"))), pair).alias("pairs"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, class_id, n_links, is_first), one row per input row.
 
@@ -168,43 +201,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = source.select("doc_id", row_key("doc_id", "text").alias("rid"), F.xxhash64("text").alias("gid"))
-    copies = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("copies"))
+    copies = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "rid")).alias("own"))
     texts = source.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("gid"), F.col("text").cast("binary").alias("text"))
-    signed = saved(texts.mapInArrow(_signatures, "gid long, bands array<long>").dropDuplicates(["gid"]), "signatures")
-
-    cells = signed.select("gid", F.posexplode("bands").alias("band", "bucket"))
-    heads = cells.groupBy("band", "bucket").agg(F.min("gid").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    stars = cells.join(heads, ["band", "bucket"]).filter("gid <> head").select(F.col("gid").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(stars).select(F.col("node").alias("gid"), F.col("label").alias("group"))
-    sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "group").join(copies, "gid").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "gid"), F.col("blocks")).cast("int"))
+    signed = saved(texts.mapInArrow(_signatures, "gid long, size long, bands array<long>").dropDuplicates(["gid"]), "signatures")
+
+    # equal texts are made one before the join, so that a text with many copies is not gathered in one task
     members = (
-        texts.join(dealt, "gid").dropDuplicates(["gid"])
-        .select("gid", "group", "blocks", "block", "copies", "text")
-        .mapInArrow(_members, "gid long, group long, blocks int, block int, copies long, shingles binary, signature binary")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+        texts.dropDuplicates(["gid"]).join(dealt_blocks(signed), "gid").join(copies.select("gid", "copies"), "gid")
+        .select("gid", "block", "copies", "pairs", "text")
+        .mapInArrow(_members, "gid long, block long, copies long, pairs array<struct<x:long,y:long>>, shingles binary, signature binary")
+        .select("gid", "block", "copies", "shingles", "signature", F.inline("pairs"))
     )
-    found = saved(members.groupBy("group", "x", "y").applyInArrow(_compare(threshold), "gid long, near long, links long"), "links")
-    classes = components(found.select(F.col("gid").alias("a"), F.col("near").alias("b"))).select(F.col("node").alias("gid"), "label")
+    found = saved(members.groupBy("x", "y").applyInArrow(_compare(threshold), "gid long, near long, links long"), "links")
+    classes = components(star(found, "gid", "near")).withColumnRenamed("node", "gid")
     links = found.groupBy("gid").agg(F.sum("links").alias("links"))
-    worded = signed.select("gid", F.lit(True).alias("worded"))
-    told = (
-        rows.join(copies, "gid").join(worded, "gid", "left").join(classes, "gid", "left").join(links, "gid", "left")
-        .withColumn("class_key", F.when(F.col("worded"), F.coalesce("label", "gid")).otherwise(F.col("rid")))
-        .withColumn("n_links", F.when(F.col("worded"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long"))
+    # one row per distinct text: rows with many copies are joined once, against it
+    told = signed.select("gid", F.lit(True).alias("worded")).join(copies, "gid").join(classes, "gid", "left").join(links, "gid", "left")
+    told = saved(told.select("gid", "worded", "own", F.coalesce("label", "gid").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "told")
+    first = told.groupBy("label").agg(F.min("own").alias("first"))
+    out = rows.join(told.join(first, "label").select("gid", "first", "n_links"), "gid", "left")
+    return out.select(
+        "rid", "doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("rid") == F.col("first.rid"), F.lit(True)).alias("is_first"),
     )
-    told = saved(told.select("rid", "doc_id", "class_key", "worded", "n_links"), "told")
-    first = told.groupBy("class_key").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
-    out = told.join(first, "class_key").select("rid", "doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("rid") == F.col("first.rid")).alias("is_first"))
-    return out
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The row with the smallest doc_id of each class, with its columns; repeated rows become one."""
-    first = near_duplicates(docs, threshold).filter("is_first").select(F.col("rid").alias("__rid")).distinct()
-    keyed = docs.withColumn("__rid", row_key("doc_id", "text"))
-    return keyed.join(first, "__rid", "left_semi").dropDuplicates(["__rid"]).select(*docs.columns)
+    rid = spare(docs, "rid")
+    first = near_duplicates(docs, threshold).filter("is_first").select(F.col("rid").alias(rid)).distinct()
+    keyed = docs.withColumn(rid, row_key("doc_id", "text"))
+    return keyed.join(first, rid, "left_semi").dropDuplicates([rid]).select(*docs.columns)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
