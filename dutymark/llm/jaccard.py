@@ -30,7 +30,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 20, 4, 16, 1e-6
 HASHES = BANDS * ROWS
 #: Texts and shingles of a block, and pairs whose minima are compared at once.
-BLOCK, BLOCK_SHINGLES, AT_ONCE = 1024, 2_000_000, 100_000
+BLOCK, BLOCK_SHINGLES, AT_ONCE = 512, 1_000_000, 100_000
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
