@@ -2,27 +2,31 @@
 
 Each page gives three records: the request, the response (or a revisit of an equal payload's response)
 and metadata; request and metadata name the capture in WARC-Concurrent-To. Archives are written by Spark's
-text writer, whose line separator is the blank pair of lines that ends a WARC record, and read file by file.
+text writer, whose line separator is the blank pair of lines that ends a WARC record. Its reader takes them apart at
+the same separator, and a task puts the pieces together again to a stream: files may have any size, one record is in memory.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dutymark.llm.common import shared_dir, table
+from dutymark.llm.common import saved, shared_dir, table
 
-#: Equal payloads of at least so many bytes become revisits of the first; rows of one archive file at most.
+#: Equal payloads of at least so many bytes become revisits of the first; pages of one archive file at most.
 REVISIT_BYTES, FILE_ROWS = 100, 20_000
+#: Up to so many repeated payloads (about 100 bytes each) are broadcast; more join by a shuffle.
+BROADCAST_PAYLOADS = 200_000
+END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS = "type string, record_id string, target_uri string, concurrent_to array<string>, refers_to string, content_type string, http string, fields map<string,string>, payload binary, payload_bytes long, payload_digest string"
+RECORDS = "type string, record_id string, target_uri string, concurrent_to array<string>, refers_to string, content_type string, http string, fields map<string,string>, payload binary, payload_bytes long, payload_digest string, stated_digest string"
 
 
 def _record(kind: str, record_id: Column, headers: list[Column], content_type: str, block: Column) -> Column:
@@ -35,32 +39,47 @@ def _urn(text: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), text, F.lit(">"))
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(digest, first_page, first_place, ties) of the payloads that repeat: smallest page_id (null first), a row with it, and how many have it."""
+    each = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest", "page_id").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("ties"))
+    first = each.groupBy("digest").agg(F.min(F.struct("page_id", "place", "ties")).alias("first"), F.sum("ties").alias("n")).filter("n > 1")
+    return saved(first.select("digest", F.col("first.page_id").alias("first_page"), F.col("first.place").alias("first_place"), F.col("first.ties").alias("ties")), "repeated")
+
+
 def write_warc(pages: DataFrame, path: str) -> None:
     """Write pages (page_id, url, html) to path as gzipped WARC files.
 
     Null html is an empty payload, a null url gives no target header, line ends in a url are percent-encoded.
     Of equal payloads of REVISIT_BYTES or more the one with the smallest page_id (null first; of repeated
-    rows any one) is the response. Only digests are compared; the payload joins the groups it repeats in.
+    rows any one) is the response. Only digests are compared; what is found joins the pages, by broadcast if it is small.
+    A revisit's metadata record also has the page and the length of the payload that it stands for.
     """
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html")).withColumn("place", F.monotonically_increasing_id())
-    first = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min(F.struct("page_id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = first.filter("n > 1").select("digest", F.col("first.place").alias("first_place"))
-    rows = rows.join(repeated, "digest", "left").withColumn("revisit", F.coalesce(F.col("first_place") != F.col("place"), F.lit(False)))
+    repeated = _repeated(rows)
+    if not repeated.filter("ties > 1").isEmpty():  # rows told apart by their place alone: write it down, so that it stays
+        rows = saved(rows, "pages")
+        repeated = _repeated(rows)
+    few = repeated.count() <= BROADCAST_PAYLOADS
+    rows = rows.join(F.broadcast(repeated) if few else repeated, "digest", "left")
+    is_first = F.col("ties").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_page")) & ((F.col("ties") == 1) | (F.col("place") == F.col("first_place")))
+    rows = rows.withColumn("is_first", is_first).withColumn("revisit", F.col("ties").isNotNull() & ~F.col("is_first") & (F.col("size") >= REVISIT_BYTES))
     shared = _urn(F.concat_ws("-", *[F.substring("digest", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
-    rows = rows.withColumn("capture", F.when(F.col("first_place") == F.col("place"), shared).otherwise(_urn(F.uuid()))).withColumn("original", shared)
+    rows = rows.withColumn("capture", F.when(F.col("is_first"), shared).otherwise(_urn(F.uuid()))).withColumn("original", shared)
 
     target, with_capture = F.concat(F.lit("WARC-Target-URI: "), F.col("url")), F.concat(F.lit("WARC-Concurrent-To: "), F.col("capture"))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))
-    http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
-    request = _record("request", _urn(F.uuid()), [target, with_capture], "application/http; msgtype=request", F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")))
+    http = F.lit(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8{END}")
+    request = _record("request", _urn(F.uuid()), [target, with_capture], "application/http; msgtype=request", F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{END}")))
     response = _record("response", F.col("capture"), [target, digest], "application/http; msgtype=response", F.concat(http, F.col("html")))
     profile = F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     revisit = _record("revisit", F.col("capture"), [target, digest, profile, F.concat(F.lit("WARC-Refers-To: "), F.col("original"))], "application/http; msgtype=response", http)
-    metadata = _record("metadata", _urn(F.uuid()), [target, with_capture], "application/warc-fields", F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")))
-    text = F.concat_ws("\r\n\r\n", request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)
-    rows.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    fields = [F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))]
+    fields += [F.when(F.col("revisit"), F.concat(F.lit(f"{name}: "), F.coalesce(F.col(c).cast("string"), F.lit("")))) for name, c in (("refersToPageId", "first_page"), ("payloadLength", "size"))]
+    metadata = _record("metadata", _urn(F.uuid()), [target, with_capture], "application/warc-fields", F.concat(F.concat_ws("\r\n", *fields), F.lit("\r\n")))
+    text = F.concat_ws(END, request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)
+    rows.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[dict]:
@@ -89,15 +108,37 @@ def parse_warc(stream: io.BufferedIOBase) -> Iterator[dict]:
             fields = {k.strip(): v.strip() for k, _, v in pairs}
         yield {
             "type": kind, "record_id": one("warc-record-id"), "target_uri": one("warc-target-uri"), "concurrent_to": head.get("warc-concurrent-to", []), "refers_to": one("warc-refers-to"),
-            "content_type": content, "http": http, "fields": fields, "payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(),
+            "content_type": content, "http": http, "fields": fields, "payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(), "stated_digest": one("warc-payload-digest"),
         }
 
 
+class _Pieces(io.RawIOBase):
+    """The bytes of pieces, with END between them."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.rest, self.inner = pieces, memoryview(b""), False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not len(self.rest):
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.rest = memoryview(END.encode() + piece if self.inner else piece)
+            self.inner = True
+        n = min(len(into), len(self.rest))
+        into[:n] = self.rest[:n]
+        self.rest = self.rest[n:]
+        return n
+
+
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """RECORDS of the *.gz archives under path. payload=False leaves the bytes out once their size and digest are known."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string()]
+        kinds = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string(), pa.string()]
         names = [x.split()[0] for x in RECORDS.split(", ")]
 
         def batch(rows: list[dict]) -> pa.RecordBatch:
@@ -105,21 +146,22 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
             columns[7] = [None if f is None else list(f.items()) for f in columns[7]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for b in batches:
-            for content in b.column(0):
-                rows, held = [], 0
-                for r in parse_warc(gzip.open(io.BytesIO(content.as_py()))):
-                    if not payload:
-                        r["payload"] = None
-                    rows.append(r)
-                    held += len(r["payload"] or b"") + 500
-                    if held > 8_000_000:
-                        yield batch(rows)
-                        rows, held = [], 0
-                if rows:
+        lines = ((f, v) for b in batches for f, v in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        rows, held = [], 0
+        for _, file in groupby(lines, key=lambda x: x[0]):
+            for r in parse_warc(io.BufferedReader(_Pieces(v.as_py() for _, v in file), 1 << 17)):
+                if not payload:
+                    r["payload"] = None
+                rows.append(r)
+                held += len(r["payload"] or b"") + 500
+                if held > 8_000_000:
                     yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(read, RECORDS)
+    lines = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path)
+    return lines.select("_metadata.file_path", F.col("value").cast("binary").alias("value")).mapInArrow(read, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -142,22 +184,21 @@ def assemble(records: DataFrame) -> DataFrame:
     held = parts.groupBy(F.col("to").alias("record_id")).agg(
         F.collect_list(F.when(F.col("type") == "request", F.col("part"))).alias("requests"), F.collect_list(F.when(F.col("type") == "metadata", F.col("part"))).alias("metadata")
     )
-    return captures.select("record_id", "type", "refers_to", part.alias("capture")).join(held, "record_id", "left")
+    return captures.select("record_id", "type", "refers_to", "stated_digest", part.alias("capture")).join(held, "record_id", "left")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
-    rows = assemble(read_warc(spark, path, payload=False)).select(
-        "record_id", "type", "refers_to", F.col("capture.payload_bytes").alias("size"), F.col("capture.payload_digest").alias("digest"),
-        F.try_element_at(F.get("metadata", F.lit(0))["fields"], F.lit("pageId")).try_cast("long").alias("page_id"),
+    records = saved(read_warc(spark, path, payload=False), "records")
+    field = lambda name: F.try_element_at(F.get("metadata", F.lit(0))["fields"], F.lit(name)).try_cast("long")
+    revisit = F.col("type") == "revisit"
+    # a revisit has no payload of its own: its records state that of the response it refers to
+    return assemble(records).select(
+        field("pageId").alias("page_id"), F.when(revisit, field("payloadLength")).otherwise(F.col("capture.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.replace("stated_digest", F.lit("sha256:"), F.lit(""))).otherwise(F.col("capture.payload_digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"), F.when(revisit, field("refersToPageId")).alias("refers_to"),
     )
-    # a revisit's payload is that of the response it refers to
-    origin = rows.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("size").alias("o_size"), F.col("digest").alias("o_digest"), F.col("page_id").alias("o_page"))
-    full = rows.join(origin, "refers_to", "left")
-    return full.select(
-        "page_id", F.coalesce("o_size", "size").alias("payload_bytes"), F.coalesce("o_digest", "digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("o_page").alias("refers_to")
-    )
 
 
 OP1_SQL = f"""
