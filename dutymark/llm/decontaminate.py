@@ -1,27 +1,27 @@
 """Benchmark decontamination: n-grams of test items seed, Smith-Waterman alignment scores.
 
 One pass finds the n-grams of the items in each document, and aligns the item with the words around
-them. Every n-gram seeds, as an edited copy can have lost any of them. Items are handled in blocks of
-bounded size, each broadcast; a document meets its seeds in its own row, so no text is shuffled.
+them. Every n-gram seeds, as an edited copy can have lost any of them; an item shorter than that seeds as a whole.
+Items are handled in blocks of bounded size, each broadcast; a document meets its seeds in its own row, so no text is shuffled.
 """
 
 from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dutymark.llm.common import table
+from dutymark.llm.common import row_key, spare, table
 
 #: Words per seed, score from which a document counts as a copy.
 SEED, MIN_SCORE = 3, 0.45
-#: Characters of items in a block: at most 50,000 words, so that SEED word numbers fit in 63 bits.
-BLOCK_CHARS = 100_000
+#: Characters of items in a block, which is broadcast; at most 2 ** 20 words, so that SEED word numbers fit in 63 bits.
+BLOCK_CHARS = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 _BLANKS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -42,34 +42,36 @@ class Block:
     keys: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    widths: list[int] = field(default_factory=list)
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Block:
         vocabulary: dict[bytes, int] = {}
         items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in plain_words(t)], np.int64) for _, t in rows]
         block = cls([i for i, _ in rows], items, vocabulary, *(np.empty(0, np.int64),) * 3)
-        grams = [block.grams(x) for x in items]
+        grams = [block.grams(x, min(SEED, len(x))) for x in items]
         if grams:
             block.keys = np.concatenate([g[1] for g in grams])
             block.place = np.concatenate([g[0] for g in grams])
             block.owner = np.repeat(np.arange(len(items)), [len(g[0]) for g in grams])
         order = np.argsort(block.keys, kind="stable")
         block.keys, block.owner, block.place = block.keys[order], block.owner[order], block.place[order]
+        block.widths = sorted({min(SEED, len(x)) for x in items if len(x)})
         return block
 
-    def grams(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, keys) of the runs of SEED words that are all in the vocabulary."""
-        n = len(numbers) - SEED + 1
-        if n <= 0:
+    def grams(self, numbers: np.ndarray, width: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+        """(places, keys) of the runs of `width` words that are all in the vocabulary; runs under SEED words have negative keys."""
+        n = len(numbers) - width + 1
+        if n <= 0 or width < 1:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         known = numbers >= 0
         whole = known[:n].copy()
         key = numbers[:n].copy()
-        for j in range(1, SEED):
+        for j in range(1, width):
             whole &= known[j : j + n]
             key = key * len(self.vocabulary) + numbers[j : j + n]
         at = np.flatnonzero(whole)
-        return at, key[at]
+        return at, key[at] if width == SEED else -1 - key[at] - (width - 1) * len(self.vocabulary)
 
     def numbers(self, text: str | None) -> np.ndarray:
         words = plain_words(text)
@@ -78,7 +80,8 @@ class Block:
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in the text, indices into keys) of all n-grams of the items."""
-        at, key = self.grams(numbers)
+        found = [self.grams(numbers, w) for w in self.widths]
+        at, key = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in range(2))
         low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
         count = high - low
         places = np.repeat(at, count)
@@ -112,7 +115,8 @@ def copies_in(numbers: np.ndarray, block: Block, min_score: float) -> Iterator[t
     for own in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
         i = int(owner[own[0]])
         item = block.items[i]
-        reach = len(item) // 2 + 2
+        # words that an alignment can skip before its score falls below min_score
+        reach = int(MATCH * len(item) * (1 - min_score)) // GAP + 1
         best = (0.0, 0, 0, 0)
         starts = start[own]
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > reach) + 1):
@@ -130,7 +134,7 @@ def copies_in(numbers: np.ndarray, block: Block, min_score: float) -> Iterator[t
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
-    """Blocks of items, one at a time. Items under SEED words have no seed and are left out."""
+    """Blocks of items, one at a time."""
     items = benchmark.filter("text is not null").select("item_id", "text").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * chars // block_chars))
@@ -143,7 +147,8 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SC
     """(doc_id, item_id, score, first_word, end_word, seeds) for each document and item that align.
 
     score is the alignment's score over that of the whole item. One row per input row and item: repeated rows
-    repeat. Null or empty texts and items, and items under SEED words, match nothing; ids may be null.
+    repeat. Null or empty texts and items match nothing; ids may be null. Found are the best alignments that hold a run of
+    SEED equal words (items under SEED words: the whole item), of any length that min_score allows.
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")
@@ -170,11 +175,10 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SC
 
 def drop_copies(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of docs that hold no copy of an item, with their columns."""
-    from dutymark.llm.common import row_key
-
-    keyed = docs.withColumn("__rid", row_key("doc_id", "text"))
-    found = find_copies(keyed.select(F.col("__rid").alias("doc_id"), "text"), benchmark, min_score).select(F.col("doc_id").alias("__rid")).distinct()
-    return keyed.join(found, "__rid", "left_anti").select(*docs.columns)
+    rid = spare(docs, "rid")
+    keyed = docs.withColumn(rid, row_key("doc_id", "text"))
+    found = find_copies(keyed.select(F.col(rid).alias("doc_id"), "text"), benchmark, min_score).select(F.col("doc_id").alias(rid)).distinct()
+    return keyed.join(found, rid, "left_anti").select(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from dutymark.llm.decontaminate import GAP, MATCH, MISMATCH, align, drop_copies, find_copies
+from dutymark.llm.decontaminate import GAP, MATCH, MIN_SCORE, MISMATCH, SEED, align, drop_copies, find_copies
 from tests.llm.cases import awkward_docs, no_docs
 
 ITEMS = "item_id long, text string, score string"
@@ -85,8 +85,34 @@ def test_awkward_rows(spark):
     docs = awkward_docs(spark)
     bench = spark.createDataFrame([(1, docs.filter("doc_id = 2").first()["text"], "x"), (1, docs.filter("doc_id = 2").first()["text"], "x"), (2, None, None), (None, "", None), (3, "two words", None)], ITEMS)
     ids = sorted((r["doc_id"] for r in find_copies(docs, bench).collect()), key=lambda x: x or 0)
-    assert ids == [None, 1, 1, 2]
+    assert ids == [None, 1, 1, 2, 7, 8]  # item 3 has two words, which 7 and 8 hold whole
     kept = drop_copies(docs, bench)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 4
     nothing = spark.createDataFrame([], ITEMS)
     assert find_copies(docs, nothing).count() == 0 and find_copies(no_docs(spark), bench).count() == 0
+
+
+def test_equals_alignment_of_all_pairs(spark):
+    """Every document and item with a common run of SEED words, whatever was inserted or replaced."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for i, n in enumerate((1, 2, 12, 40, 40, 60))]
+    rows = []
+    for d in range(80):
+        words = items[rng.randrange(len(items))][1].split()
+        for _ in range(rng.randrange(30)):
+            k = rng.randrange(len(words) + 1)
+            words[k : k + rng.randrange(2)] = [f"x{rng.randrange(50)}" for _ in range(rng.randrange(1, 4))]
+        rows.append((d, " ".join([*(f"w{rng.randrange(400)}" for _ in range(rng.randrange(20))), *words])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for d, text in rows:
+        for i, item in items:
+            a, b = item.split(), text.split()
+            n = min(SEED, len(a))
+            runs = {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}
+            number = {w: k for k, w in enumerate(dict.fromkeys(a + b))}
+            score = align(np.array([number[w] for w in a]), np.array([number[w] for w in b]))[0] / (2 * len(a))
+            if score >= MIN_SCORE and any(tuple(a[k : k + n]) in runs for k in range(len(a) - n + 1)):
+                want[d, i] = round(score, 9)
+    assert len(want) > 40
+    assert {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in find_copies(docs, bench).collect()} == want
