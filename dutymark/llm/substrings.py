@@ -9,7 +9,7 @@ runs within a window of WINDOW words (its anchor) depends on the window alone, s
 meet in one shard, in order of (doc_id, start). A shard's automaton grows in that order; a window whose
 matching length reaches WINDOW against it started earlier. Anchors that occur once are left out first, by
 a bitmap of fixed size over exact counts; equal runs are judged once, and very common anchors are dealt
-out window by window.
+out window by window. Runs are told apart by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from dutymark.llm.textscan import window_hashes, word_hashes
 
 #: Words of a window and of an anchor; log2 of the bitmap's bits; distinct runs of an anchor beyond which it is dealt by window.
 WINDOW, ANCHOR, BITS, COMMON = 20, 7, 27, 256
+#: Rows from which a run's key is hot, and such keys that are broadcast at most; all others join by a shuffle.
+HOT, HOT_KEYS = 2_000, 100_000
 #: Words of a broadcast reference shard.
 SHARD_WORDS = 500_000
 
@@ -128,9 +130,9 @@ def _runs(bitmap_b):
                     a, start, n = a[hit], start[hit], n[hit]
                     for k, s, m, low, high in zip(*(x.tolist() for x in (a, start, n, first[start], end[start + n + WINDOW - 2])), strict=True):
                         run = b" ".join(data[low:high].split())
-                        for column, x in zip(out, (k, int.from_bytes(xxhash.xxh3_64_digest(run), "big", signed=True), doc, rid, s, m, run), strict=True):
+                        for column, x in zip(out, (k, xxhash.xxh3_128_digest(run), doc, rid, s, m, run), strict=True):
                             column.append(x)
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
     return scan
@@ -148,7 +150,7 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(len(own) - WINDOW + 1):
                     part = b" ".join(own[k : k + WINDOW])
                     rows.append((int.from_bytes(xxhash.xxh3_64_digest(part), "big", signed=True), c, doc, start + k, k, part))
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "c", "doc", "start", "offset", "words"])
 
 
@@ -166,7 +168,15 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if found:
                     rows.append((c, [offset + i for i in found]))
             automaton.add(own)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["c", "offsets"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["c", "offsets"])
+
+
+def _by_run(runs: DataFrame, told: DataFrame) -> DataFrame:
+    """runs joined with told (c, times, ...): the most frequent runs by a broadcast of bounded size, all others by a shuffle."""
+    hot = told.filter(F.col("times") >= HOT).orderBy(F.desc("times"), "c").limit(HOT_KEYS)
+    hot = saved(hot, "hot")
+    few = F.broadcast(hot.select("c"))
+    return runs.join(F.broadcast(hot), "c").unionByName(runs.join(few, "c", "left_anti").join(told.join(few, "c", "left_anti"), "c"))
 
 
 def duplicate_windows(docs: DataFrame) -> DataFrame:
@@ -179,20 +189,21 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     bitmap = np.zeros(2**BITS // 8, np.uint8)
     for r in cells.toLocalIterator():  # 4 KB a row, 2**BITS bits at most, whatever the input
         bitmap[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    runs = saved(source.mapInArrow(_runs(spark.sparkContext.broadcast(bitmap)), "a long, c long, doc long, rid long, start int, n int, words binary"), "runs")
+    runs = saved(source.mapInArrow(_runs(spark.sparkContext.broadcast(bitmap)), "a long, c binary, doc long, rid long, start int, n int, words binary"), "runs")
 
     place = F.struct("doc", "start")
     first = saved(runs.groupBy("c").agg(F.min(place).alias("first"), F.min("a").alias("a"), F.count(F.lit(1)).alias("times")), "first")
     mixed = first.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    judged = first.join(mixed, "a").select("c", "first", F.col("n").alias("kinds"))
+    judged = first.join(mixed, "a").select("c", "first", "times", F.col("n").alias("kinds"))
     heads = (
-        runs.join(judged, "c").filter(place == F.col("first")).dropDuplicates(["c"])
+        _by_run(runs, judged).filter(place == F.col("first")).dropDuplicates(["c"])
         .select("a", "c", "doc", "start", "words", F.col("kinds").alias("n"))
-        .mapInArrow(_deal, "key long, c long, doc long, start int, offset int, words binary")
+        .mapInArrow(_deal, "key long, c binary, doc long, start int, offset int, words binary")
     )
-    flagged = heads.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(_stream, "c long, offsets array<int>")
-    flagged = saved(flagged.groupBy("c").agg(F.flatten(F.collect_list("offsets")).alias("offsets")), "flagged")
-    told = runs.select("c", "doc", "rid", "start", "n").join(first.filter("times > 1").select("c", "first"), "c", "left").join(flagged, "c", "left").filter("first is not null or offsets is not null")
+    flagged = heads.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(_stream, "c binary, offsets array<int>")
+    flagged = flagged.groupBy("c").agg(F.flatten(F.collect_list("offsets")).alias("offsets"))
+    told = saved(first.join(flagged, "c", "left").filter("times > 1 or offsets is not null").select("c", "times", F.when(F.col("times") > 1, F.col("first")).alias("first"), "offsets"), "flagged")
+    told = _by_run(runs.select("c", "doc", "rid", "start", "n"), told)
     whole = F.array(F.struct("start", "n"))
     parts = F.transform(F.coalesce("offsets", F.array().cast("array<int>")), lambda o: F.struct((F.col("start") + o).alias("start"), F.lit(1).alias("n")))
     told = told.select("rid", F.when(place > F.col("first"), whole).otherwise(parts).alias("runs")).filter("size(runs) > 0")
