@@ -107,3 +107,19 @@ def test_crc_matches_zlib(spark):
 
 def test_base_rule_edges():
     assert quality_rules.base_fails(9, 0) and not quality_rules.base_fails(10, 2) and quality_rules.base_fails(10, 3)
+
+
+def test_kept_equals_a_plain_walk_through_the_trees(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    forest = fit_forest(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    want = {}
+    for d, t in texts_of(docs):
+        counts, ratios = quality_rules.stats((t or "").encode())
+        x, total = [ratios[k] for k in quality_rules._AT], 0.0
+        for node in forest.roots.tolist():
+            while forest.feature[node] >= 0:
+                node = int(forest.left[node]) + (x[forest.feature[node]] >= forest.cut[node])
+            total += forest.path[node]
+        score = 2 ** (-total / len(forest.roots) / forest.norm)
+        want[d] = counts[0] >= 10 and 100 * plain_counts(t)[4] <= 20 * counts[0] and score <= forest.threshold
+    assert {r["doc_id"]: r["kept"] for r in judge(docs, forest).collect()} == want
