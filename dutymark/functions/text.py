@@ -22,6 +22,11 @@ def word_list(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -41,14 +46,16 @@ def fix_typos(c: Column) -> Column:
 def expand_pos(c: Column) -> Column:
     """Abbreviations spelled out, once, word by word; some only before a blank or the end."""
     text = F.upper(c)
-    parts = F.regexp_extract_all(text, F.lit(r"([A-Z0-9_]+|[^A-Z0-9_]+)"), F.lit(1))
     anywhere, at_end = word_map(fixed.ABBREVIATIONS), word_map(fixed.END_ABBREVIATIONS)
 
-    def part(w: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(parts, i + 1), F.lit(" "))
-        return F.coalesce(F.try_element_at(anywhere, w), F.when(after.rlike(r"^\s"), F.try_element_at(at_end, w)), w)
+    def joined(parts: Column) -> Column:
+        def part(w: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(parts, i + 1), F.lit(" "))
+            return F.coalesce(F.try_element_at(anywhere, w), F.when(after.rlike(r"^\s"), F.try_element_at(at_end, w)), w)
+
+        return F.array_join(F.transform(parts, part), "")
 
-    return F.array_join(F.transform(parts, part), "")
+    return let(F.regexp_extract_all(text, F.lit(r"([A-Z0-9_]+|[^A-Z0-9_]+)"), F.lit(1)), joined)
 
 
 def strip_noise(c: Column) -> Column:
@@ -105,7 +112,7 @@ def expand_words(c: Column, words: dict[str, str] = fixed.TRADE_WORDS) -> Column
     out = F.regexp_replace(F.regexp_replace(out, r"(?i)\bTR\.\s*", "kitchen treasure "), r"(?i)\bTR\b", "kitchen treasure")
     tokens = F.filter(F.split(F.lower(out), r"\s+"), lambda t: t != "")
     mapped = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(word_map(words), F.regexp_replace(t, r"\.+$", "")), t))
-    return F.array_join(F.filter(mapped, lambda t, i: (i == 0) | (t != F.coalesce(F.get(mapped, i - 1), F.lit("")))), " ")
+    return let(mapped, lambda m: F.array_join(F.filter(m, lambda t, i: (i == 0) | (t != F.coalesce(F.get(m, i - 1), F.lit("")))), " "))
 
 
 def tokenize(c: Column, keep_brands: bool = False) -> Column:
@@ -213,16 +220,15 @@ def scaled_confidence(score: Column, source: Column) -> Column:
 
 def replace_phrases(c: Column, phrases: dict[str, str], longest: int = 4) -> Column:
     """Longest phrase first, word by word from the left; words inside a replaced phrase are not read again."""
-    words = F.split(squeeze(F.lower(c)), " ")
     table = word_map(phrases)
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
 
-    def step(acc: Column, at: Column) -> Column:
+    def step(words: Column, acc: Column, at: Column) -> Column:
         hits = [F.when((at + n <= F.size(words)) & F.try_element_at(table, F.array_join(F.slice(words, at + 1, n), " ")).isNotNull(), F.struct(F.try_element_at(table, F.array_join(F.slice(words, at + 1, n), " ")).alias("to"), F.lit(n - 1).alias("skip"))) for n in range(longest, 0, -1)]
         choice = F.coalesce(*hits, F.struct(F.get(words, at).alias("to"), F.lit(0).alias("skip")))
         return F.when(acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))).otherwise(F.struct(F.concat(acc["out"], F.array(choice["to"])).alias("out"), choice["skip"].alias("skip")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), start, step, lambda a: F.array_join(a["out"], " "))
+    return let(F.split(squeeze(F.lower(c)), " "), lambda words: F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), start, lambda acc, at: step(words, acc, at), lambda a: F.array_join(a["out"], " ")))
 
 
 def strip_brand_prefix(c: Column, brands) -> Column:

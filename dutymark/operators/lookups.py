@@ -80,7 +80,7 @@ def match_embedded_code(queries: DataFrame, tariff: DataFrame, k: int) -> DataFr
 def chapter_hints(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, chapters): of the rules (rule_no, keyword, chapters) with a keyword among the words, the first one's chapters."""
     words = queries.select("query_id", F.explode(F.array_distinct(text.tokenize(C("text"), True))).alias("keyword"))
-    return words.join(F.broadcast(rules), "keyword").groupBy("query_id").agg(F.min_by("chapters", "rule_no").alias("chapters"))
+    return words.join(rules, "keyword").groupBy("query_id").agg(F.min_by("chapters", "rule_no").alias("chapters"))
 
 
 def apply_chapter_hints(cands: DataFrame, hints: DataFrame, penalty: float | None = None) -> DataFrame:
@@ -111,17 +111,20 @@ def match_exact(queries: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def alias_ngrams(c: Column, most: int = 4) -> Column:
     """array<struct<phrase, at>>: runs of 1 to `most` words."""
-    words = F.split(c, " ")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.struct(F.array_join(F.slice(words, i, n), " ").alias("phrase"), i.alias("at"), (i + n - 1 <= F.size(words)).alias("whole")))
-    return F.filter(F.flatten(F.array(*[runs(n) for n in range(1, most + 1)])), lambda r: r["whole"])
+    runs = lambda words, n: F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.struct(F.array_join(F.slice(words, i, n), " ").alias("phrase"), i.alias("at"), (i + n - 1 <= F.size(words)).alias("whole")))
+    return text.let(F.split(c, " "), lambda words: F.filter(F.flatten(F.array(*[runs(words, n) for n in range(1, most + 1)])), lambda r: r["whole"]))
 
 
 def match_alias(queries: DataFrame, aliases: DataFrame, most: int = 4) -> DataFrame:
     """(query_id, alias, code): an alias equal to the text, else the longest that opens it or (from 4 letters) stands between blanks."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^a-z0-9\s]", " "), r"\s+", " "))
-    grams = queries.select("query_id", plain.alias("plain")).filter("plain <> ''").select("query_id", "plain", F.explode(alias_ngrams(C("plain"), most)).alias("g")).select("query_id", "plain", "g.*")
+    asked = queries.select("query_id", plain.alias("plain")).filter("plain <> ''")
+    # equal texts are looked up once
+    grams = asked.select("plain").distinct().select("plain", F.explode(alias_ngrams(C("plain"), most)).alias("g")).select("plain", "g.phrase", "g.at")
     hits = grams.join(aliases, grams["phrase"] == aliases["alias"]).filter("at = 1 or length(alias) >= 4")
-    return first_per(hits, "query_id", F.desc(C("alias") == C("plain")), F.desc(F.length("alias")), "alias", "code").select("query_id", "alias", "code")
+    order = (F.desc(C("alias") == C("plain")), F.desc(F.length("alias")), "alias", "code")
+    best = first_per(hits, "plain", *order).select("plain", "alias", "code")
+    return first_per(asked.join(best, "plain"), "query_id", *order).select("query_id", "alias", "code")
 
 
 def tariff_rates(tariff: DataFrame) -> DataFrame:
@@ -205,7 +208,7 @@ def brand_guard(df: DataFrame, commodity: list[str]) -> DataFrame:
 def match_keyword(queries: DataFrame, keywords: DataFrame) -> DataFrame:
     """(query_id, keyword, code): the longest keyword inside the text, then by priority. keywords is a short curated table."""
     q = queries.select("query_id", F.upper("text").alias("text"))
-    hits = q.join(F.broadcast(keywords), F.contains(q["text"], F.upper(keywords["keyword"])))
+    hits = q.join(keywords, F.contains(q["text"], F.upper(keywords["keyword"])))
     return first_per(hits, "query_id", F.desc(F.length("keyword")), F.desc("priority"), "keyword", "code").select("query_id", "keyword", "code")
 
 
@@ -215,13 +218,20 @@ def match_category_keyword(queries: DataFrame, catalog: DataFrame, keywords: lis
     n = held.groupBy("keyword", codes.canonicalize_hsn(C("raw_code")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
     modes = first_per(n, "keyword", F.desc("n"), "code").select("keyword", "code")
     q = queries.select("query_id", F.get(F.filter(text.word_list(keywords), lambda k: F.contains(F.lower("text"), k)), F.lit(0)).alias("keyword"))
-    return q.join(F.broadcast(modes), "keyword")
+    return q.join(modes, "keyword")
+
+
+def openings(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """df plus key: the beginnings of its column with the lengths that occur in keys (one number per length is gathered)."""
+    sizes = keys.agg(F.collect_set(F.length(key)).alias("__sizes"))
+    fits = F.filter("__sizes", lambda n: n <= F.length(column))
+    return df.join(F.broadcast(sizes)).withColumn("__n", F.explode(fits)).withColumn(key, F.substring(C(column), F.lit(1), C("__n"))).drop("__sizes", "__n")
 
 
 def match_prefix(queries: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
-    """Catalog texts that start with the query: equi join on three letters, then the prefix; shortest first."""
-    q = queries.select("query_id", F.upper(F.trim("text")).alias("start")).filter("length(start) >= 3").withColumn("k3", F.substring("start", 1, 3))
-    hits = q.join(catalog.withColumn("k3", F.substring("description", 1, 3)), "k3").filter(F.startswith("description", "start"))
+    """Catalog texts that start with the query (three letters or more): equi join on the whole beginning; shortest first."""
+    q = queries.select("query_id", F.upper(F.trim("text")).alias("start")).filter("length(start) >= 3")
+    hits = q.join(openings(catalog, "description", q, "start"), "start")
     return top_per(hits, "query_id", k, F.length("description"), "id").select("query_id", "id", "raw_code", "description", "rank")
 
 
@@ -236,10 +246,11 @@ def search_by_language(queries: DataFrame, aliases: DataFrame, tariff: DataFrame
 
 def match_regional_alias(queries: DataFrame, aliases: DataFrame, blocked: list[str]) -> DataFrame:
     """(query_id, alias, code): exact, else an alias that opens the text, longest first; aliases from 10 letters also by their first 8. Blocked lone words never match."""
-    q = queries.select("query_id", text.squeeze(F.lower("text")).alias("said")).filter(~C("said").isin(blocked) & (F.length("said") >= 3)).withColumn("k3", F.substring("said", 1, 3))
-    hits = q.join(aliases.filter("length(alias) >= 3").withColumn("k3", F.substring("alias", 1, 3)), "k3")
-    start = F.startswith("said", "alias") | ((F.length("alias") >= 10) & F.startswith("said", F.substring("alias", 1, 8)))
-    return first_per(hits.filter(start), "query_id", F.desc(C("said") == C("alias")), F.desc(F.length("alias")), "alias").select("query_id", "alias", "code")
+    q = queries.select("query_id", text.squeeze(F.lower("text")).alias("said")).filter(~C("said").isin(blocked) & (F.length("said") >= 3))
+    starts = F.when(F.length("alias") >= 10, F.array("alias", F.substring("alias", 1, 8))).otherwise(F.array("alias"))
+    refs = aliases.filter("length(alias) >= 3").select("alias", "code", F.explode(starts).alias("start"))
+    hits = openings(q, "said", refs, "start").join(refs, "start")
+    return first_per(hits, "query_id", F.desc(C("said") == C("alias")), F.desc(F.length("alias")), "alias").select("query_id", "alias", "code")
 
 
 def match_model_code(queries: DataFrame, catalog: DataFrame, pattern: str = r"\b(\d{2,5}[A-Z])\b") -> DataFrame:

@@ -92,9 +92,10 @@ def rank_grouped(cands: DataFrame, k: int) -> DataFrame:
 
 
 def dataset_version(df: DataFrame) -> DataFrame:
-    """(version, source, n): a hash that does not depend on row order, and rows per source."""
-    h = F.xxhash64("hsn_code", "key", "source")
-    total = df.agg(F.hex(F.bit_xor(h)).alias("version"))
+    """(version, source, n): rows and the sum of their hashes, which do not depend on row order, and rows per source."""
+    joined = F.concat_ws("|", *[F.coalesce(c, F.lit("?")) for c in ("hsn_code", "key", "source")])
+    h = F.conv(F.substring(F.md5(joined.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    total = df.agg(F.concat_ws("-", F.count(F.lit(1)), F.sum(h)).alias("version"))
     return df.groupBy("source").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("version", "source", "n")
 
 
@@ -154,12 +155,17 @@ def split_hits(results: DataFrame) -> DataFrame:
     return results.withColumn("reason", reason).withColumn("hit", C("reason").isNull())
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: dict[str, str] | None = None) -> DataFrame:
-    """old with the rows of new put in. new has one row per key. Policy per column: replace (default keeps old if new is null), greatest, true."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
+    """old with the rows of new put in. Policy per column: replace (default keeps old if new is null), greatest, true.
+
+    Of several new rows with one key the last by `order` counts (any one without it). Null keys are equal to each other.
+    """
     policy = policy or {}
     values = [c for c in old.columns if c not in keys]
-    renamed = new.select(*keys, *[C(c).alias(f"__n_{c}") for c in values], F.lit(True).alias("__new"))
-    joined = old.withColumn("__old", F.lit(True)).join(renamed, keys, "full_outer")
+    new = dedupe_last(new, keys, order) if order else new.dropDuplicates(keys)
+    renamed = new.select(*[C(k).alias(f"__k_{k}") for k in keys], *[C(c).alias(f"__n_{c}") for c in values], F.lit(True).alias("__new"))
+    same = [C(k).eqNullSafe(C(f"__k_{k}")) for k in keys]
+    joined = old.join(renamed, same, "full_outer")
 
     def value(c: str) -> Column:
         mine, theirs = C(c), C(f"__n_{c}")
@@ -172,7 +178,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: dict[str, st
             return F.coalesce(C("__new"), mine)
         return F.coalesce(theirs, mine)
 
-    return joined.select(*keys, *[value(c).alias(c) for c in values])
+    return joined.select(*[F.coalesce(C(k), C(f"__k_{k}")).alias(k) for k in keys], *[value(c).alias(c) for c in values])
 
 
 def sync(old: DataFrame, new: DataFrame, key: str, tracked: list[str]) -> DataFrame:
@@ -196,16 +202,17 @@ def patch_descriptions(df: DataFrame, patch: DataFrame) -> DataFrame:
     return out.withColumn("description", F.when(bare, F.coalesce("__d8", "__d6", "description")).otherwise(C("description"))).drop("__c6", "__d8", "__d6")
 
 
-def correct(df: DataFrame, wrong: Column, new_code: Column, reason: str) -> tuple[DataFrame, DataFrame]:
-    """(df with new codes where wrong, log of id, old_hsn, new_hsn, reason)."""
+def correct(df: DataFrame, wrong: Column, new_code: Column, reason: str, step: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(df with new codes where wrong, log of id, old_hsn, new_hsn, reason, step). Later corrections of one table have higher steps."""
     marked = df.withColumn("__w", F.coalesce(wrong, F.lit(False)))
-    log = marked.filter("__w").select("id", C("hsn_code").alias("old_hsn"), new_code.alias("new_hsn"), F.lit(reason).alias("reason"))
+    log = marked.filter("__w").select("id", C("hsn_code").alias("old_hsn"), new_code.alias("new_hsn"), F.lit(reason).alias("reason"), F.lit(step).alias("step"))
     return marked.withColumn("hsn_code", F.when(C("__w"), new_code).otherwise(C("hsn_code"))).drop("__w"), log
 
 
 def rollback(df: DataFrame, log: DataFrame) -> DataFrame:
-    """df with the codes of the log put back."""
-    return df.join(log.select("id", "old_hsn"), "id", "left").withColumn("hsn_code", F.coalesce("old_hsn", "hsn_code")).drop("old_hsn")
+    """df with the codes put back that the oldest entry of each id in the log (one or more corrections) has; null codes too."""
+    oldest = log.groupBy("id").agg(F.min_by(F.struct(C("old_hsn").alias("code")), "step").alias("__back"))
+    return df.join(oldest, "id", "left").withColumn("hsn_code", F.when(C("__back").isNotNull(), C("__back.code")).otherwise(C("hsn_code"))).drop("__back")
 
 
 def sync_rates(catalog: DataFrame, master: DataFrame) -> DataFrame:
@@ -265,16 +272,16 @@ def audit_tariff(df: DataFrame) -> DataFrame:
 
 
 def chapter_mismatch(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, rule_no, chapter): the first rule (rule_no, keyword, chapters) whose keyword is in the text and whose chapters lack the code's. rules is a short curated table."""
+    """(id, rule_no, chapter): the first rule (rule_no, keyword, chapters) whose keyword is in the text and whose chapters lack the code's."""
     hits = df.select("id", F.lower("description").alias("low"), F.substring("hsn_code", 1, 2).alias("chapter"))
-    first = hits.join(F.broadcast(rules), F.contains(hits["low"], rules["keyword"])).groupBy("id", "chapter").agg(F.min(F.struct("rule_no", "chapters")).alias("r"))
+    first = hits.join(rules, F.contains(hits["low"], rules["keyword"])).groupBy("id", "chapter").agg(F.min(F.struct("rule_no", "chapters")).alias("r"))
     return first.filter(~F.array_contains("r.chapters", C("chapter"))).select("id", "r.rule_no", "chapter")
 
 
 def chapter_violations(df: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_no, id, chapter): every rule whose keyword is in the text and whose chapters lack the code's."""
     hits = df.select("id", F.lower("description").alias("low"), F.substring("hsn_code", 1, 2).alias("chapter"))
-    return hits.join(F.broadcast(rules), F.contains(hits["low"], rules["keyword"])).filter(~F.array_contains("chapters", C("chapter"))).select("rule_no", "id", "chapter")
+    return hits.join(rules, F.contains(hits["low"], rules["keyword"])).filter(~F.array_contains("chapters", C("chapter"))).select("rule_no", "id", "chapter")
 
 
 def chapter_coverage(df: DataFrame) -> DataFrame:

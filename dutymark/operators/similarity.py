@@ -124,17 +124,36 @@ def fts_search(queries: DataFrame, reference: DataFrame, weights: dict[str, floa
     return top_per(found.withColumn("score", F.round(C("s") / (1 + C("s")), 9)), "query_id", k, F.desc("score"), key).select("query_id", key, "score", "rank")
 
 
-def _ratios(batches):
-    """Share of common words, softened by letters, 0 to 100, for columns a and b."""
-    import difflib
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table as bits of one number."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """0 to 100: of the sorted common words, and these with the other words of each text, the greatest ratio of two, by insertions and deletions."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    if both and (not one or not two):
+        return 100.0
+    n, m = (len(both) + len(s) + bool(both) for s in (one, two))
+    ratios = [200.0 * (len(both) + bool(both) + common_subsequence(one, two)) / (n + m)]
+    if both:
+        ratios += [200.0 * len(both) / (len(both) + k) for k in (n, m)]
+    return max(ratios)
+
 
+def _ratios(batches):
     for batch in batches:
-        out = []
-        for a, c in zip(batch["a"], batch["b"], strict=True):
-            x, y = set(a.split()), set(c.split())
-            both = " ".join(sorted(x & y))
-            one, two = (" ".join([both, *sorted(s)]).strip() for s in (x - y, y - x))
-            out.append(100 * max(difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() if p and q else 0.0 for p, q in ((both, one), (both, two), (one, two))))
+        out = [token_set_ratio(a, b) for a, b in zip(batch["a"], batch["b"], strict=True)]
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "ratio": np.round(out, 4)})
 
 
@@ -144,7 +163,7 @@ def token_set_ratios(pairs: DataFrame) -> DataFrame:
 
 
 def token_set_topk(queries: DataFrame, names: DataFrame, k: int, cutoff: float = 60.0) -> DataFrame:
-    """(query_id, id, ratio, rank): the best token-set ratios. Distinct texts meet on a shared word."""
+    """(query_id, id, ratio, rank): the best token-set ratios of texts that share a word of three letters or more. Distinct texts are compared once."""
     q = queries.select("query_id", text.squeeze(F.lower("text")).alias("a"))
     n = names.select("id", text.squeeze(F.lower("description")).alias("b"))
     words = lambda df, c: df.select(c).distinct().select(c, F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))).alias("w"))
@@ -289,9 +308,9 @@ def weighted_jaccard(tokens: Column, described: Column, synonyms: dict = fixed.S
 
 
 def intent_bonus(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """df (id, text, description) plus bonus: sum over rules (query_word, text_word, delta) that apply, within 0.35 of 0. rules is a short curated table."""
+    """df (id, text, description) plus bonus: sum over rules (query_word, text_word, delta) that apply, within 0.35 of 0."""
     words = df.select("id", F.array_distinct(text.tokenize(C("text"), True)).alias("q"), F.array_distinct(text.tokenize(C("description"), True)).alias("d"))
-    hits = words.select("id", F.explode("q").alias("query_word"), "d").join(F.broadcast(rules), "query_word").filter(F.array_contains("d", C("text_word")))
+    hits = words.select("id", F.explode("q").alias("query_word"), "d").join(rules, "query_word").filter(F.array_contains("d", C("text_word")))
     sums = hits.groupBy("id").agg(F.round(F.sum("delta"), 6).alias("bonus"))
     return df.join(sums, "id", "left").withColumn("bonus", F.least(F.lit(0.35), F.greatest(F.lit(-0.35), F.coalesce("bonus", F.lit(0.0)))))
 

@@ -81,10 +81,8 @@ MISS = "select *, case when event_id % 3 = 0 then lower(product_name) || event_i
 
 @query("e1_miss_counts", "v_search_events", f"with e as ({MISS}) select product_name as name, count(*) as n, arg_max(normalized, (ts, event_id)) filter (normalized is not null) as normalized, split_part(product_name, ' ', 1) as first_word, max(ts) as updated from e group by product_name")
 def _(e):
-    # only rows with a normal form compete for the last one
     marked = e.withColumn("normalized", F.when(C("event_id") % 3 == 0, F.concat(F.lower("product_name"), (C("event_id") % 5).cast("string"))))
-    last = E.miss_counts(marked.filter("normalized is not null")).select("name", "normalized")
-    return E.miss_counts(marked).drop("normalized").join(last, "name", "left")
+    return E.miss_counts(marked).drop("normalized_at")
 
 
 @query("e2_cache_state", "v_search_events", """with s as (select * from v_search_events where confidence >= 70 qualify row_number() over (partition by product_name order by ts desc, event_id desc) = 1), h as (select product_name, count(*) as hits from v_search_events group by 1)
@@ -139,12 +137,10 @@ def services(spark):
     return spark.range(0, 100, 2).select(F.concat(F.lit("99"), F.lpad(C("id").cast("string"), 2, "0")).alias("sac_code"), F.lit(18.0).alias("gst_rate"))
 
 
-@query("j17_enrich_tax", "v_codes v_tariff v_rate_history", f"with {TAX}, src as (select id, coalesce(code, '') as hsn_code from v_codes union all select 100000 + row_number() over (order by hsn_code), hsn_code from v_tariff) select * exclude (sv) from ({taxed('src')})")
+@query("j17_enrich_tax", "v_codes v_tariff v_rate_history", f"with {TAX}, src as (select id, coalesce(code, '') as hsn_code from v_codes union all select null, hsn_code from v_tariff) select * exclude (sv) from ({taxed('src')})")
 def _(c, t, h):
-    from pyspark.sql import Window
-
-    # the tariff's codes join the codes of all shapes, numbered for the comparison
-    more = t.select((100000 + F.row_number().over(Window.orderBy("hsn_code"))).cast("long").alias("id"), "hsn_code")
+    # the tariff's codes join the codes of all shapes
+    more = t.select(F.lit(None).cast("long").alias("id"), "hsn_code")
     return W.enrich_tax(c.select("id", F.coalesce("code", F.lit("")).alias("hsn_code")).union(more), goods(t), services(t.sparkSession), t, h)
 
 

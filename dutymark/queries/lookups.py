@@ -172,10 +172,10 @@ def _(q, c):
     return L.match_category_keyword(as_queries(q), c, list(HINTED))
 
 
-@query("j11_match_prefix", "v_catalog", """with q as (select distinct id as query_id, split_part(description, ' ', 1) as start from v_catalog where id % 20 = 0)
+@query("j11_match_prefix", "v_catalog", """with q as (select distinct id as query_id, split_part(description, ' ', 1) as start from v_catalog where id % 100 = 0)
 select query_id, id, raw_code, description, cast(row_number() over (partition by query_id order by len(description), id) as int) as rank from q join v_catalog on starts_with(description, start) where len(start) >= 3 qualify rank <= 20""")
 def _(c):
-    return L.match_prefix(c.filter("id % 20 = 0").select(C("id").alias("query_id"), F.substring_index("description", " ", 1).alias("text")), c)
+    return L.match_prefix(c.filter("id % 100 = 0").select(C("id").alias("query_id"), F.substring_index("description", " ", 1).alias("text")), c)
 
 
 @query("j12_lookup_rate", "v_codes v_tariff", f"with {RATES} select id, rate, rate_from from {RATED('v_codes', 'id', 'code')}")
@@ -240,10 +240,10 @@ def _(q, c):
     return L.match_food_hint(as_queries(q), q.sparkSession.createDataFrame(list(FOOD), "hint string, words string"), c, 3)
 
 
-@query("j22_token_contains", "v_catalog v_tariff", f"""with w as (select distinct id as query_id, unnest({tokens_sql('description')}) as word from v_catalog where id % 4 = 0), k as (select * from w where len(word) >= 3), n as (select query_id, count(*) as words from k group by 1), t as (select hsn_code, min(lower(description)) as d from v_tariff group by 1),
+@query("j22_token_contains", "v_catalog v_tariff", f"""with w as (select distinct id as query_id, unnest({tokens_sql('description')}) as word from v_catalog where id % 100 = 0), k as (select * from w where len(word) >= 3), n as (select query_id, count(*) as words from k group by 1), t as (select hsn_code, min(lower(description)) as d from v_tariff group by 1),
 h as (select query_id, hsn_code, count(*) as n from k join t on contains(d, word) group by 1, 2) select query_id, hsn_code, n / words as coverage from h join n using (query_id)""")
 def _(c, t):
-    return L.token_contains(as_queries(c.filter("id % 4 = 0"), "id", "description"), t.groupBy("hsn_code").agg(F.min("description").alias("description")), "hsn_code")
+    return L.token_contains(as_queries(c.filter("id % 100 = 0"), "id", "description"), t.groupBy("hsn_code").agg(F.min("description").alias("description")), "hsn_code")
 
 
 @query("j24_match_model_code", "v_queries v_catalog", """with c as (select id, unnest(list_distinct(regexp_extract_all(upper(description), '\\b(\\d{2,5}[A-Z])\\b', 1))) as model from v_catalog), q as (select row_id, unnest(list_distinct(regexp_extract_all(upper(query), '\\b(\\d{2,5}[A-Z])\\b', 1))) as model from v_queries), m as (select model, min(id) as id from c group by 1)

@@ -20,6 +20,15 @@ def topk_sql(min_sim: float, k: int, op: str = ">") -> str:
     return f"select query_id, id, round({SIM('ta', 'tb')}, 9) as similarity, cast(row_number() over (partition by query_id order by {SIM('ta', 'tb')} desc, id) as int) as rank from q, c where {SIM('ta', 'tb')} {op} {min_sim} qualify rank <= {k}"
 
 
+#: Candidates of the rankings: the most similar catalog rows of the texts whose id is divisible by 100.
+FOUND = f"fq as (select * from ({Q.removeprefix('q as (').removesuffix(')')}) where query_id % 100 = 0), {REF.replace('c as (', 'fc as (', 1)}, found as (select query_id, id from fq, fc where {SIM('ta', 'tb')} > 0.3 qualify row_number() over (partition by query_id order by {SIM('ta', 'tb')} desc, id) <= 20)"
+
+
+def found(q, c):
+    asked = as_queries(q.filter("id % 100 = 0"), "id", "text")
+    return S.trgm_topk(asked, c, 0.3, 20).select("query_id", "id").join(asked.withColumnRenamed("text", "query"), "query_id")
+
+
 @query("r2_trgm_topk", "v_text v_catalog", f"with {Q}, {REF} {topk_sql(0.45, 5)}")
 def _(q, c):
     return S.trgm_topk(as_queries(q, "id", "text"), c, 0.45, 5)
@@ -77,21 +86,21 @@ p as (select query_id, n, hsn_code, pos, max(weight) as weight from e join k on
 select query_id, hsn_code, cast(round(s / (1 + s), 9) as double) as score, cast(row_number() over (partition by query_id order by round(s / (1 + s), 9) desc, hsn_code) as int) as rank from f {need} qualify rank <= {k}"""
 
 
-ASK_FTS = "select id as query_id, case id % 3 when 0 then text || ' ec' else text end as text from v_text where id % 2 = 0"
+ASK_FTS = "select id as query_id, case id % 3 when 0 then text || ' ec' else text end as text from v_text where id % 100 = 0"
 
 
 @query("r7_fts_search", "v_text v_tariff", f"with {fts_sql(ASK_FTS, 'or', 5)}")
 def _(q, t):
-    asked = q.filter("id % 2 = 0").selectExpr("id as query_id", "case id % 3 when 0 then text || ' ec' else text end as text")
+    asked = q.filter("id % 100 = 0").selectExpr("id as query_id", "case id % 3 when 0 then text || ' ec' else text end as text")
     return S.fts_search(asked, t, {"description": 1.0, "category": 0.4}, 5, key="hsn_code")
 
 
-ASK_AND = "select id as query_id, split_part(description, ' ', 1) || ' ' || split_part(description, ' ', 2) || ' promo' as text from v_catalog where id % 2 = 0"
+ASK_AND = "select id as query_id, split_part(description, ' ', 1) || ' ' || split_part(description, ' ', 2) || ' promo' as text from v_catalog where id % 100 = 0"
 
 
 @query("r7b_fts_search_and", "v_catalog v_tariff", f"with {fts_sql(ASK_AND, 'and', 5)}")
 def _(c, t):
-    asked = c.filter("id % 2 = 0").select(C("id").alias("query_id"), F.concat(F.substring_index("description", " ", 2), F.lit(" promo")).alias("text"))
+    asked = c.filter("id % 100 = 0").select(C("id").alias("query_id"), F.concat(F.substring_index("description", " ", 2), F.lit(" promo")).alias("text"))
     return S.fts_search(asked, t, {"description": 1.0, "category": 0.4}, 5, op="and", key="hsn_code")
 
 
@@ -121,8 +130,8 @@ def _(c):
     return S.merge_pools(pool, pool.select("query_id").distinct().withColumn("codes", F.array(F.lit("0101"), F.lit("1"))))
 
 
-RERANK_SQL = f"""with c as (select t.id as query_id, t.text as query, k.id as old_rank, {CANON('k.raw_code')} as hsn_code, k.description, case k.id % 3 when 0 then 'verified_exact' when 1 then 'product_batch' else 'other' end as source, (k.id % 32) / 32.0::double as score, (k.id % 16) / 16.0::double as embedding,
-case k.id % 4 when 0 then 'blue' when 1 then 'gear' end as brand, ['10', '20', '30'] as chapters from v_text t join v_catalog k on t.id % 200 = k.id % 200 where t.id % 4 = 0),
+RERANK_SQL = f"""with {FOUND}, c as (select t.id as query_id, t.text as query, k.id as old_rank, {CANON('k.raw_code')} as hsn_code, k.description, case k.id % 3 when 0 then 'verified_exact' when 1 then 'product_batch' else 'other' end as source, (k.id % 32) / 32.0::double as score, (k.id % 16) / 16.0::double as embedding,
+case k.id % 4 when 0 then 'blue' when 1 then 'gear' end as brand, ['10', '20', '30'] as chapters from found o join v_text t on t.id = o.query_id join v_catalog k on k.id = o.id),
 f as (select *, upper(query) as q, upper(description) as d, list_distinct(regexp_extract_all(upper(query), '[A-Z]{{3,}}')) as qw, list_distinct(regexp_extract_all(upper(description), '[A-Z]{{3,}}')) as dw from c), g as (select *, len(list_intersect(qw, dw)) as b from f),
 s as (select query_id, hsn_code, old_rank, round(least(1.0, greatest(0.0, embedding * 0.30::double + b / greatest(len(qw) + len(dw) - b, 1) * 0.20::double + b / greatest(len(qw), 1) * 0.15::double + b / greatest(len(dw), 1) * 0.05::double + least(len(q), len(d)) / greatest(len(q), len(d), 1) * 0.02::double
  + case when list_contains(chapters, hsn_code[1:2]) then 0.10 else 0.0 end::double + case source when 'verified_exact' then 1.0 when 'product_batch' then 0.8 else 0.5 end::double * 0.05::double + score * 0.08::double + least(len(d) / 100, 1.0) * 0.03::double
@@ -132,15 +141,15 @@ select query_id, hsn_code, reranked, cast(row_number() over (partition by query_
 
 @query("r11_rerank", "v_text v_catalog", RERANK_SQL)
 def _(q, c):
-    q = q.filter("id % 4 = 0").select(C("id").alias("query_id"), C("text").alias("query"), (C("id") % 200).alias("slot"))
     k = c.select(
+        "id",
         C("id").alias("old_rank"), codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"), "description", F.expr("case id % 3 when 0 then 'verified_exact' when 1 then 'product_batch' else 'other' end").alias("source"),
-        (C("id") % 32 / 32.0).alias("score"), (C("id") % 16 / 16.0).alias("embedding"), F.expr("case id % 4 when 0 then 'blue' when 1 then 'gear' end").alias("brand"), (C("id") % 200).alias("slot"), F.array(F.lit("10"), F.lit("20"), F.lit("30")).alias("chapters"),
+        (C("id") % 32 / 32.0).alias("score"), (C("id") % 16 / 16.0).alias("embedding"), F.expr("case id % 4 when 0 then 'blue' when 1 then 'gear' end").alias("brand"), F.array(F.lit("10"), F.lit("20"), F.lit("30")).alias("chapters"),
     )
-    return S.rerank(q.join(k, "slot"), 5)
+    return S.rerank(found(q, c).join(k, "id").drop("id"), 5)
 
 
-LEX = f"""with c as (select t.id as query_id, k.id, {tokens_sql('t.text')} as q0, {tokens_sql('k.description')} as d0, {tokens_sql("coalesce(k.category, '')")} as c0, lower(k.description) as low, (k.id % 8) / 8.0::double as base from v_text t join v_catalog k on t.id % 100 = k.id % 100 where t.id % 10 = 0),
+LEX = f"""with {FOUND}, c as (select t.id as query_id, k.id, {tokens_sql('t.text')} as q0, {tokens_sql('k.description')} as d0, {tokens_sql("coalesce(k.category, '')")} as c0, lower(k.description) as low, (k.id % 8) / 8.0::double as base from found o join v_text t on t.id = o.query_id join v_catalog k on k.id = o.id),
 u as (select query_id, id, list_filter(q0, lambda x, i: list_position(q0, x) = i) as q, list_distinct(d0) as d, list_distinct(c0) as c, low, base from c), n as (select query_id, count(*) as n from u group by 1), df as (select query_id, word, count(*) as df from (select query_id, id, unnest(list_distinct(list_concat(d, c))) as word from u) group by 1, 2),
 w as (select query_id, id, unnest(q) as word, d, c from u), x as (select w.*, ln((n + 1.0) / (coalesce(df, 0) + 0.5)) + 1.0 + case when len(word) >= 5 then 0.25 else 0.0 end as weight from w join n using (query_id) left join df using (query_id, word)),
 s as (select query_id, id, sum(case when list_contains(d, word) then weight when list_contains(c, word) then weight * 0.75 else 0.0 end) / sum(weight) as share from x group by 1, 2),
@@ -150,8 +159,7 @@ select query_id, id, round(least(1.0, greatest(0.0, case when len(q) = 0 then ba
 
 @query("r12_lexical_score", "v_text v_catalog", LEX)
 def _(q, c):
-    q = q.filter("id % 10 = 0").select(C("id").alias("query_id"), C("text").alias("query"), (C("id") % 100).alias("slot"))
-    return S.lexical_score(q.join(c.select("id", "description", F.coalesce("category", F.lit("")).alias("category"), (C("id") % 8 / 8.0).alias("base"), (C("id") % 100).alias("slot")), "slot"))
+    return S.lexical_score(found(q, c).join(c.select("id", "description", F.coalesce("category", F.lit("")).alias("category"), (C("id") % 8 / 8.0).alias("base")), "id"))
 
 
 @query("r13_weighted_jaccard", "v_text v_catalog", f"""with p as (select t.id, list_distinct({tokens_sql('t.text')}) as q, list_distinct({tokens_sql('c.description')}) as d from v_text t join v_catalog c on t.id = c.id), s as (select *, list_filter(list_distinct(flatten(list_transform(q, lambda x: coalesce({SYN_SQL}[x], [])))), lambda x: not list_contains(q, x)) as o from p),
@@ -176,13 +184,13 @@ def _(q, c):
     return q.join(c, "id").select("id", F.round(S.calibrate(C("id") % 50 / 50.0, text.tokenize(C("text"), True), C("description")), 9).alias("confidence"))
 
 
-@query("r16_hybrid_match", "v_text v_catalog", f"""with q as (select id as query_id, {KEY('text')} as qk, list_distinct({tokens_sql('text')}) as q, coalesce({tokens_sql('text')}[-1], '') as core from v_text where id % 3 = 0), d as (select id, {CANON('raw_code')} as hsn_code, (id % 4) / 100.0 as bonus, {KEY('description')} as dk, list_distinct({tokens_sql('description')}) as d from v_catalog),
+@query("r16_hybrid_match", "v_text v_catalog", f"""with q as (select id as query_id, {KEY('text')} as qk, list_distinct({tokens_sql('text')}) as q, coalesce({tokens_sql('text')}[-1], '') as core from v_text where id % 100 = 0), d as (select id, {CANON('raw_code')} as hsn_code, (id % 4) / 100.0 as bonus, {KEY('description')} as dk, list_distinct({tokens_sql('description')}) as d from v_catalog),
 r as (select *, len(list_intersect(q, d)) / len(q) * 0.68 + len(list_intersect(q, d)) / len(d) * 0.20 + case when list_contains(d, core) then 0.10 else 0.0 end + bonus as raw from q, d where len(list_intersect(q, d)) > 0),
 s as (select query_id, hsn_code, round(least(1.0, case when qk = dk then greatest(raw, 0.95) when contains(dk, qk) or contains(qk, dk) then greatest(raw, 0.80) else raw end), 9)::double as score from r), g as (select query_id, hsn_code, max(score) as score, count(*) as support from s group by 1, 2)
 select *, cast(row_number() over (partition by query_id order by score desc, support desc, hsn_code) as int) as rank from g qualify rank <= 5""")
 def _(q, c):
     dataset = c.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"), "description", (C("id") % 4 / 100.0).alias("bonus"))
-    return S.hybrid_match(as_queries(q.filter("id % 3 = 0"), "id", "text"), dataset, 5)
+    return S.hybrid_match(as_queries(q.filter("id % 100 = 0"), "id", "text"), dataset, 5)
 
 
 TERMS = (("blu", "azure", 1.5), ("gere", "gear", 1.0), ("anvill", "anvil", 1.2), ("vellam", "jaggery", 2.0), ("bolt", "screw", 1.0))
@@ -196,11 +204,10 @@ def _(q):
     return S.expand_query(as_queries(q, "id", "text"), q.sparkSession.createDataFrame(list(TERMS), "term string, english string, weight double"), 0.45)
 
 
-@query("r22_rerank_overlap", "v_text v_catalog", f"""with c as (select t.id as query_id, k.id, {CANON('k.raw_code')} as hsn_code, list_distinct({tokens_sql('t.text')}) as q, list_distinct({tokens_sql('k.description')}) as d, (k.id % 10) / 20.0 as base from v_text t join v_catalog k on t.id % 200 = k.id % 200 where t.id % 4 = 0)
+@query("r22_rerank_overlap", "v_text v_catalog", f"""with {FOUND}, c as (select t.id as query_id, k.id, {CANON('k.raw_code')} as hsn_code, list_distinct({tokens_sql('t.text')}) as q, list_distinct({tokens_sql('k.description')}) as d, (k.id % 10) / 20.0 as base from found o join v_text t on t.id = o.query_id join v_catalog k on k.id = o.id)
 select query_id, id, hsn_code, round(least(0.92, base + 0.22 * len(list_intersect(q, d)) / greatest(len(q), 1) + case when hsn_code[1:2] in ('10', '20') then 0.04 else 0.0 end + 0.01 * (count(*) over (partition by query_id, hsn_code) - 1)), 9)::double as score from c""")
 def _(q, c):
-    q = q.filter("id % 4 = 0").select(C("id").alias("query_id"), C("text").alias("query"), (C("id") % 200).alias("slot"))
-    k = c.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"), "description", (C("id") % 10 / 20.0).alias("base"), F.array(F.lit("10"), F.lit("20")).alias("chapters"), (C("id") % 200).alias("slot"))
-    return S.rerank_overlap(q.join(k, "slot"))
+    k = c.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"), "description", (C("id") % 10 / 20.0).alias("base"), F.array(F.lit("10"), F.lit("20")).alias("chapters"))
+    return S.rerank_overlap(found(q, c).join(k, "id"))
 
 

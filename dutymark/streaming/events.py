@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +11,10 @@ C = F.col
 
 
 def miss_counts(events: DataFrame) -> DataFrame:
-    """(name, n, normalized, first_word, updated): per product name cut to 500 letters; the last normal form, the first word cut to 100."""
+    """(name, n, normalized, first_word, updated, normalized_at): per product name cut to 500 letters; the last normal form that is not null and its time, the first word cut to 100."""
     e = events.withColumn("name", F.substring("product_name", 1, 500))
-    g = e.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max_by("normalized", F.struct("ts", "event_id")).alias("normalized"), F.max("ts").alias("updated"))
-    return g.select("name", "n", "normalized", F.substring(F.substring_index("name", " ", 1), 1, 100).alias("first_word"), "updated")
+    g = e.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(C("normalized").isNotNull(), F.struct("ts", "event_id", "normalized"))).alias("last"), F.max("ts").alias("updated"))
+    return g.select("name", "n", C("last.normalized").alias("normalized"), F.substring(F.substring_index("name", " ", 1), 1, 100).alias("first_word"), "updated", C("last.ts").alias("normalized_at"))
 
 
 def cache_state(events: DataFrame, now: str, days: int = 30) -> DataFrame:
@@ -45,51 +42,21 @@ def stream_calls(stream: DataFrame, limit: int, delay: str = "10 minutes") -> Da
     return calls_per_minute(stream.withWatermark("ts", delay), limit)
 
 
-class VersionedTable:
-    """Parquet versions in a folder; a small file names the current one, written last, so a failed write changes nothing."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        jvm = spark.sparkContext._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _current(self) -> dict | None:
-        named = self._at(f"{self.path}/current")
-        if not self._fs.exists(named):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/current").first()[0])
-
-    def read(self) -> DataFrame | None:
-        now = self._current()
-        return None if now is None else self.spark.read.parquet(f"{self.path}/{now['version']}")
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        """Batches already written are left out, so that a replayed one changes nothing."""
-        now = self._current()
-        if now is not None and now["batch"] >= batch:
-            return
-        version = f"v{batch}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        out = self._fs.create(self._at(f"{self.path}/current"), True)
-        try:
-            out.write(bytearray(json.dumps({"version": version, "batch": batch}).encode()))
-        finally:
-            out.close()
+def merge_misses(counts: DataFrame) -> DataFrame:
+    """miss_counts of several batches as one: counts added up, the latest normal form and time."""
+    g = counts.groupBy("name").agg(F.sum("n").alias("n"), F.max(F.when(C("normalized").isNotNull(), F.struct("normalized_at", "normalized"))).alias("last"), F.first("first_word").alias("first_word"), F.max("updated").alias("updated"))
+    return g.select("name", "n", C("last.normalized").alias("normalized"), "first_word", "updated", C("last.normalized_at").alias("normalized_at"))
 
 
-def merge_misses(old: DataFrame | None, more: DataFrame) -> DataFrame:
-    """Counts added up; the later batch's normal form and time win."""
-    if old is None:
-        return more
-    both = old.unionByName(more)
-    return both.groupBy("name").agg(F.sum("n").alias("n"), F.max_by("normalized", "updated").alias("normalized"), F.first("first_word").alias("first_word"), F.max("updated").alias("updated"))
-
-
-def stream_misses(stream: DataFrame, table: VersionedTable, checkpoint: str):
-    """Keep miss_counts of a stream in a versioned table; available data is read, then the query ends."""
+def stream_misses(stream: DataFrame, path: str, checkpoint: str):
+    """Write miss_counts of each batch to a folder of its own, which a replayed batch overwrites; available data is read, then the query ends."""
 
     def put(batch: DataFrame, number: int) -> None:
-        table.write(merge_misses(table.read(), miss_counts(batch)), number)
+        miss_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_misses(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of all batches under path."""
+    return merge_misses(spark.read.parquet(path).drop("batch"))

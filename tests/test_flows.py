@@ -40,6 +40,41 @@ def test_rollback_restores(spark):
     df = spark.createDataFrame([(1, "10"), (2, None)], "id long, hsn_code string")
     new, log = master.correct(df, F.col("hsn_code") == "10", F.lit("20"), "moved")
     assert sorted(map(tuple, master.rollback(new, log).collect())) == [(1, "10"), (2, None)]
+    coded, first = master.correct(df, F.col("hsn_code").isNull(), F.lit("30"), "filled")
+    moved, second = master.correct(coded, F.col("hsn_code") == "30", F.lit("40"), "moved", step=1)
+    assert sorted(map(tuple, moved.collect())) == [(1, "10"), (2, "40")]
+    assert sorted(map(tuple, master.rollback(moved, second.union(first)).collect())) == [(1, "10"), (2, None)]
+
+
+def test_upsert_takes_the_last_of_repeated_keys_and_null_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "n")], "id long, name string")
+    new = spark.createDataFrame([(3, "x", 1), (3, "z", 3), (3, "y", 2), (None, "m", 1)], "id long, name string, at int")
+    assert sorted(map(repr, map(tuple, master.upsert(old, new, ["id"], order="at").collect()))) == ["(1, 'a')", "(3, 'z')", "(None, 'm')"]
+
+
+def test_version_sees_repeated_rows(spark):
+    make = lambda rows: master.dataset_version(spark.createDataFrame(rows, "hsn_code string, key string, source string")).first()["version"]
+    a, b = [("1", "x", "s")] * 2, [("2", "y", "s")] * 2
+    assert make(a) != make(b) and make(a + b) == make(b + a)
+
+
+def test_token_set_ratios():
+    def plain(a, b):
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                h[i][j] = h[i - 1][j - 1] + 1 if x == y else max(h[i - 1][j], h[i][j - 1])
+        return h[-1][-1]
+
+    texts = ["blue steel anvil", "steel anvil blue", "red anvil", "anvil", "bleu stele", "", "x yz"]
+    for a in texts:
+        for b in texts:
+            assert similarity.common_subsequence(a, b) == plain(a, b)
+            x, y = set(a.split()), set(b.split())
+            forms = [" ".join(filter(None, [" ".join(sorted(x & y)), " ".join(sorted(s))])) for s in (set(), x - y, y - x)]
+            ratio = lambda p, q: 200 * plain(p, q) / (len(p) + len(q)) if p and q else 0.0
+            want = 0.0 if not x or not y else max(ratio(forms[i], forms[j]) for i, j in ((0, 1), (0, 2), (1, 2)))
+            assert abs(similarity.token_set_ratio(a, b) - want) < 1e-9
 
 
 def test_prefix_filter_loses_no_pair(spark, sf_dir):
@@ -66,13 +101,12 @@ def test_files(spark, tmp_path):
 
 
 def test_streams_equal_batches(spark, sf_dir, tmp_path):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("USER TERM "), F.col("user_id") % 50).alias("product_name"), F.col("user_id").alias("api_key"), F.lit("n").alias("normalized"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("USER TERM "), F.col("user_id") % 50).alias("product_name"), F.col("user_id").alias("api_key"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("n"), F.col("event_id"))).alias("normalized"))
     e.repartition(3).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    table = events.VersionedTable(spark, str(tmp_path / "table"))
-    events.stream_misses(source, table, str(tmp_path / "ck")).awaitTermination()
-    key = lambda df: sorted((r["name"], r["n"], r["updated"]) for r in df.collect())
-    assert key(table.read()) == key(events.miss_counts(e))
+    events.stream_misses(source, str(tmp_path / "table"), str(tmp_path / "ck")).awaitTermination()
+    key = lambda df: sorted(map(repr, ((r["name"], r["n"], r["normalized"], r["first_word"], r["updated"], r["normalized_at"]) for r in df.collect())))
+    assert key(events.read_misses(spark, str(tmp_path / "table"))) == key(events.miss_counts(e))
     name = f"calls_{uuid.uuid4().hex}"
     q = events.stream_calls(source, 1, "3650 days").writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
