@@ -79,18 +79,21 @@ def normalize_name(c: Column) -> Column:
 
 def product_keywords(c: Column, brands=fixed.BRANDS) -> Column:
     """The last word if long, else the last two, after leading brand words."""
-    words = F.filter(F.split(strip_noise(c), " "), lambda w: w != "")
     lead = word_list([b.upper() for b in brands])
-    first = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, w: F.struct((a["n"] + F.when(a["on"] & F.array_contains(lead, w), 1).otherwise(0)).alias("n"), (a["on"] & F.array_contains(lead, w)).alias("on")), lambda a: a["n"])
-    rest = F.slice(words, first + 1, F.size(words))
-    rest = F.when(F.size(rest) == 0, F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))).otherwise(rest)
-    last = F.element_at(rest, -1)
-    return (
-        F.when(F.size(words) == 0, F.array().cast("array<string>"))
-        .when((F.size(rest) >= 2) & (F.length(last) >= 5), F.array(last))
-        .when(F.size(rest) >= 2, F.array(F.concat_ws(" ", F.element_at(rest, -2), last)))
-        .otherwise(F.slice(rest, 1, 1))
-    )
+    count = lambda a, w: F.struct((a["n"] + F.when(a["on"] & F.array_contains(lead, w), 1).otherwise(0)).alias("n"), (a["on"] & F.array_contains(lead, w)).alias("on"))
+
+    def after_brands(words: Column) -> Column:
+        first = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), count, lambda a: a["n"])
+        rest = F.slice(words, first + 1, F.size(words))
+        return let(rest, lambda r: F.when(F.size(r) == 0, F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))).otherwise(r))
+
+    def chosen(rest: Column) -> Column:
+        last = F.get(rest, F.size(rest) - 1)
+        two = F.array(F.concat_ws(" ", F.get(rest, F.size(rest) - 2), last))
+        return F.when((F.size(rest) >= 2) & (F.length(last) >= 5), F.array(last)).when(F.size(rest) >= 2, two).otherwise(F.slice(rest, 1, 1))
+
+    words = F.filter(F.split(strip_noise(c), " "), lambda w: w != "")
+    return let(words, lambda ws: F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(let(after_brands(ws), chosen)))
 
 
 def strip_sizes(c: Column, units: str = fixed.KEY_UNITS) -> Column:

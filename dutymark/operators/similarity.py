@@ -186,8 +186,8 @@ def match_brand_type(queries: DataFrame, catalog: DataFrame, floor: float = 0.35
 
 def match_extracted_keyword(queries: DataFrame, goods: DataFrame, min_sim: float = 0.25) -> DataFrame:
     """(query_id, id, similarity, confidence): the product words of the text against curated rows; 82, 75, 68 or 60 by similarity."""
-    opened = queries.select("query_id", text.expand_pos(text.fix_typos(C("text"))).alias("text")).persist()  # computed once; inlined, the nested text functions would multiply
-    words = opened.select("query_id", F.array_join(text.product_keywords(C("text")), " ").alias("text")).filter("text <> ''")
+    words = text.let(text.expand_pos(text.fix_typos(C("text"))), lambda t: F.array_join(text.product_keywords(t), " "))
+    words = queries.select("query_id", words.alias("text")).filter("text <> ''")
     best = trgm_topk(words, goods, min_sim, 1)
     s = C("similarity")
     return best.select("query_id", "id", "similarity", F.when(s >= 0.7, 82).when(s >= 0.5, 75).when(s >= 0.35, 68).otherwise(60).alias("confidence"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,30 +64,83 @@ def to_review(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence", F.least("confidence", F.lit(40))).withColumn("description", F.lit("Needs manual review")).withColumn("review", F.lit(True))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once for several readers, to the folder of spark.checkpoint.dir, and read back: a short lineage that survives lost executors.
+
+    Where that is unset, local sessions use a temporary folder; clusters have to set it.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staged(queries: DataFrame, tiers: list) -> DataFrame:
     """Candidates of all tiers, each run only on queries that no earlier one settled. tiers: functions of a queries frame."""
-    left, out = queries, None
+    left, out = kept(queries), None
     for tier in tiers:
-        found = tier(left).persist()  # read for the result and for what is left
+        found = kept(tier(left))
         out = found if out is None else out.unionByName(found)
         settled = found.filter((C("confidence") >= ACCEPT) & ~C("review")).select("query_id").distinct()
-        left = left.join(settled, "query_id", "left_anti")
+        left = kept(left.join(settled, "query_id", "left_anti"))
     return out
 
 
+def percent(score: Column) -> Column:
+    return F.round(score * 100)
+
+
+#: Tier that each step of classify_distinct counts as (fixed values): cache, verified, alias, brand, regional, exact brand, curated, keyword, broad, extracted words.
+STEP_TIERS = (0, 2, 1, 1, 3, 1, 3, 4, 5, 5)
+
+
+def broad_search(queries: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
+    """One candidate per query: similar tariff text (55 to 75), similar catalog text (85 from 0.6 on, else 70) or merged searches (40 to 90), whichever is surest."""
+    tariff = refs["tariff"].groupBy(C("hsn_code").alias("id")).agg(F.min("description").alias("description"))
+    code = refs["catalog"].select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"))
+    late = candidates(S.trgm_topk(queries, tariff, 0.32, 1), 8, C("id"), F.least(F.lit(75), F.greatest(F.lit(55), F.floor(C("similarity") * 100))), "L4_tariff_fallback", "tariff")
+    near = S.trgm_topk(queries, refs["catalog"], 0.45, 1).join(code, "id")
+    fuzzy = candidates(near, 8, C("hsn_code"), F.when(C("similarity") >= 0.6, 85).otherwise(70), "L5_fuzzy", "fuzzy")
+    no_hints = queries.select("query_id", F.array().cast("array<string>").alias("codes"))
+    merged = multi_search(queries, refs["catalog"], refs["tariff"], no_hints, 1)
+    multi = candidates(merged, 8, C("hsn_code"), F.least(F.lit(90), F.greatest(F.lit(40), F.floor(C("score") * 100))), "L5_multi", "fuzzy")
+    multi = multi.withColumn("review", C("confidence") < ACCEPT)
+    return L.first_per(late.unionByName(fuzzy).unionByName(multi), "query_id", F.desc("confidence"), "layer", "hsn_code")
+
+
 def classify_distinct(queries: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
-    """One result per distinct text: exact catalog, alias, keyword, then similar tariff texts for what is left."""
-    catalog, aliases, keywords, tariff = (refs[k] for k in ("catalog", "aliases", "keywords", "tariff"))
-    cheap = staged(queries, [
-        lambda q: candidates(L.match_exact(q, catalog), 1, codes.canonicalize_hsn(C("raw_code")), F.when(C("priority") == 0, 95).otherwise(88), "L2_verified_product", "verified"),
-        lambda q: candidates(L.match_alias(q, aliases), 2, codes.canonicalize_hsn(C("code")), F.lit(82), "L1_brand_alias", "curated"),
-        lambda q: candidates(L.match_keyword(q, keywords), 4, C("code"), F.lit(72), "L4_keyword_category", "curated"),
+    """One result per distinct text: the first acceptable of cache, exact catalog, alias, brand, regional alias, exact brand, curated, keyword, broad search, extracted words.
+
+    refs: cache (key, code), verified and catalog, aliases, brand_terms, regional, brands (brand, code), curated, keywords, tariff.
+    Texts that no step settles go to review with their best guess, 40 at most.
+    """
+    canon = lambda c: codes.canonicalize_hsn(C(c))
+    code = refs["curated"].select("id", canon("raw_code").alias("code"))
+    steps = staged(queries, [
+        lambda q: candidates(q.join(refs["cache"], q["query_id"] == refs["cache"]["key"]), 0, C("code"), F.lit(100), "L0_cache", "curated"),
+        lambda q: candidates(L.match_exact(q, refs["verified"]), 1, canon("raw_code"), F.when(C("priority") == 0, 99).otherwise(88), "L0_verified_product", "verified"),
+        lambda q: candidates(L.match_alias(q, refs["aliases"]), 2, canon("code"), F.lit(98), "L0_alias_dict", "curated"),
+        lambda q: candidates(brand_lookup(q, refs["brand_terms"], refs["catalog"], 0.65, ["oil", "rice", "salt"]), 3, canon("code"), percent(C("score")), "L1_brand_lookup", "curated"),
+        lambda q: candidates(L.match_regional_alias(q, refs["regional"], []).join(q, "query_id"), 4, canon("code"), F.when(F.lower("text") == C("alias"), 96).otherwise(92), "L0_kerala_retail", "curated"),
+        lambda q: candidates(q.join(refs["brands"], F.upper(F.trim(q["text"])) == refs["brands"]["brand"]), 5, C("code"), F.lit(99), "L1_brand_alias", "curated"),
+        lambda q: candidates(S.match_curated(q, refs["curated"]).join(code, "id"), 6, C("code"), C("confidence"), "L3_curated_master", "curated"),
+        lambda q: candidates(L.match_keyword(q, refs["keywords"]), 7, C("code"), F.lit(75), "L4_keyword_category", "curated"),
+        lambda q: broad_search(q, refs),
+        lambda q: candidates(S.match_extracted_keyword(q, refs["curated"]).join(code, "id"), 9, C("code"), C("confidence"), "L5_keyword_fallback", "fuzzy"),
     ])
-    settled = cheap.filter((C("confidence") >= ACCEPT) & ~C("review")).select("query_id").distinct()
-    rest = queries.join(settled, "query_id", "left_anti")
-    near = S.trgm_topk(rest, tariff.groupBy(C("hsn_code").alias("id")).agg(F.min("description").alias("description")), 0.32, 1)
-    late = candidates(near, 5, C("id"), F.least(F.lit(75), F.greatest(F.lit(55), F.floor(C("similarity") * 100))), "L4_tariff_fallback", "tariff")
-    return resolve_cascade(cheap.unionByName(late))
+    best = queries.select("query_id").join(resolve_cascade(steps), "query_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    ok = C("accepted")
+    tier = F.element_at(F.array(*[F.lit(t) for t in STEP_TIERS]), C("tier") + 1)
+    return best.select(
+        "query_id", F.when(ok, tier).otherwise(6).alias("tier"), "hsn_code", F.when(ok, C("confidence")).otherwise(F.least(F.coalesce("confidence", F.lit(0)), F.lit(40))).alias("confidence"),
+        F.when(ok, C("layer")).otherwise("L6_pending_review").alias("layer"), F.coalesce("trust", F.lit("none")).alias("trust"), (~ok).alias("review"), "accepted",
+    )
 
 
 def classify_bulk(rows: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
@@ -126,7 +182,7 @@ def match_query(queries: DataFrame, tariff: DataFrame, k: int = 5) -> DataFrame:
     ]
     left, out = queries, None
     for n, step in enumerate(steps, 1):
-        found = step(left).withColumn("step", F.lit(n)).persist()  # read for the result and for what is left
+        found = kept(step(left).withColumn("step", F.lit(n)))
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
     return L.top_per(out, "query_id", k, F.desc("score"), "hsn_code")
@@ -154,7 +210,7 @@ def brand_lookup(queries: DataFrame, aliases: DataFrame, catalog: DataFrame, flo
 def multi_search(queries: DataFrame, catalog: DataFrame, tariff: DataFrame, hints: DataFrame, k: int = 5) -> DataFrame:
     """Catalog hits from 0.94 settle a query; the rest is fanned out to words, similarity and prefixes and merged per code."""
     verified = S.match_verified(queries, catalog, k, 0.5).join(catalog.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code")), "id")
-    verified = verified.persist()
+    verified = kept(verified)
     early = verified.filter("score >= 0.94").select("query_id", "hsn_code", F.lit("L6_verified_products").alias("method"), "score")
     left = queries.join(early.select("query_id").distinct(), "query_id", "left_anti")
     one = tariff.groupBy("hsn_code").agg(F.min("description").alias("description"), F.min("category").alias("category"))
@@ -184,7 +240,7 @@ def layered_search(queries: DataFrame, catalog: DataFrame, tariff: DataFrame) ->
     ]
     left, out = queries, None
     for name, layer in layers:
-        found = layer(left).withColumn("layer", F.lit(name)).persist()
+        found = kept(layer(left).withColumn("layer", F.lit(name)))
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
     return out
@@ -233,7 +289,7 @@ def hybrid_cascade(queries: DataFrame, dataset: DataFrame, k: int) -> DataFrame:
     for make, base in ((text.text_key, 0.82), (text.strip_sizes, 0.76)):
         refs = dataset.withColumn("key", make(C("description"))).groupBy("key", "hsn_code").agg(F.max("bonus").alias("bonus"))
         parts.append(queries.select("query_id", make(C("text")).alias("key")).join(refs, "key").select("query_id", "hsn_code", (base + C("bonus")).alias("score")))
-    settled = parts[0].union(parts[1]).union(parts[2]).persist()
+    settled = kept(parts[0].union(parts[1]).union(parts[2]))
     left = queries.join(settled.select("query_id").distinct(), "query_id", "left_anti")
     every = settled.union(S.hybrid_match(left, dataset, k).select("query_id", "hsn_code", "score")).groupBy("query_id", "hsn_code").agg(F.round(F.max("score"), 9).alias("score"))
     return L.top_per(every, "query_id", k, F.desc("score"), "hsn_code")
@@ -241,7 +297,7 @@ def hybrid_cascade(queries: DataFrame, dataset: DataFrame, k: int) -> DataFrame:
 
 def predict_catalog(queries: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
     """classify_distinct, then for what it left open: expanded text, brand, layered search, tariff words; the best per query."""
-    first = classify_distinct(queries, refs).select(*COLUMNS).persist()
+    first = kept(classify_distinct(queries, refs).select(*COLUMNS))
     left = queries.join(first.filter(C("confidence") >= ACCEPT).select("query_id"), "query_id", "left_anti")
     later = staged(left, [
         lambda q: candidates(S.match_extracted_keyword(q, refs["catalog"]).join(refs["catalog"].select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code")), "id"), 5, C("hsn_code"), C("confidence"), "keyword", "fuzzy"),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dutymark.functions import codes, text
+from dutymark.functions import codes, fixed, text
 from dutymark.operators import lookups as L
 from dutymark.operators import similarity as S
 from dutymark.plans import cascade as W
-from dutymark.queries.lookups import ALIASES, CANON, CHAPTER, DIG, EXACT, WORD_ROWS, WORDS, as_queries
-from dutymark.queries.scalars import NO_SIZE, R1_TRI, tokens_sql
-from dutymark.queries.similarity import SIM
+from dutymark.queries.lookups import ALIASES, CANON, CHAPTER, DIG, EXACT, KEY, WORD_ROWS, WORDS, as_queries
+from dutymark.queries.scalars import NO_SIZE, NOISE, POS_SQL, R1_TRI, TYPOS_SQL, chain_sql, listed, squeeze, tokens_sql
+from dutymark.queries.similarity import SCOPE, SIM
 from dutymark.registry import query
 from dutymark.sources import files
 from dutymark.streaming import events as E
@@ -162,30 +162,82 @@ def keywords(spark):
     return spark.createDataFrame(list(WORDS), "keyword string, code string, priority int")
 
 
-# the distinct texts take the place of the rows in the SQL of the single tiers
-ONCE = "v_asked as (select distinct upper(trim(regexp_replace(query, '\\s+', ' ', 'g'))) as query from v_queries)"
-SWAP = lambda sql: sql.replace("row_id as query_id", "query as query_id").replace("from v_queries", "from v_asked")
-WORK = f"""{ONCE}, {SWAP(EXACT)}, {SWAP(ALIASES)},
-t1 as (select query_id, 1 as tier, {CANON('raw_code')} as hsn_code, case when priority = 0 then 95 else 88 end as confidence, 'L2_verified_product' as layer, 'verified' as trust from exact),
-t2 as (select query_id, 2, {CANON('code')}, 82, 'L1_brand_alias', 'curated' from alias_hits where query_id not in (select query_id from t1)),
-kw(keyword, code, priority) as (values {WORD_ROWS}),
-t4 as (select query, 4, code, 72, 'L4_keyword_category', 'curated' from v_asked join kw on contains(query, upper(keyword)) where query not in (select query_id from t1) and query not in (select query_id from t2) qualify row_number() over (partition by query order by len(keyword) desc, priority desc, keyword, code) = 1),
-rest as (select query, {R1_TRI('query')} as ta from v_asked where query not in (select query_id from t1) and query not in (select query_id from t2) and query not in (select query from t4)), tt as (select hsn_code, {R1_TRI('min(description)')} as tb from v_tariff group by 1),
-t5 as (select query, 5, hsn_code, cast(least(75, greatest(55, floor(round({SIM('ta', 'tb')}, 9) * 100))) as int), 'L4_tariff_fallback', 'tariff' from rest, tt where {SIM('ta', 'tb')} > 0.32 qualify row_number() over (partition by query order by {SIM('ta', 'tb')} desc, hsn_code) = 1),
-work as (select *, false as review from (select * from t1 union all select * from t2 union all select * from t4 union all select * from t5) where query_id <> '')"""
+# the distinct texts of all rows, and words of the tariff as short texts; they take the place of the rows in the SQL of the single tiers
+ONCE = "v_asked as materialized (select distinct upper(trim(regexp_replace(query, '\\s+', ' ', 'g'))) as query from (select query from v_queries union all select category from v_tariff union all select split_part(description, ' ', 3) from v_tariff)), v_open0 as (select query from v_asked where query <> '')"
+
+
+def swap(sql: str, step: int) -> str:
+    """SQL of a tier over the texts that are open before step."""
+    return sql.replace("row_id as query_id", "query as query_id").replace("from v_queries", f"from v_open{step}")
+
+
+def opened(step: int) -> str:
+    """The texts open after step."""
+    return f"v_open{step + 1} as materialized (select query from v_open{step} where query not in (select query_id from t{step} where confidence >= 70 and not review))"
+
+
+def tier(step: int, body: str) -> str:
+    return f"t{step} as materialized ({body}), {opened(step)}"
+
+
+TOP = lambda by: f"qualify row_number() over (partition by query_id order by {by}) = 1"
+QUERY_GRAMS = lambda step: f"g{step} as materialized (select query as query_id, {R1_TRI('query')} as ta from v_open{step})"
+CURATED = "v_catalog where starts_with(description, 'NEW ROD') or starts_with(description, 'NEW BOLT')"
+SAID = f"(select query as query_id, {squeeze('lower(query)')} as p from v_open4)"
+OPEN_WORDS = f"""kw1 as (select query as query_id, {TYPOS_SQL.replace('(text)', '(query)')} as fixed from v_open9), kw2 as (select query_id, regexp_extract_all(upper(fixed), '([A-Z0-9_]+|[^A-Z0-9_]+)') as w from kw1), kw3 as (select query_id, {POS_SQL} as text from kw2),
+kw4 as (select query_id, list_filter(string_split({squeeze(chain_sql('upper(text)', NOISE))}, ' '), lambda x: x <> '') as w from kw3), kw5 as (select query_id, w, coalesce(list_min(list_filter(range(1, len(w) + 1), lambda i: not list_contains({listed([b.upper() for b in fixed.BRANDS])}, w[i]))), len(w) + 1) as first from kw4),
+kw6 as (select query_id, w, case when first > len(w) then w[greatest(len(w) - 1, 1):] else w[first:] end as rest from kw5), kw7 as (select query_id, array_to_string(case when len(w) = 0 then [] when len(rest) >= 2 and len(rest[-1]) >= 5 then [rest[-1]] when len(rest) >= 2 then [rest[-2] || ' ' || rest[-1]] else rest[1:1] end, ' ') as kw from kw6),
+kw8 as (select query_id, {R1_TRI('kw')} as ta from kw7 where kw <> '')"""
+MERGED = f"""v8 as (select query as query_id, {KEY('query')} as k, {NO_SIZE('query')} as b from v_open8), c8 as (select id, {CANON('raw_code')} as code, {KEY('description')} as dk, {NO_SIZE('description')} as db from v_catalog), v9 as materialized (select *, {R1_TRI('k')} as tk, {R1_TRI('b')} as tb from v8), c9 as materialized (select *, {R1_TRI('dk')} as uk, {R1_TRI('db')} as ub from c8),
+s9 as materialized (select query_id, id, code, k = dk as same, b = db as bare, {SIM('tk', 'uk')} as s1, {SIM('tb', 'ub')} as s2 from v9, c9), m1 as (select query_id, id, code, round(s1, 9) as score from s9 where s1 > 0.5 {TOP('s1 desc, id')}), m2 as (select query_id, id, code, round(s2, 9) as score from s9 where s2 > 0.5 {TOP('s2 desc, id')}),
+m3 as (select query_id, id, code, max(score) as score from (select query_id, id, code, 1.0::double as score from s9 where same union all select query_id, id, code, 0.94::double from s9 where bare union all from m1 union all from m2) group by 1, 2, 3), early as (select query_id, code as hsn_code, 'L6_verified_products' as method, score from (select * from m3 {TOP('score desc, id')}) where score >= 0.94),
+one as materialized (select hsn_code, min(description) as description, min(category) as category from v_tariff group by 1), w8 as (select query as query_id, list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda x: x <> '') as l from v_open8 where query not in (select query_id from early)), d8 as (select query_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:8] as l from w8), e8 as (select query_id, len(l) as n, unnest(range(1, len(l) + 1)) as pos, unnest(l) as word from d8),
+k8 as (select hsn_code, token, max(weight) as weight from (select hsn_code, unnest(string_split_regex(lower(description), '[^a-z0-9]+')) as token, 1.0 as weight from one union all select hsn_code, unnest(string_split_regex(lower(category), '[^a-z0-9]+')), 0.4 from one) where token <> '' group by 1, 2),
+p8 as (select query_id, hsn_code, pos, max(weight) as weight from e8 join k8 on word = token or (pos = n and len(word) >= 2 and starts_with(token, word)) group by 1, 2, 3), f8 as (select query_id, hsn_code, round(sum(weight) / (1 + sum(weight)), 9)::double as score from p8 group by 1, 2), words8 as (select query_id, hsn_code, 'L2_inverted_index' as method, score from f8 {TOP('score desc, hsn_code')}),
+one8 as materialized (select hsn_code, {R1_TRI('description')} as tb from one), near8 as (select query_id, hsn_code, 'L3_pg_trgm_fuzzy' as method, round({SIM('ta', 'tb')}, 9) as score from g8, one8 where query_id not in (select query_id from early) and {SIM('ta', 'tb')} > 0.3 {TOP(SIM('ta', 'tb') + ' desc, hsn_code')}),
+pool8 as (select *, score + case method when 'L6_verified_products' then 0.18 when 'L2_inverted_index' then 0.10 else 0.05 end::double as adjusted from (from early union all from words8 union all from near8) where hsn_code not in ('', '99999999', '00000000')),
+multi8 as (select query_id, hsn_code, cast(least(90, greatest(40, floor(round(least(1.0, greatest(0.0, adjusted)), 4) * 100))) as int) as confidence from pool8 {TOP('adjusted desc, hsn_code')})"""
+STEPS = f"""{ONCE}, cache as (select upper(trim(regexp_replace(description, '\\s+', ' ', 'g'))) as key, min({CANON('raw_code')}) as code from v_catalog where id % 50 = 0 group by 1),
+{tier(0, "select query as query_id, 0 as step, code as hsn_code, 100 as confidence, 'L0_cache' as layer, 'curated' as trust, false as review from v_open0 join cache on query = key")},
+{swap(EXACT, 1).replace('from v_catalog)', 'from v_catalog where id % 3 = 1)')}, {tier(1, f"select query_id, 1 as step, {CANON('raw_code')} as hsn_code, case when priority = 0 then 99 else 88 end as confidence, 'L0_verified_product' as layer, 'verified' as trust, false as review from exact")},
+{swap(ALIASES, 2).replace('join v_alias on', "join (select * from v_alias where starts_with(alias, 'blue ')) on")}, {tier(2, f"select query_id, 2 as step, {CANON('code')} as hsn_code, 98 as confidence, 'L0_alias_dict' as layer, 'curated' as trust, false as review from alias_hits")},
+terms as (select {NO_SIZE('description')} as term, min({CANON('raw_code')}) as code, max(1.0 + (id % 10) / 8.0) as weight from v_catalog where starts_with(description, 'COLD ') group by 1), bt as (select query as query_id, {NO_SIZE('query')} as n from v_open3), bk as (select query_id, unnest([0, 1]) as pos, unnest([coalesce(list_filter(string_split(n, ' '), lambda w: len(w) >= 2 and not list_contains({listed([x.upper() for x in fixed.STOPWORDS])}, w))[1], ''), array_to_string(string_split(n, ' ')[1:2], ' ')]) as term from bt),
+bh as (select query_id, code, least(1.0, weight / 2) as score from bk join terms using (term) where term <> '' {TOP('pos, weight desc, code')}), {tier(3, f"select query_id, 3 as step, {CANON('code')} as hsn_code, cast(round(score * 100) as int) as confidence, 'L1_brand_lookup' as layer, 'curated' as trust, false as review from bh where score >= 0.65")},
+ra as (select query_id, alias, code, p from {SAID} join (select * from v_alias where starts_with(alias, 'hot ')) on starts_with(p, alias) or (len(alias) >= 10 and starts_with(p, alias[1:8])) where len(p) >= 3 {TOP('p = alias desc, len(alias) desc, alias')}), {tier(4, f"select query_id, 4 as step, {CANON('code')} as hsn_code, case when p = alias then 96 else 92 end as confidence, 'L0_kerala_retail' as layer, 'curated' as trust, false as review from ra")},
+brands as (select description as brand, min({CANON('raw_code')}) as code from v_catalog where starts_with(description, 'LARGE ') group by 1), {tier(5, "select query as query_id, 5 as step, code as hsn_code, 99 as confidence, 'L1_brand_alias' as layer, 'curated' as trust, false as review from v_open5 join brands on query = brand")},
+{QUERY_GRAMS(6)}, cur as materialized (select id, {CANON('raw_code')} as code, id % 3 as scope, {R1_TRI('description')} as tb from {CURATED}), ch as (select query_id, code, round({SIM('ta', 'tb')}, 9) as s from g6, cur where {SIM('ta', 'tb')} > 0.38 {TOP(f"scope, round({SIM('ta', 'tb')}, 9) desc, id")}), {tier(6, "select query_id, 6 as step, code as hsn_code, cast(case when s > 0.5 then 80 else greatest(65, floor(s * 100)) end as int) as confidence, 'L3_curated_master' as layer, 'curated' as trust, false as review from ch")},
+kwm(keyword, code, priority) as (values {WORD_ROWS}), {tier(7, f"select query as query_id, 7 as step, code as hsn_code, 75 as confidence, 'L4_keyword_category' as layer, 'curated' as trust, false as review from v_open7 join kwm on contains(query, upper(keyword)) {TOP('len(keyword) desc, priority desc, keyword, code')}")},
+{QUERY_GRAMS(8)}, {MERGED}, late8 as (select query_id, hsn_code, cast(least(75, greatest(55, floor(round({SIM('ta', 'tb')}, 9) * 100))) as int) as confidence from g8, one8 where {SIM('ta', 'tb')} > 0.32 {TOP(SIM('ta', 'tb') + ' desc, hsn_code')}),
+c8g as materialized (select id, {CANON('raw_code')} as hsn_code, {R1_TRI('description')} as tb from v_catalog), fuzzy8 as (select query_id, hsn_code, case when round({SIM('ta', 'tb')}, 9) >= 0.6 then 85 else 70 end as confidence from g8, c8g where {SIM('ta', 'tb')} > 0.45 {TOP(SIM('ta', 'tb') + ' desc, id')}),
+{tier(8, f"select query_id, 8 as step, hsn_code, confidence, layer, trust, layer = 'L5_multi' and confidence < 70 as review from (select *, 'L4_tariff_fallback' as layer, 'tariff' as trust from late8 union all select *, 'L5_fuzzy', 'fuzzy' from fuzzy8 union all select *, 'L5_multi', 'fuzzy' from multi8) {TOP('confidence desc, layer, hsn_code')}")},
+{OPEN_WORDS}, kh as (select query_id, code, round({SIM('ta', 'tb')}, 9) as s from kw8, cur where {SIM('ta', 'tb')} > 0.25 {TOP(SIM('ta', 'tb') + ' desc, id')}), {tier(9, "select query_id, 9 as step, code as hsn_code, case when s >= 0.7 then 82 when s >= 0.5 then 75 when s >= 0.35 then 68 else 60 end as confidence, 'L5_keyword_fallback' as layer, 'fuzzy' as trust, false as review from kh")},
+every as (select *, confidence >= 70 and not review as accepted from ({' union all '.join(f'from t{n}' for n in range(10))})), best as (select * from every {TOP('accepted desc, case when accepted then step else -confidence end, step, confidence desc, hsn_code')}),
+work as materialized (select a.query as query_id, case when coalesce(accepted, false) then cast([0, 2, 1, 1, 3, 1, 3, 4, 5, 5][step + 1] as int) else 6 end as tier, hsn_code, case when coalesce(accepted, false) then confidence else least(coalesce(confidence, 0), 40) end as confidence, case when coalesce(accepted, false) then layer else 'L6_pending_review' end as layer, coalesce(trust, 'none') as trust,
+not coalesce(accepted, false) as review, coalesce(accepted, false) as accepted from v_open0 a left join best on best.query_id = a.query)"""
 
 
 def refs(c, a, t, h):
-    return {"catalog": c, "aliases": a, "keywords": keywords(c.sparkSession), "tariff": t, "goods": goods(t), "services": services(c.sparkSession), "history": h}
+    code = F.min(canon(C("raw_code"))).alias("code")
+    opens = lambda df, column, word: df.filter(F.startswith(column, F.lit(word)))
+    return {
+        "cache": c.filter("id % 50 = 0").groupBy(text.query_key(C("description")).alias("key")).agg(code), "verified": c.filter("id % 3 = 1"), "catalog": c, "aliases": opens(a, "alias", "blue "), "regional": opens(a, "alias", "hot "),
+        "brand_terms": opens(c, "description", "COLD ").groupBy(text.strip_sizes(C("description")).alias("term")).agg(code, F.max(1.0 + (C("id") % 10) / 8.0).alias("weight")), "brands": opens(c, "description", "LARGE ").groupBy(C("description").alias("brand")).agg(code),
+        "curated": opens(c, "description", "NEW ROD").unionByName(opens(c, "description", "NEW BOLT")).selectExpr("id", "description", "raw_code", SCOPE), "keywords": keywords(c.sparkSession), "tariff": t, "goods": goods(t), "services": services(c.sparkSession), "history": h,
+    }
 
 
-@query("w2_classify_distinct", "v_queries v_catalog v_alias v_tariff", f"with {WORK} select *, confidence >= 70 as accepted from work")
+def asked(q, t):
+    short = t.select(C("category").alias("query")).union(t.select(F.split_part("description", F.lit(" "), F.lit(3))))
+    every = q.select("query").union(short).select(text.query_key(C("query")).alias("query_id")).distinct().filter("query_id <> ''")
+    return every.withColumn("text", C("query_id"))
+
+
+@query("w2_classify_distinct", "v_queries v_catalog v_alias v_tariff", f"with {STEPS} select * from work")
 def _(q, c, a, t):
-    asked = q.select(text.query_key(C("query")).alias("query_id")).distinct().withColumn("text", C("query_id"))
-    return W.classify_distinct(asked, refs(c, a, t, None))
+    return W.classify_distinct(asked(q, t), refs(c, a, t, None))
 
 
-@query("w9_classify_bulk", "v_queries v_catalog v_alias v_tariff v_rate_history", f"""with {WORK}, {TAX}, x as (select * exclude (sv) replace ({FINAL} as review, {SHOW} as hsn_code) from ({taxed('work')}))
+@query("w9_classify_bulk", "v_queries v_catalog v_alias v_tariff v_rate_history", f"""with {STEPS}, {TAX}, x as (select * exclude (sv) replace ({FINAL} as review, {SHOW} as hsn_code) from ({taxed('work')}))
 select row_id, v_queries.query, hsn_code, confidence, tier, layer, gst_rate, effective_tax, coalesce(review, true) as review from v_queries left join x on x.query_id = upper(trim(regexp_replace(v_queries.query, '\\s+', ' ', 'g')))""")
 def _(q, c, a, t, h):
     return W.classify_bulk(q, refs(c, a, t, h))
