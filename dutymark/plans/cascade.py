@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dutymark.functions import codes, text
 from dutymark.operators import lookups as L
+from dutymark.operators import master as M
 from dutymark.operators import similarity as S
 
 C = F.col
@@ -263,19 +264,37 @@ def match_regional(queries: DataFrame, aliases: DataFrame, terms: DataFrame, cat
     ]))
 
 
-def match_catalog_v3(queries: DataFrame, catalog: DataFrame, tariff: DataFrame) -> DataFrame:
-    """Passes in order: exact text, similar text, opening text, all words, embedded code, word search, part of the words."""
-    code = catalog.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"))
+def match_catalog_v3(queries: DataFrame, catalog: DataFrame, tariff: DataFrame, aliases: DataFrame, rules: DataFrame) -> DataFrame:
+    """Passes in order: whole code, exact text, similar text, opening text, all words, embedded code, word search, contained words, part of the words, regional alias.
+
+    From the second pass on candidates outside the chapters that the text's words allow (rules) are left out. Where several
+    catalog rows answer, the most frequent code wins.
+    """
+    code = catalog.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"), "description")
     one = tariff.groupBy("hsn_code").agg(F.min("description").alias("description"), F.min("category").alias("category"))
-    by_id = lambda df, tier, conf, layer: candidates(df.join(code, "id"), tier, C("hsn_code"), conf, layer, "verified")
+
+    def guarded(q: DataFrame, found: DataFrame) -> DataFrame:
+        return L.apply_chapter_hints(found, L.chapter_hints(q, rules)).select(*COLUMNS)
+
+    def vote(q: DataFrame, ids: DataFrame, tier: int, confidence: Column, layer: str) -> DataFrame:
+        shown = ids.select("query_id", "id").join(code, "id").join(L.chapter_hints(q, rules), "query_id", "left").filter(C("chapters").isNull() | F.array_contains("chapters", F.substring("hsn_code", 1, 2)))
+        won = M.majority_code(shown.select("query_id", "hsn_code", "description"), 0.0).select("query_id", "hsn_code")
+        sure = ids.groupBy("query_id").agg(F.max("score").alias("score"))
+        return candidates(won.join(sure, "query_id"), tier, C("hsn_code"), confidence, layer, "verified")
+
+    listed = lambda df: df.withColumn("score", F.lit(1.0))
+    weights = {"description": 1.0, "category": 0.4}
     return resolve_cascade(staged(queries, [
-        lambda q: candidates(L.match_exact(q, catalog), 0, codes.canonicalize_hsn(C("raw_code")), F.lit(96), "exact", "verified"),
-        lambda q: by_id(S.trgm_topk(q, catalog, 0.55, 1), 1, F.round(C("similarity") * 100), "similar"),
-        lambda q: by_id(L.match_prefix(q, catalog, 1), 2, F.lit(80), "prefix"),
-        lambda q: by_id(L.match_words(q, catalog, "all", 1), 3, F.lit(74), "words"),
-        lambda q: candidates(L.match_embedded_code(q, one, 1), 4, C("hsn_code"), F.round(C("score") * 100), "code", "tariff"),
-        lambda q: candidates(S.fts_search(q, one, {"description": 1.0, "category": 0.4}, 1, key="hsn_code"), 5, C("hsn_code"), F.round(C("score") * 90), "search", "tariff"),
-        lambda q: by_id(L.match_words(q, catalog, "most", 1), 6, F.lit(58), "part"),
+        lambda q: candidates(L.match_code(q.filter(C("text").rlike("^[0-9. ]+$")), one), 0, C("hsn_code"), F.lit(98), "code", "tariff"),
+        lambda q: candidates(L.match_exact(q, catalog), 1, codes.canonicalize_hsn(C("raw_code")), F.lit(96), "exact", "verified"),
+        lambda q: vote(q, S.trgm_topk(q, catalog, 0.55, 10).withColumnRenamed("similarity", "score"), 2, percent(C("score")), "similar"),
+        lambda q: vote(q, listed(L.match_prefix(q, catalog, 10)), 3, F.lit(80), "prefix"),
+        lambda q: vote(q, listed(L.match_words(q, catalog, "all", 10)), 4, F.lit(74), "words"),
+        lambda q: guarded(q, candidates(L.match_embedded_code(q, one, 10), 5, C("hsn_code"), percent(C("score")), "embedded", "tariff")),
+        lambda q: guarded(q, candidates(S.fts_search(q, one, weights, 10, key="hsn_code"), 6, C("hsn_code"), F.round(C("score") * 90), "search", "tariff")),
+        lambda q: guarded(q, candidates(L.first_per(L.token_contains(q, one, "hsn_code"), "query_id", F.desc("coverage"), "hsn_code"), 7, C("hsn_code"), F.round(C("coverage") * 70), "contained", "tariff")),
+        lambda q: vote(q, listed(L.match_words(q, catalog, "most", 10)), 8, F.lit(58), "part"),
+        lambda q: guarded(q, candidates(L.match_regional_alias(q, aliases, []), 9, codes.canonicalize_hsn(C("code")), F.lit(85), "regional", "curated")),
     ]))
 
 
@@ -296,11 +315,33 @@ def hybrid_cascade(queries: DataFrame, dataset: DataFrame, k: int) -> DataFrame:
 
 
 def predict_catalog(queries: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
-    """classify_distinct, then for what it left open: expanded text, brand, layered search, tariff words; the best per query."""
-    first = kept(classify_distinct(queries, refs).select(*COLUMNS))
-    left = queries.join(first.filter(C("confidence") >= ACCEPT).select("query_id"), "query_id", "left_anti")
-    later = staged(left, [
-        lambda q: candidates(S.match_extracted_keyword(q, refs["catalog"]).join(refs["catalog"].select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code")), "id"), 5, C("hsn_code"), C("confidence"), "keyword", "fuzzy"),
-        lambda q: candidates(layered_search(q, refs["catalog"], refs["tariff"]), 6, C("hsn_code"), F.round(C("score") * 100), "layered", "tariff"),
-    ])
-    return resolve_cascade(first.unionByName(later))
+    """classify_distinct, then for what it left open, in order: expanded text, brand, verified catalog, words, similar tariff, product name, brand and type, layers, regional chain, frequent tariff.
+
+    refs as for classify_distinct, and terms (term, english, weight). The first acceptable answer wins, else the surest one.
+    """
+    catalog, tariff = refs["catalog"], refs["tariff"]
+    first = kept(classify_distinct(queries, refs))
+    left = queries.join(first.filter("accepted").select("query_id"), "query_id", "left_anti")
+    code = catalog.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"))
+    one = tariff.groupBy("hsn_code").agg(F.min("description").alias("description"), F.min("category").alias("category"))
+    weights = {"description": 1.0, "category": 0.4}
+
+    def expanded(q: DataFrame) -> DataFrame:
+        said = S.expand_query(q, refs["terms"]).select("query_id", C("expanded").alias("text"))
+        return candidates(S.trgm_topk(said, one.withColumnRenamed("hsn_code", "id"), 0.35, 1), 10, C("id"), percent(C("similarity")), "expanded", "fuzzy")
+
+    rungs = [
+        expanded,
+        lambda q: candidates(brand_lookup(q, refs["brand_terms"], catalog, 0.55, []), 11, C("code"), percent(C("score")), "brand", "fuzzy"),
+        lambda q: candidates(S.match_verified(q, catalog, 1).join(code, "id"), 12, C("hsn_code"), percent(C("score")), "verified", "verified"),
+        lambda q: candidates(S.fts_search(q, one, weights, 1, key="hsn_code"), 13, C("hsn_code"), percent(C("score")), "inverted", "tariff"),
+        lambda q: candidates(S.trgm_topk(q, one.withColumnRenamed("hsn_code", "id"), 0.3, 1), 14, C("id"), percent(C("similarity")), "trigram", "tariff"),
+        lambda q: candidates(S.match_product_name(q, catalog).join(code, "id"), 15, C("hsn_code"), percent(C("similarity")), "product_name", "fuzzy"),
+        lambda q: candidates(S.match_brand_type(q, catalog).join(code, "id"), 16, C("hsn_code"), percent(C("score")), "brand_type", "fuzzy"),
+        lambda q: candidates(layered_search(q, catalog, tariff), 17, C("hsn_code"), percent(C("score")), "layered", "tariff"),
+        lambda q: match_regional(q, refs["regional"], refs["terms"], catalog, []).select(*COLUMNS).withColumn("tier", F.lit(18)),
+        lambda q: candidates(S.match_tariff(q, tariff, code, k=1), 19, C("hsn_code"), C("confidence"), "tariff", "tariff"),
+    ]
+    later = staged(left, rungs)
+    # answers of the ladder stand behind those that classify_distinct accepted, and compete with its best guesses
+    return resolve_cascade(first.select(*COLUMNS).unionByName(later).filter("hsn_code is not null"))

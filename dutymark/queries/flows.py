@@ -8,7 +8,7 @@ from dutymark.functions import codes, fixed, text
 from dutymark.operators import lookups as L
 from dutymark.operators import similarity as S
 from dutymark.plans import cascade as W
-from dutymark.queries.lookups import ALIASES, CANON, CHAPTER, DIG, EXACT, KEY, WORD_ROWS, WORDS, as_queries
+from dutymark.queries.lookups import ALIASES, CANON, CHAPTER, DIG, EXACT, KEY, WORD_ROWS, WORDS, as_queries, rule_table
 from dutymark.queries.scalars import NO_SIZE, NOISE, POS_SQL, R1_TRI, TYPOS_SQL, chain_sql, listed, squeeze, tokens_sql
 from dutymark.queries.similarity import SCOPE, SIM
 from dutymark.registry import query
@@ -327,3 +327,14 @@ def _(x, a, c):
 @query("w14_hybrid_cascade", "v_text v_catalog")
 def _(x, c):
     return W.hybrid_cascade(as_queries(x, "id", "text"), c.select("id", canon(C("raw_code")).alias("hsn_code"), "description", (C("id") % 4 / 100.0).alias("bonus")), 5)
+
+
+@query("w5_predict_catalog", "v_queries v_catalog v_alias v_tariff")
+def _(q, c, a, t):
+    terms = c.sparkSession.createDataFrame([("promo", "gear", 2.0), ("small", "little", 1.0)], "term string, english string, weight double")
+    return W.predict_catalog(asked(q, t), refs(c, a, t, None) | {"terms": terms})
+
+
+@query("w7_match_catalog_v3", "v_text v_catalog v_tariff v_alias")
+def _(x, c, t, a):
+    return W.match_catalog_v3(as_queries(x, "id", "text"), c, t, a, rule_table(c.sparkSession))
