@@ -275,7 +275,7 @@ def category_counts(taxonomy: DataFrame, tariff: DataFrame) -> DataFrame:
 def match_food_hint(queries: DataFrame, hints: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
     """The longest hint inside the text gives words; catalog rows that hold all of up to three of them."""
     q = queries.select("query_id", F.lower("text").alias("said"))
-    found = first_per(q.join(F.broadcast(hints), F.contains(q["said"], hints["hint"])), "query_id", F.desc(F.length("hint")), "hint")
+    found = first_per(q.join(hints, F.contains(q["said"], hints["hint"])), "query_id", F.desc(F.length("hint")), "hint")
     words = found.select("query_id", F.explode(F.slice(F.split("words", " "), 1, 3)).alias("word"), F.least(F.size(F.split("words", " ")), F.lit(3)).alias("need"))
     held = catalog.select("id", F.explode(F.array_distinct(F.split(F.lower("description"), " "))).alias("word"))
     hits = words.join(held, "word").groupBy("query_id", "id", "need").agg(F.count_distinct("word").alias("n")).filter("n = need")
