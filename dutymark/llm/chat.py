@@ -63,14 +63,14 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     rows = turns.select(
         "conv_id",
         F.struct(
-            F.col("turn").alias("turn"), role.alias("role"), escape(F.coalesce(F.col("text"), F.lit(""))).alias("body"),
+            F.col("turn").alias("turn"), role.alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("body"),
             marks(lambda r: r.open, F.concat(F.lit(t.other.open), escape(role), F.lit("] "))).alias("open"),
             marks(lambda r: r.close, F.lit(t.other.close)).alias("close"), role.isin([n for n, r in t.roles.items() if r.loss]).alias("loss"),
         ).alias("t"),
     )
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     part = lambda text, loss=F.lit(False): F.struct(text.alias("text"), loss.alias("loss"))
-    segments = F.flatten(F.transform("turns", lambda x: F.array(part(F.lit(BEGIN)), part(x["open"]), part(x["body"], x["loss"]), part(x["close"]), part(F.lit(END)))))
+    segments = F.flatten(F.transform("turns", lambda x: F.array(part(F.lit(BEGIN)), part(x["open"]), part(escape(x["body"]), x["loss"]), part(x["close"]), part(F.lit(END)))))
     moves = F.create_map(*chain.from_iterable((F.lit(f"{s}|{r}"), F.lit(to)) for (s, r), to in t.moves.items()))
     state = F.aggregate("turns", F.lit("start"), lambda s, x: F.coalesce(F.try_element_at(moves, F.concat(s, F.lit("|"), x["role"])), F.lit("invalid")))
     out = chats.select("conv_id", segments.alias("segments"), state.alias("state"))

@@ -35,3 +35,11 @@ def test_segments_make_the_text(spark):
 
 def test_empty_table(spark):
     assert read_chats(format_chats(spark.createDataFrame([], TURNS))).count() == 0
+
+
+def test_ties_are_ordered_by_the_text_itself(spark):
+    texts = ["Z", "<a", "[b", "\\c", "a", ""]
+    rows = [(1, 0, "user", t) for t in texts]
+    out = format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).first()
+    coded = lambda t: t.replace("\\", "\\b").replace("<", "\\l").replace("[", "\\s").replace("]", "\\e")
+    assert [x["text"] for x in out["segments"]][2::5] == [coded(t) for t in sorted(texts)]
