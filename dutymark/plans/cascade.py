@@ -247,8 +247,11 @@ def layered_search(queries: DataFrame, catalog: DataFrame, tariff: DataFrame) ->
     return out
 
 
-def match_regional(queries: DataFrame, aliases: DataFrame, terms: DataFrame, catalog: DataFrame, blocked: list[str]) -> DataFrame:
-    """Candidates by regional alias, expanded text (from 0.45, less 0.03), model code and footwear shape; the first acceptable one."""
+def match_regional(queries: DataFrame, aliases: DataFrame, terms: DataFrame, catalog: DataFrame, blocked: list[str], foods: DataFrame | None = None) -> DataFrame:
+    """Candidates by regional alias, expanded text (from 0.45, less 0.03), food hint, model code, footwear shape, brand and type, and verified words; the first acceptable one.
+
+    foods: (hint, words), as match_food_hint takes them; None: no such step.
+    """
     code = catalog.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"))
 
     def expanded(q: DataFrame) -> DataFrame:
@@ -256,12 +259,23 @@ def match_regional(queries: DataFrame, aliases: DataFrame, terms: DataFrame, cat
         near = S.trgm_topk(said, catalog.select("id", F.lower("description").alias("description")), 0.45, 1, strict=False).join(code, "id")
         return candidates(near, 2, C("hsn_code"), F.round((C("similarity") - 0.03) * 100), "regional_expanded", "fuzzy")
 
-    return resolve_cascade(staged(queries, [
-        lambda q: candidates(L.match_regional_alias(q, aliases, blocked), 1, codes.canonicalize_hsn(C("code")), F.lit(85), "regional_alias", "curated"),
+    def worded(q: DataFrame) -> DataFrame:
+        # 58, and one more for each of the code's rows, 82 at most
+        rows = L.match_words(q, catalog, "all", 20).join(code, "id").groupBy("query_id", "hsn_code").agg(F.count(F.lit(1)).alias("n"))
+        return candidates(L.first_per(rows, "query_id", F.desc("n"), "hsn_code"), 7, C("hsn_code"), F.least(F.lit(82), 58 + C("n")), "verified_words", "verified")
+
+    steps = [
+        lambda q: candidates(L.match_regional_alias(q, aliases, blocked).join(q, "query_id"), 1, codes.canonicalize_hsn(C("code")), F.when(F.lower("text") == C("alias"), 96).otherwise(92), "regional_alias", "curated"),
         expanded,
-        lambda q: candidates(L.match_model_code(q, catalog).join(code, "id"), 3, C("hsn_code"), F.lit(72), "model_code", "fuzzy"),
-        lambda q: candidates(q.withColumn("s", text.parse_footwear(C("text"))).filter("s is not null"), 4, C("s.code"), F.lit(70), "footwear", "fuzzy"),
-    ]))
+        lambda q: candidates(L.match_food_hint(q, foods, catalog, 1).join(code, "id"), 3, C("hsn_code"), F.lit(90), "food_hint", "fuzzy"),
+        lambda q: candidates(L.match_model_code(q, catalog).join(code, "id"), 4, C("hsn_code"), F.lit(92), "model_code", "fuzzy"),
+        lambda q: candidates(q.withColumn("s", text.parse_footwear(C("text"))).filter("s is not null"), 5, C("s.code"), F.lit(92), "footwear", "fuzzy"),
+        lambda q: candidates(S.match_brand_type(q, catalog).join(code, "id"), 6, C("hsn_code"), F.lit(88), "brand_type", "fuzzy"),
+        worded,
+    ]
+    if foods is None:
+        del steps[2]
+    return resolve_cascade(staged(queries, steps))
 
 
 def match_catalog_v3(queries: DataFrame, catalog: DataFrame, tariff: DataFrame, aliases: DataFrame, rules: DataFrame) -> DataFrame:

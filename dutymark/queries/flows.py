@@ -8,9 +8,9 @@ from dutymark.functions import codes, fixed, text
 from dutymark.operators import lookups as L
 from dutymark.operators import similarity as S
 from dutymark.plans import cascade as W
-from dutymark.queries.lookups import ALIASES, CANON, CHAPTER, DIG, EXACT, KEY, WORD_ROWS, WORDS, as_queries, rule_table
+from dutymark.queries.lookups import ALIASES, CANON, CHAPTER, DIG, EXACT, FOOD, KEY, WORD_ROWS, WORDS, as_queries, rule_table
 from dutymark.queries.scalars import NO_SIZE, NOISE, POS_SQL, R1_TRI, TYPOS_SQL, chain_sql, listed, squeeze, tokens_sql
-from dutymark.queries.similarity import SCOPE, SIM
+from dutymark.queries.similarity import SCOPE, SIM, fts_sql
 from dutymark.registry import query
 from dutymark.sources import files
 from dutymark.streaming import events as E
@@ -281,11 +281,15 @@ def _(x, c, t):
     return W.multi_search(as_queries(x, "id", "text"), c, t, x.select(C("id").alias("query_id"), F.array(F.lit("10")).alias("codes")))
 
 
-@query("r17_retry_with_core", "v_text v_tariff")
-def _(x, t):
-    return W.retry_with_core(as_queries(x, "id", "text"), tariff_matcher(t, 0.2))
+ONE_TARIFF = f"one as (select hsn_code, min(description) as description, min(category) as category, {R1_TRI('min(description)')} as tb from v_tariff group by 1)"
+NEAREST = lambda asked, floor: f"(select query_id, hsn_code, round({SIM('ta', 'tb')}, 9) as score from {asked}, one where {SIM('ta', 'tb')} {floor} {TOP(SIM('ta', 'tb') + ' desc, hsn_code')})"
 
 
+@query("r17_retry_with_core", "v_text v_tariff", f"""with {ONE_TARIFF}, q as (select id as query_id, {R1_TRI('text')} as ta from v_text), whole as {NEAREST('q', '> 0.2')},
+weak as (select id as query_id, coalesce({tokens_sql('text')}[-1], '') as core from v_text where id not in (select query_id from whole where score >= 0.35)), k as (select query_id, {R1_TRI('core')} as ta from weak where core <> ''), again as {NEAREST('k', '> 0.2')}
+select query_id, hsn_code, score from (from whole union all from again) {TOP('score desc, hsn_code')}""")
+def _(x, t):
+    return W.retry_with_core(as_queries(x, "id", "text"), tariff_matcher(t, 0.2))
 
 
 @query("r19_expansions", "v_text")
@@ -294,12 +298,22 @@ def _(x):
     return S.expansions(as_queries(x, "id", "text"), known)
 
 
-@query("r20_layered_search", "v_text v_catalog v_tariff")
+SAME = EXACT.replace("row_id as query_id", "id as query_id").replace("upper(query)", "upper(text)").replace("from v_queries", "from v_text")
+
+
+@query("r20_layered_search", "v_text v_catalog v_tariff", f"""with {SAME}, l1 as (select query_id, {CANON('raw_code')} as hsn_code, 1.0::double as score, 'exact' as layer from exact), {ONE_TARIFF}, near as materialized (select id as query_id, {R1_TRI('text')} as ta from v_text where id not in (select query_id from l1)),
+ct as (select id, {CANON('raw_code')} as hsn_code, {R1_TRI('description')} as tb from v_catalog), l2 as materialized (select query_id, hsn_code, round({SIM('ta', 'tb')}, 9) as score, 'catalog' as layer from near, ct where {SIM('ta', 'tb')} >= 0.35 {TOP(SIM('ta', 'tb') + ' desc, id')}),
+found as (with {fts_sql('select id as query_id, text from v_text where id not in (select query_id from l1 union all select query_id from l2)', 'or', 1, 'one')}), l3 as (select query_id, hsn_code, score, 'words' as layer from found), open as (select * from near where query_id not in (select query_id from l2 union all select query_id from l3)), l4 as {NEAREST('open', '>= 0.35')}
+from l1 union all from l2 union all from l3 union all select *, 'tariff' from l4""")
 def _(x, c, t):
     return W.layered_search(as_queries(x, "id", "text"), c, t)
 
 
-@query("r21_match_extracted_keyword", "v_text v_catalog")
+EXTRACTED = OPEN_WORDS.replace("query as query_id", "id as query_id").replace("upper(query)", "upper(text)").replace("from v_open9", "from v_text")
+
+
+@query("r21_match_extracted_keyword", "v_text v_catalog", f"""with {EXTRACTED}, c as (select id, {R1_TRI('description')} as tb from v_catalog), h as (select query_id, id, round({SIM('ta', 'tb')}, 9) as similarity from kw8, c where {SIM('ta', 'tb')} > 0.25 {TOP(SIM('ta', 'tb') + ' desc, id')})
+select *, case when similarity >= 0.7 then 82 when similarity >= 0.5 then 75 when similarity >= 0.35 then 68 else 60 end as confidence from h""")
 def _(x, c):
     return S.match_extracted_keyword(as_queries(x, "id", "text"), c)
 
@@ -321,7 +335,8 @@ def _(x, c):
 @query("w8_match_regional", "v_text v_alias v_catalog")
 def _(x, a, c):
     terms = x.sparkSession.createDataFrame([("vellam", "jaggery", 2.0), ("podi", "powder", 1.0)], "term string, english string, weight double")
-    return W.match_regional(as_queries(x, "id", "text"), a, terms, c, ["blue"])
+    foods = x.sparkSession.createDataFrame(list(FOOD), "hint string, words string")
+    return W.match_regional(as_queries(x, "id", "text"), a, terms, c, ["blue"], foods)
 
 
 @query("w14_hybrid_cascade", "v_text v_catalog")

@@ -78,10 +78,10 @@ def _(q, t, c):
     return S.match_tariff(as_queries(q, "id", "text"), t, c.select(codes.canonicalize_hsn(C("raw_code")).alias("hsn_code")), k=3)
 
 
-def fts_sql(q: str, op: str, k: int) -> str:
+def fts_sql(q: str, op: str, k: int, tariff: str = "v_tariff") -> str:
     need = "where m = n" if op == "and" else ""
     return f"""w as (select query_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as l from ({q})), d as (select query_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:8] as l from w), e as (select query_id, len(l) as n, unnest(range(1, len(l) + 1)) as pos, unnest(l) as word from d),
-k as (select hsn_code, token, max(weight) as weight from (select hsn_code, unnest(string_split_regex(lower(description), '[^a-z0-9]+')) as token, 1.0 as weight from v_tariff union all select hsn_code, unnest(string_split_regex(lower(category), '[^a-z0-9]+')), 0.4 from v_tariff) where token <> '' group by 1, 2),
+k as (select hsn_code, token, max(weight) as weight from (select hsn_code, unnest(string_split_regex(lower(description), '[^a-z0-9]+')) as token, 1.0 as weight from {tariff} union all select hsn_code, unnest(string_split_regex(lower(category), '[^a-z0-9]+')), 0.4 from {tariff}) where token <> '' group by 1, 2),
 p as (select query_id, n, hsn_code, pos, max(weight) as weight from e join k on word = token or (pos = n and len(word) >= 2 and starts_with(token, word)) group by 1, 2, 3, 4), f as (select query_id, n, hsn_code, count(*) as m, sum(weight) as s from p group by 1, 2, 3)
 select query_id, hsn_code, cast(round(s / (1 + s), 9) as double) as score, cast(row_number() over (partition by query_id order by round(s / (1 + s), 9) desc, hsn_code) as int) as rank from f {need} qualify rank <= {k}"""
 

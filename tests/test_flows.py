@@ -113,3 +113,15 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     last = spark.table(name).groupBy("api_key", "minute").agg(F.max("calls").alias("calls"))
     batch = events.calls_per_minute(e, 1).select("api_key", "minute", "calls")
     assert last.exceptAll(batch).count() == 0 and last.count() == batch.count()
+
+
+def test_regional_chain_takes_each_of_its_steps(spark):
+    catalog = spark.createDataFrame([(1, "spicy mango pickle", "20019000"), (2, "KAVYA steel ladle", "73239390"), (3, "Floor wiper long", "96039000")], "id long, description string, raw_code string")
+    aliases = spark.createDataFrame([("achar", "20011000")], "alias string, code string")
+    terms = spark.createDataFrame([("vellam", "jaggery", 2.0)], "term string, english string, weight double")
+    foods = spark.createDataFrame([("maanga", "mango pickle")], "hint string, words string")
+    asked = spark.createDataFrame([(1, "achar"), (2, "achar hot"), (3, "maanga hot jar of 12"), (4, "KAVYA steel deep ladle set box of kitchen"), (5, "nothing here")], "query_id long, text string")
+    got = {r["query_id"]: (r["layer"], r["hsn_code"], r["confidence"], r["accepted"]) for r in cascade.match_regional(asked, aliases, terms, catalog, [], foods).collect()}
+    assert got[1] == ("regional_alias", "20011000", 96, True) and got[2] == ("regional_alias", "20011000", 92, True)
+    assert got[3] == ("food_hint", "20019000", 90, True) and got[4][1:] == ("73239390", 88, True) and 5 not in got
+    assert 3 not in {r["query_id"] for r in cascade.match_regional(asked.filter("query_id = 3"), aliases, terms, catalog, []).filter("layer = 'food_hint'").collect()}
