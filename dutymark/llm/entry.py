@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and DuckDB SQL where it can express them."""
 
-from dutymark.llm import chat, classifier, decontaminate, jaccard, lm_score, mixing, pii, quality_rules, substrings, warc
+from dutymark.llm import centroids, chat, classifier, decontaminate, jaccard, lm_score, mixing, negatives, pii, quality_rules, substrings, warc
 
 QUERIES = {
     "op3_lm_scoring": lm_score.op3_lm_scoring,
@@ -13,5 +13,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
-ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op5_mixing": mixing.OP5_SQL, "op8_chat_formatting": chat.OP8_SQL}
+ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op5_mixing": mixing.OP5_SQL, "op8_chat_formatting": chat.OP8_SQL, "op12_hard_negatives": negatives.OP12_SQL, "op13_centroid_clustering": centroids.OP13_SQL}
