@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and DuckDB SQL where it can express them."""
 
-from dutymark.llm import centroids, chat, classifier, decontaminate, jaccard, lm_score, mixing, negatives, pii, quality_rules, substrings, warc
+from dutymark.llm import centroids, chat, classifier, decontaminate, jaccard, language, lm_score, mixing, negatives, pii, quality_rules, substrings, warc
 
 QUERIES = {
     "op3_lm_scoring": lm_score.op3_lm_scoring,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_language_id": language.op11_language_id,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
