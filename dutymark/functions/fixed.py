@@ -92,3 +92,6 @@ LAYER_BONUS = {"L6_verified_products": 0.18, "L2_inverted_index": 0.10, "L4_fais
 
 # Latin spellings that mark romanized Malayalam.
 ROMAN_HINTS = ("vellam", "sharkara", "chemmeen", "achar", "podi", "matta", "appam", "puttu", "kappa", "chakka")
+
+#: Words that get no similar alias.
+UNRESOLVED = ("the", "and", "for", "with", "from", "size", "pack", "kg", "gm", "ml", "ltr", "pcs", "no", "nos", "buy", "get", "new")

@@ -239,25 +239,6 @@ def strip_brand_prefix(c: Column, brands) -> Column:
     return F.trim(F.regexp_replace(F.upper(c), rf"^({alternatives})\b\s*", ""))
 
 
-@F.pandas_udf(StringType())
-def _sound(s: pd.Series) -> pd.Series:
-    """A coarse consonant key: vowels after the first letter dropped, like sounds merged, repeats once."""
-    like = str.maketrans("BPVFWCGJKQSXZDTLMNR", "PPFFWKKJKKSSSTTLNNR")
-
-    def key(t: str | None) -> str | None:
-        if t is None:
-            return None
-        t = re.sub("[^A-Z]", "", t.upper()).replace("PH", "F").replace("TH", "T").replace("CK", "K").replace("SH", "X").translate(like)
-        t = t[:1] + re.sub("[AEIOUYH]", "", t[1:])
-        return re.sub(r"(.)\1+", r"\1", t)[:6]
-
-    return s.map(key)
-
-
-def phonetic_key(c: Column) -> Column:
-    return _sound(c)
-
-
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of the lower-case words, each with two blanks before and one after."""
     words = F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dutymark.functions import fixed, text
+from dutymark.functions import fixed, sound, text
 from dutymark.operators.lookups import first_per, top_per
 
 C = F.col
@@ -348,12 +348,42 @@ def hybrid_match(queries: DataFrame, dataset: DataFrame, k: int) -> DataFrame:
     return top_per(groups, "query_id", k, F.desc("score"), F.desc("support"), "hsn_code")
 
 
-def expand_query(queries: DataFrame, aliases: DataFrame, floor: float = 0.55) -> DataFrame:
-    """(query_id, expanded): each word with an alias (exact, else similar from `floor` on; weight times similarity decides) gives way to the English term."""
+def sound_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """(a, b, similarity) of distinct words (columns a, b) with one sound, metaphone or first double metaphone, and similarity of at least `floor`.
+
+    Words without letters have no sound.
+    """
+
+    def keys(df: DataFrame, word: str) -> DataFrame:
+        own = df.select(word).distinct().withColumn("s", sound.sound_keys(C(word)))
+        # a key of either kind; the kind is part of it
+        kinds = F.array(F.struct(F.lit("m").alias("kind"), C("s.metaphone").alias("key")), F.struct(F.lit("d").alias("kind"), C("s.first").alias("key")))
+        return own.select(word, F.inline(kinds)).filter("key <> ''")
+
+    alike = keys(left, "a").join(keys(right, "b"), ["kind", "key"]).select("a", "b").distinct()
+    return alike.withColumn("similarity", text.trgm_similarity(C("a"), C("b"))).filter(C("similarity") >= floor)
+
+
+def similar_terms(words: DataFrame, aliases: DataFrame, floor: float = 0.50, sound_floor: float = 0.40, most: int = 8) -> DataFrame:
+    """(word, term, english, weight, similarity, same): for each distinct word the `most` alias rows of the greatest similarity, then weight.
+
+    A row counts from similarity `floor` on, and from `sound_floor` on if it sounds alike. Words under three letters and fixed.UNRESOLVED
+    words only have themselves as a term.
+    """
+    asked = words.select("word").distinct()
+    open_ = asked.filter((F.length("word") >= 3) & ~C("word").isin(list(fixed.UNRESOLVED))).select(C("word").alias("a"))
+    terms = aliases.select(C("term").alias("b"))
+    pairs = trgm_pairs(open_, terms, floor).unionByName(sound_pairs(open_, terms, sound_floor)).unionByName(asked.select(C("word").alias("a")).join(terms.distinct(), C("a") == C("b")).select("a", "b", F.lit(1.0).alias("similarity")))
+    best = pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    hits = best.join(aliases, best["b"] == aliases["term"]).select(C("a").alias("word"), "term", "english", "weight", "similarity", (C("a") == C("b")).alias("same"))
+    return top_per(hits, "word", most, F.desc("similarity"), F.desc("weight"), "english", rank="__r").drop("__r")
+
+
+def expand_query(queries: DataFrame, aliases: DataFrame, floor: float = 0.50, sound_floor: float = 0.40) -> DataFrame:
+    """(query_id, expanded): each word with an alias gives way to the English term: that of an equal term, else of the similar one (similar_terms)
+    with the greatest weight times similarity."""
     words = queries.select("query_id", F.posexplode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("pos", "word"))
-    distinct = words.select("word").distinct()
-    near = trgm_pairs(distinct.select(C("word").alias("a")), aliases.select(C("term").alias("b")), floor)
-    hits = near.join(aliases, near["b"] == aliases["term"]).select(C("a").alias("word"), "english", (C("weight") * C("similarity")).alias("w"), (C("a") == C("b")).alias("same"))
-    best = first_per(hits, "word", F.desc("same"), F.desc("w"), "english").select("word", "english")
+    hits = similar_terms(words, aliases, floor, sound_floor)
+    best = first_per(hits, "word", F.desc("same"), F.desc(C("weight") * C("similarity")), F.desc("similarity"), "english").select("word", "english")
     done = words.join(best, "word", "left").select("query_id", F.struct("pos", F.coalesce("english", "word").alias("word")).alias("s"))
     return done.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("s"))["word"], " ").alias("expanded"))

