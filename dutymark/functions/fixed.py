@@ -95,3 +95,6 @@ ROMAN_HINTS = ("vellam", "sharkara", "chemmeen", "achar", "podi", "matta", "appa
 
 #: Words that get no similar alias.
 UNRESOLVED = ("the", "and", "for", "with", "from", "size", "pack", "kg", "gm", "ml", "ltr", "pcs", "no", "nos", "buy", "get", "new")
+
+#: Units of the sizes that name searches leave out.
+NAME_UNITS = "g|kg|ml|l|mg|gm|pc|pcs|nos|pack|tab|tabs|caps"

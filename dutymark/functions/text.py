@@ -125,6 +125,12 @@ def tokenize(c: Column, keep_brands: bool = False) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit("([a-z]{2,})"), F.lit(1)), lambda t: ~F.array_contains(drop, t))
 
 
+def name_tokens(c: Column) -> Column:
+    """Lower-case tokens of three letters or more, sizes left out; repeats stay."""
+    bare = F.regexp_replace(F.lower(c), rf"\b\d+\s*({fixed.NAME_UNITS})\b", "")
+    return F.filter(F.split(bare, r"\s+"), lambda w: F.length(w) >= 3)
+
+
 def query_fields(c: Column) -> Column:
     """struct(brand_tokens, product_tokens, all_tokens), distinct in order."""
     every = F.array_distinct(tokenize(c, keep_brands=True))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dutymark.functions import fixed, sound, text
+from dutymark.operators import ratios
 from dutymark.operators.lookups import first_per, top_per
 
 C = F.col
@@ -124,64 +125,28 @@ def fts_search(queries: DataFrame, reference: DataFrame, weights: dict[str, floa
     return top_per(found.withColumn("score", F.round(C("s") / (1 + C("s")), 9)), "query_id", k, F.desc("score"), key).select("query_id", key, "score", "rank")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of the table as bits of one number."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for c in b:
-        hit = row & at.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """0 to 100: of the sorted common words, and these with the other words of each text, the greatest ratio of two, by insertions and deletions."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-    if both and (not one or not two):
-        return 100.0
-    n, m = (len(both) + len(s) + bool(both) for s in (one, two))
-    ratios = [200.0 * (len(both) + bool(both) + common_subsequence(one, two)) / (n + m)]
-    if both:
-        ratios += [200.0 * len(both) / (len(both) + k) for k in (n, m)]
-    return max(ratios)
-
-
-def _ratios(batches):
-    for batch in batches:
-        out = [token_set_ratio(a, b) for a, b in zip(batch["a"], batch["b"], strict=True)]
-        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "ratio": np.round(out, 4)})
-
-
-def token_set_ratios(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) plus ratio, computed in Arrow batches."""
-    return pairs.select("a", "b").distinct().mapInPandas(_ratios, "a string, b string, ratio double")
-
-
 def token_set_topk(queries: DataFrame, names: DataFrame, k: int, cutoff: float = 60.0) -> DataFrame:
-    """(query_id, id, ratio, rank): the best token-set ratios of texts that share a word of three letters or more. Distinct texts are compared once."""
+    """(query_id, id, ratio, rank): the names with the best token-set ratio of the text or one of its tokens.
+
+    Tokens have three letters or more, sizes left out. Distinct terms meet distinct names, which stand for their least id.
+    The k best names of a text are among the k best of its terms.
+    """
     q = queries.select("query_id", text.squeeze(F.lower("text")).alias("a"))
-    n = names.select("id", text.squeeze(F.lower("description")).alias("b"))
-    words = lambda df, c: df.select(c).distinct().select(c, F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))).alias("w"))
-    pairs = token_set_ratios(words(q, "a").join(words(n, "b"), "w")).filter(C("ratio") >= cutoff)
-    first = n.groupBy("b").agg(F.min("id").alias("id"))
-    best = top_per(pairs.join(first, "b"), "a", k, F.desc("ratio"), "id")
-    return q.join(best, "a").select("query_id", "id", "ratio", "rank")
+    terms = q.select("a").distinct().filter("a <> ''").select("a", F.explode(F.array_distinct(F.concat(F.array("a"), text.name_tokens(C("a"))))).alias("term"))
+    own = names.groupBy(text.squeeze(F.lower("description")).alias("name")).agg(F.min("id").alias("name_id")).filter("name <> ''")
+    near = top_per(ratios.nearest_names(terms.select("term").distinct(), own, k, cutoff), "term", k, F.desc("ratio"), "name_id").drop("rank")
+    best = terms.join(near, "term").groupBy("a", C("name_id").alias("id")).agg(F.max("ratio").alias("ratio"))
+    return q.join(top_per(best, "a", k, F.desc("ratio"), "id"), "a").select("query_id", "id", "ratio", "rank")
 
 
 def match_brand_type(queries: DataFrame, catalog: DataFrame, floor: float = 0.35) -> DataFrame:
-    """(query_id, id, score): same first word; 0.6 of the share of type words found and 0.4 of the token-set ratio."""
-    q = queries.select("query_id", text.squeeze(F.lower("text")).alias("a")).withColumn("head", F.substring_index("a", " ", 1))
-    c = catalog.groupBy(text.squeeze(F.lower("description")).alias("b")).agg(F.min("id").alias("id")).withColumn("head", F.substring_index("b", " ", 1))
-    pairs = q.select("a", "head").distinct().join(c, "head").select("a", "b", "id")
-    kinds = F.array_remove(F.array_distinct(text.tokenize(C("a"))), F.substring_index("a", " ", 1))
-    share = F.size(F.filter(kinds, lambda w: F.contains("b", w))) / F.greatest(F.size(kinds), F.lit(1))
-    scored = pairs.join(token_set_ratios(pairs), ["a", "b"]).withColumn("score", F.round(0.6 * share + 0.4 * C("ratio") / 100, 6)).filter(C("score") >= floor)
-    return q.join(first_per(scored, "a", F.desc("score"), "id"), "a").select("query_id", "id", "score")
+    """(query_id, id, score): of the names that open with the text's first token the best by 0.6 of the share of the other tokens that
+    the name holds and 0.4 of the token-set ratio. Texts under two tokens have none."""
+    q = queries.select("query_id", text.squeeze(F.lower("text")).alias("term"))
+    asked = q.select("term").distinct().filter("term is not null").withColumn("tokens", text.name_tokens(C("term")))
+    own = catalog.groupBy(text.squeeze(F.lower("description")).alias("name")).agg(F.min("id").alias("name_id")).filter("name <> ''")
+    best = first_per(ratios.brand_names(asked, own, floor), "term", F.desc("score"), "name_id")
+    return q.join(best, "term").select("query_id", C("name_id").alias("id"), "score")
 
 
 def match_extracted_keyword(queries: DataFrame, goods: DataFrame, min_sim: float = 0.25) -> DataFrame:

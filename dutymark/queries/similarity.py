@@ -199,7 +199,7 @@ TERM_SOUNDS = (("blu", "BL", "PL"), ("gere", "JR", "KR"), ("anvill", "ANFL", "AN
 SOUND_SQL = f"k(letters, m, d) as (values {', '.join(f"('{w}', '{m}', '{d}')" for w, m, d in dict.fromkeys((*SOUNDS, *TERM_SOUNDS)))})"
 
 
-@query("r18_expand_query", "v_text", f"""with {SOUND_SQL}, a(term, english, weight) as (values {TERM_ROWS}), w as (select id as query_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as l from v_text), e as (select query_id, unnest(range(len(l))) as pos, unnest(l) as word from w), u as (select distinct word from e),
+@query("r18_expand_query", "v_text", f"""with {SOUND_SQL}, a(term, english, weight) as (values {TERM_ROWS}), w as (select id as query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') as l from v_text), e as (select query_id, unnest(range(len(l))) as pos, unnest(l) as word from w), u as (select distinct word from e),
 x as (select word, {R1_TRI('word')} as ta, m, d from u left join k on k.letters = regexp_replace(word, '[^a-z]', '', 'g')), y as (select a.*, {R1_TRI('term')} as tb, m, d from a left join k on k.letters = term),
 h as (select word, english, word = term as same, {SIM('ta', 'tb')} as s, weight from x, y where word = term or (len(ta) > 0 and len(word) >= 3 and word not in ({', '.join(f"'{w}'" for w in fixed.UNRESOLVED)}) and ({SIM('ta', 'tb')} >= 0.50 or ((x.m = y.m or x.d = y.d) and {SIM('ta', 'tb')} >= 0.40)))),
 n as (select * from h qualify row_number() over (partition by word order by s desc, weight desc, english) <= 8), b as (select word, english from n qualify row_number() over (partition by word order by same desc, weight * s desc, s desc, english) = 1)

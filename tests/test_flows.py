@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from dutymark.operators import lookups, master, similarity
+from dutymark.operators import lookups, master, ratios, similarity
 from dutymark.plans import cascade
 from dutymark.sources import files
 from dutymark.streaming import events
@@ -69,12 +69,12 @@ def test_token_set_ratios():
     texts = ["blue steel anvil", "steel anvil blue", "red anvil", "anvil", "bleu stele", "", "x yz"]
     for a in texts:
         for b in texts:
-            assert similarity.common_subsequence(a, b) == plain(a, b)
+            assert ratios.common_subsequence(a, b) == plain(a, b)
             x, y = set(a.split()), set(b.split())
             forms = [" ".join(filter(None, [" ".join(sorted(x & y)), " ".join(sorted(s))])) for s in (set(), x - y, y - x)]
             ratio = lambda p, q: 200 * plain(p, q) / (len(p) + len(q)) if p and q else 0.0
             want = 0.0 if not x or not y else max(ratio(forms[i], forms[j]) for i, j in ((0, 1), (0, 2), (1, 2)))
-            assert abs(similarity.token_set_ratio(a, b) - want) < 1e-9
+            assert abs(ratios.token_set_ratio(a, b) - want) < 1e-9
 
 
 def test_prefix_filter_loses_no_pair(spark, sf_dir):
