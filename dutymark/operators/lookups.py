@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dutymark.functions import codes, text
+from dutymark.functions import codes, fixed, text
+from dutymark.operators.containment import contained, containing
 
 C = F.col
 
@@ -206,19 +207,24 @@ def brand_guard(df: DataFrame, commodity: list[str]) -> DataFrame:
 
 
 def match_keyword(queries: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(query_id, keyword, code): the longest keyword inside the text, then by priority. keywords is a short curated table."""
-    q = queries.select("query_id", F.upper("text").alias("text"))
-    hits = q.join(keywords, F.contains(q["text"], F.upper(keywords["keyword"])))
-    return first_per(hits, "query_id", F.desc(F.length("keyword")), F.desc("priority"), "keyword", "code").select("query_id", "keyword", "code")
+    """(query_id, keyword, code): the longest keyword (keyword, code, priority) inside the text, then by priority; case does not count.
+
+    Distinct texts are read once; equal ones share the answer. A query of several texts gets the best of theirs.
+    """
+    order = (F.desc(F.length("keyword")), F.desc("priority"), "keyword", "code")
+    best = first_per(containing(queries.select("text").distinct(), C("text"), keywords, F.upper), "text", *order)
+    return first_per(queries.select("query_id", "text").join(best, "text"), "query_id", *order).select("query_id", "keyword", "code")
 
 
 def match_category_keyword(queries: DataFrame, catalog: DataFrame, keywords: list[str]) -> DataFrame:
     """(query_id, keyword, code): the first listed keyword in the text gives the most frequent code of catalog rows that hold it."""
-    held = catalog.select("raw_code", F.explode(F.filter(text.word_list(keywords), lambda k: F.contains(F.lower("description"), k))).alias("keyword"))
-    n = held.groupBy("keyword", codes.canonicalize_hsn(C("raw_code")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    spark = queries.sparkSession
+    listed = spark.createDataFrame(list(enumerate(dict.fromkeys(keywords))), "place int, keyword string")
+    held = containing(catalog.groupBy(F.lower("description").alias("low"), "raw_code").agg(F.count(F.lit(1)).alias("rows")), C("low"), listed)
+    n = held.groupBy("keyword", codes.canonicalize_hsn(C("raw_code")).alias("code")).agg(F.sum("rows").alias("n"))
     modes = first_per(n, "keyword", F.desc("n"), "code").select("keyword", "code")
-    q = queries.select("query_id", F.get(F.filter(text.word_list(keywords), lambda k: F.contains(F.lower("text"), k)), F.lit(0)).alias("keyword"))
-    return q.join(modes, "keyword")
+    first = first_per(containing(queries.select("text").distinct(), C("text"), listed), "text", "place").select("text", "keyword")
+    return queries.select("query_id", "text").join(first.join(modes, "keyword"), "text").select("query_id", "keyword", "code")
 
 
 def openings(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
@@ -274,33 +280,55 @@ def category_counts(taxonomy: DataFrame, tariff: DataFrame) -> DataFrame:
 
 def match_food_hint(queries: DataFrame, hints: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
     """The longest hint inside the text gives words; catalog rows that hold all of up to three of them."""
-    q = queries.select("query_id", F.lower("text").alias("said"))
-    found = first_per(q.join(hints, F.contains(q["said"], hints["hint"])), "query_id", F.desc(F.length("hint")), "hint")
-    words = found.select("query_id", F.explode(F.slice(F.split("words", " "), 1, 3)).alias("word"), F.least(F.size(F.split("words", " ")), F.lit(3)).alias("need"))
+    order = (F.desc(F.length("keyword")), "keyword", "words")
+    listed = hints.select(C("hint").alias("keyword"), "words")
+    found = first_per(containing(queries.select("text").distinct(), C("text"), listed), "text", *order)
+    asked = first_per(queries.select("query_id", "text").join(found, "text"), "query_id", *order).select("query_id", "words")
+    # rows are sought once for each list of words
+    first = F.array_distinct(F.slice(F.split("words", " "), 1, 3))
+    words = hints.select("words").distinct().select("words", F.explode(first).alias("word"), F.size(first).alias("need"))
     held = catalog.select("id", F.explode(F.array_distinct(F.split(F.lower("description"), " "))).alias("word"))
-    hits = words.join(held, "word").groupBy("query_id", "id", "need").agg(F.count_distinct("word").alias("n")).filter("n = need")
-    return top_per(hits, "query_id", k, "id").select("query_id", "id", "rank")
+    hits = words.join(held, "word").groupBy("words", "id", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need")
+    return asked.join(top_per(hits, "words", k, "id"), "words").select("query_id", "id", "rank")
+
+
+def words_inside(asked: DataFrame, reference: DataFrame, key: str = "id") -> DataFrame:
+    """(text, word, key, size): rows of the reference whose lower-case text holds a word of asked (text, word); size is the text's length."""
+    rows = reference.select(key, F.lower("description").alias("d"), F.length("description").alias("size"))
+    pairs = contained(rows.select(C("d").alias("text")), asked.select(C("word").alias("keyword"))).select(C("text").alias("d"), C("keyword").alias("word"))
+    return asked.select("text", "word").distinct().join(pairs, "word").join(rows, "d").select("text", "word", key, "size")
 
 
 def token_contains(queries: DataFrame, reference: DataFrame, key: str = "id") -> DataFrame:
-    """(query_id, key, coverage): share of the query's words that occur inside the text, for rows with one at least.
+    """(query_id, key, coverage): share of the query's words of three letters or more that stand inside the text, for rows with one at least.
+
+    Substring semantics: distinct words meet distinct texts once, in one automaton.
+    """
+    words = queries.select("text").distinct().select("text", F.explode(F.array_distinct(text.tokenize(C("text")))).alias("word")).filter("length(word) >= 3")
+    n = words.groupBy("text").agg(F.count(F.lit(1)).alias("words"))
+    hits = words_inside(words, reference, key).groupBy("text", key).agg(F.count(F.lit(1)).alias("n"))
+    return queries.select("query_id", "text").join(hits.join(n, "text"), "text").select("query_id", key, (C("n") / C("words")).alias("coverage"))
+
+
+def match_words(queries: DataFrame, reference: DataFrame, mode: str, k: int, key: str = "id", synonyms: dict = fixed.SYNONYMS) -> DataFrame:
+    """(query_id, key, rank): rows whose text holds words of the query of three letters or more, shortest text first.
 
-    Substring semantics: distinct words meet distinct texts once, through their shared three letters.
+    "all": all of them. "most": of two or more the longest 60 %, rounded, at least one; of equally long ones those that come first. "one": the longest;
+    if no row holds it, the first of up to three of its synonyms that some row holds.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(text.tokenize(C("text")))).alias("word")).filter("length(word) >= 3")
-    n = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("words"))
-    pieces = reference.select(key, F.lower("description").alias("d"))
-    starts = pieces.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("d") - 2, F.lit(1))), lambda i: F.substring(C("d"), i, F.lit(3))))).alias("k3"), "d").distinct()
-    pairs = words.select("word", F.substring("word", 1, 3).alias("k3")).distinct().join(starts, "k3").filter(F.contains("d", "word")).select("word", "d").distinct()
-    hits = words.join(pairs, "word").groupBy("query_id", "d").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(n, "query_id").join(pieces, "d").select("query_id", key, (C("n") / C("words")).alias("coverage"))
-
-
-def match_words(queries: DataFrame, reference: DataFrame, mode: str, k: int, key: str = "id") -> DataFrame:
-    """(query_id, key, rank): rows whose text holds all words of the query, its longest 60 % ("most"), or its longest one ("one")."""
-    words = F.array_sort(F.array_distinct(F.filter(text.tokenize(C("text")), lambda w: F.length(w) >= 3)), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    take = {"all": F.size("w"), "most": F.ceil(F.size("w") * 0.6).cast("int"), "one": F.least(F.size("w"), F.lit(1))}[mode]
-    asked = queries.select("query_id", words.alias("w")).filter("size(w) > 0").select("query_id", F.slice("w", F.lit(1), take).alias("w"))
-    asked = asked.select("query_id", F.array_join("w", " ").alias("text"))
-    hits = token_contains(asked, reference, key).filter("coverage = 1.0")
-    return top_per(hits.join(reference.select(key, F.length("description").alias("size")), key), "query_id", k, "size", key).select("query_id", key, "rank")
+    listed = F.filter(F.array_distinct(text.tokenize(C("text"))), lambda w: F.length(w) >= 3)
+    places = F.transform(listed, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))
+    asked = queries.select("text").distinct().select("text", F.sort_array(places)["w"].alias("w")).filter("size(w) > 0")
+    if mode == "one":
+        others = F.filter(F.slice(text.expand_synonyms(F.slice("w", 1, 1), synonyms), 2, 1000), lambda s: (F.length(s) >= 3) & ~F.contains(s, F.lit(" ")))
+        asked = asked.select("text", F.posexplode(F.array_distinct(F.concat(F.slice("w", 1, 1), F.slice(others, 1, 3)))).alias("place", "word"))
+        hits = words_inside(asked, reference, key).join(asked, ["text", "word"])
+        least = hits.groupBy("text").agg(F.min("place").alias("place"))
+        rows = hits.join(least, ["text", "place"]).select("text", key, "size")
+    else:
+        if mode == "most":
+            asked = asked.filter("size(w) >= 2").select("text", F.slice("w", F.lit(1), F.greatest(F.lit(1), F.round(F.size("w") * 0.6).cast("int"))).alias("w"))
+        need = asked.select("text", F.size("w").alias("need"))
+        hits = words_inside(asked.select("text", F.explode("w").alias("word")), reference, key)
+        rows = hits.groupBy("text", key, "size").agg(F.count(F.lit(1)).alias("n")).join(need, "text").filter("n = need").select("text", key, "size")
+    return queries.select("query_id", "text").join(top_per(rows, "text", k, "size", key), "text").select("query_id", key, "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dutymark.functions import codes, fixed, text
+from dutymark.operators.containment import containing
 from dutymark.operators.lookups import first_per, longest_prefix_join, top_per
 
 C = F.col
@@ -273,15 +274,15 @@ def audit_tariff(df: DataFrame) -> DataFrame:
 
 def chapter_mismatch(df: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, rule_no, chapter): the first rule (rule_no, keyword, chapters) whose keyword is in the text and whose chapters lack the code's."""
-    hits = df.select("id", F.lower("description").alias("low"), F.substring("hsn_code", 1, 2).alias("chapter"))
-    first = hits.join(rules, F.contains(hits["low"], rules["keyword"])).groupBy("id", "chapter").agg(F.min(F.struct("rule_no", "chapters")).alias("r"))
+    hits = containing(df.select("id", "description", F.substring("hsn_code", 1, 2).alias("chapter")), C("description"), rules)
+    first = hits.groupBy("id", "chapter").agg(F.min(F.struct("rule_no", "chapters")).alias("r"))
     return first.filter(~F.array_contains("r.chapters", C("chapter"))).select("id", "r.rule_no", "chapter")
 
 
 def chapter_violations(df: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_no, id, chapter): every rule whose keyword is in the text and whose chapters lack the code's."""
-    hits = df.select("id", F.lower("description").alias("low"), F.substring("hsn_code", 1, 2).alias("chapter"))
-    return hits.join(rules, F.contains(hits["low"], rules["keyword"])).filter(~F.array_contains("chapters", C("chapter"))).select("rule_no", "id", "chapter")
+    hits = containing(df.select("id", "description", F.substring("hsn_code", 1, 2).alias("chapter")), C("description"), rules)
+    return hits.filter(~F.array_contains("chapters", C("chapter"))).select("rule_no", "id", "chapter")
 
 
 def chapter_coverage(df: DataFrame) -> DataFrame:

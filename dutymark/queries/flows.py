@@ -9,7 +9,7 @@ from dutymark.operators import lookups as L
 from dutymark.operators import similarity as S
 from dutymark.plans import cascade as W
 from dutymark.queries.lookups import ALIASES, CANON, CHAPTER, DIG, EXACT, FOOD, KEY, WORD_ROWS, WORDS, as_queries, rule_table
-from dutymark.queries.scalars import NO_SIZE, NOISE, POS_SQL, R1_TRI, TYPOS_SQL, chain_sql, listed, squeeze, tokens_sql
+from dutymark.queries.scalars import NO_SIZE, NOISE, POS_SQL, R1_TRI, SYN_SQL, TYPOS_SQL, chain_sql, listed, squeeze, tokens_sql
 from dutymark.queries.similarity import SCOPE, SIM, fts_sql
 from dutymark.registry import query
 from dutymark.sources import files
@@ -327,6 +327,24 @@ def _(x, c):
     return L.match_words(as_queries(x, "id", "text"), c, "all", 5)
 
 
+#: Distinct words of three letters or more of each text, longest first, of equally long ones in their order.
+LONGEST = f"""t as (select distinct id as query_id, list_filter({tokens_sql('text')}, lambda w: len(w) >= 3) as l from v_text), u as (select query_id, list_filter(l, lambda x, i: list_position(l, x) = i) as l from t),
+q as (select query_id, list_transform(list_sort(list_transform(l, lambda x, i: {{'n': -len(x), 'i': i, 'w': x}})), lambda s: s.w) as w from u where len(l) > 0), c as (select id, lower(description) as d, len(description) as size from v_catalog)"""
+
+
+@query("j21_match_most_words", "v_text v_catalog", f"""with {LONGEST}, p as (select query_id, w[1:greatest(1, cast(round(len(w) * 0.6) as int))] as w from q where len(w) >= 2), h as (select query_id, id, size from p join c on len(list_filter(w, lambda x: contains(d, x))) = len(w))
+select query_id, id, cast(row_number() over (partition by query_id order by size, id) as int) as rank from h qualify rank <= 5""")
+def _(x, c):
+    return L.match_words(as_queries(x, "id", "text"), c, "most", 5)
+
+
+@query("j21_match_one_word", "v_text v_catalog", f"""with {LONGEST}, s as (select query_id, list_concat(w[1:1], list_filter(list_filter(coalesce({SYN_SQL}[w[1]], []), lambda y: len(y) >= 3 and not contains(y, ' ')), lambda y: y <> w[1])[1:3]) as o from q),
+e as (select query_id, unnest(range(len(o))) as place, unnest(o) as word from s), h as (select query_id, place, id, size from e join c on contains(d, word)), b as (select * from h qualify place = min(place) over (partition by query_id))
+select query_id, id, cast(row_number() over (partition by query_id order by size, id) as int) as rank from b qualify rank <= 5""")
+def _(x, c):
+    return L.match_words(as_queries(x, "id", "text"), c, "one", 5)
+
+
 @query("j23_match_brand_type", "v_text v_catalog")
 def _(x, c):
     return S.match_brand_type(as_queries(x, "id", "text"), c)
