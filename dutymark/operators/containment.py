@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dutymark.operators.blocks import meet
+
 C = F.col
 
-#: Bytes of keywords that are broadcast at most, and bytes of a shard beyond; texts of a cell at most, least number worth a cell of its own, cells wanted.
-BROADCAST_BYTES, SHARD_BYTES, CELL_TEXTS, LEAST_TEXTS, CELLS = 1 << 20, 4 << 20, 65_536, 1_024, 64
+#: Bytes of keywords that are broadcast at most, and bytes of a shard beyond; texts of a cell at most, least number worth a cell of its own.
+BROADCAST_BYTES, SHARD_BYTES, CELL_TEXTS, LEAST_TEXTS = 1 << 20, 4 << 20, 65_536, 1_024
 
 _PAIRS = "text string, keyword string"
 
@@ -61,16 +63,11 @@ def contained(texts: DataFrame, keywords: DataFrame) -> DataFrame:
 
         return texts.mapInArrow(scan, _PAIRS)
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
         one, two = found(automaton(left.column("keyword").to_pylist()), right.column("text").to_pylist()) if left.num_rows and right.num_rows else ([], [])
         return pa.table({"text": pa.array(one, pa.string()), "keyword": pa.array(two, pa.string())})
 
-    n = texts.count()
-    shards, cells = -(-size // SHARD_BYTES), max(1, -(-n // CELL_TEXTS), min(CELLS, n // LEAST_TEXTS))
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    left = keywords.withColumn("shard", F.pmod(F.xxhash64("keyword"), F.lit(shards))).withColumn("cell", every(cells))
-    right = texts.withColumn("cell", F.pmod(F.xxhash64("text"), F.lit(cells))).withColumn("shard", every(shards))
-    return left.groupBy("shard", "cell").cogroup(right.groupBy("shard", "cell")).applyInArrow(meet, _PAIRS)
+    return meet(keywords, "keyword", -(-size // SHARD_BYTES), texts, "text", CELL_TEXTS, LEAST_TEXTS, both, _PAIRS)
 
 
 def containing(df: DataFrame, column: Column, keywords: DataFrame, fold=F.lower) -> DataFrame:

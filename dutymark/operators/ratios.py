@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Terms and names of a matrix; names of a cell at most, least number worth a cell of its own, cells wanted, terms of a block; pairs at once.
-TILE_TERMS, TILE_NAMES, CELL_NAMES, LEAST_NAMES, CELLS, BLOCK, PAIRS = 256, 4_096, 32_768, 1_024, 64, 4_096, 65_536
+from dutymark.operators.blocks import meet, tiles
+
+#: Terms and names of a matrix; names of a cell at most, least number worth a cell of its own, terms of a block; pairs at once.
+TILE_TERMS, TILE_NAMES, CELL_NAMES, LEAST_NAMES, BLOCK, PAIRS = 256, 4_096, 32_768, 1_024, 4_096, 65_536
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -182,18 +184,8 @@ def first_ratios(terms: list[str], names: list[str], ids: np.ndarray, k: int, cu
     return i[first], j[first], ratio[i[first], j[first]]
 
 
-def _tiles(n: int, size: int) -> Iterator[slice]:
-    return (slice(low, min(low + size, n)) for low in range(0, n, size))
-
-
 def meet_in_blocks(terms: DataFrame, names: DataFrame, find, schema: str) -> DataFrame:
-    """find(terms table, names table) for each block of terms (column term) and cell of names (columns name, name_id); rows of both are distinct by content."""
-    asked, n = terms.count(), names.count()
-    cells, blocks = max(1, -(-n // CELL_NAMES), min(CELLS, n // LEAST_NAMES)), max(1, -(-asked // BLOCK))
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    left = terms.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks))).withColumn("cell", every(cells))
-    right = names.withColumn("cell", F.pmod(F.xxhash64("name"), F.lit(cells))).withColumn("block", every(blocks))
-    return left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell")).applyInArrow(find, schema)
+    return meet(terms, "term", max(1, -(-terms.count() // BLOCK)), names, "name", CELL_NAMES, LEAST_NAMES, find, schema)
 
 
 def nearest_names(terms: DataFrame, names: DataFrame, k: int, cutoff: float) -> DataFrame:
@@ -203,8 +195,8 @@ def nearest_names(terms: DataFrame, names: DataFrame, k: int, cutoff: float) ->
         out = ([], [], [])
         if left.num_rows and right.num_rows:
             asked, own, ids = left.column("term").to_pylist(), right.column("name").to_pylist(), right.column("name_id").to_numpy()
-            for s in _tiles(len(own), TILE_NAMES):
-                for t in _tiles(len(asked), TILE_TERMS):
+            for s in tiles(len(own), TILE_NAMES):
+                for t in tiles(len(asked), TILE_TERMS):
                     i, j, ratio = first_ratios(asked[t], own[s], ids[s], k, cutoff)
                     out[0].extend(asked[t.start + a] for a in i.tolist())
                     out[1].append(ids[s][j])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dutymark.functions import fixed, sound, text
-from dutymark.operators import ratios
+from dutymark.operators import ratios, wordsearch
 from dutymark.operators.lookups import first_per, top_per
 
 C = F.col
@@ -103,26 +103,47 @@ def fts_search(queries: DataFrame, reference: DataFrame, weights: dict[str, floa
     """(query_id, key, score, rank): words of the query against words of the weighted columns.
 
     The rank is the sum of the greatest weight of each word found, squashed as s / (1 + s). The first 8 words
-    count, the last one also as a prefix; op="and" wants all of them.
+    count, the last one also as a prefix; op="and" wants all of them. Distinct lists of words are asked once.
     """
-    words = F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")), 1, 8)
-    q = queries.select("query_id", words.alias("words")).select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
-    docs = None
-    for column, weight in weights.items():
-        own = reference.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower(column), "[^a-z0-9]+"), lambda w: w != ""))).alias("token"), F.lit(weight).alias("weight"))
-        docs = own if docs is None else docs.unionByName(own)
-    docs = docs.groupBy(key, "token").agg(F.max("weight").alias("weight"))
-    hits = q.join(docs, q["word"] == docs["token"]).select("query_id", "n", "pos", key, "weight")
-    if prefix_last:
-        tokens = docs.select("token").distinct()
-        last = q.filter("pos = n - 1").select("word").distinct()
-        opened = last.withColumn("k2", F.substring("word", 1, 2)).join(tokens.withColumn("k2", F.substring("token", 1, 2)), "k2").filter(F.startswith("token", "word") & (C("token") != C("word"))).select("word", "token")
-        hits = hits.unionByName(q.filter("pos = n - 1").join(opened, "word").join(docs, "token").select("query_id", "n", "pos", key, "weight"))
-    per_word = hits.groupBy("query_id", "n", key, "pos").agg(F.max("weight").alias("weight"))
-    found = per_word.groupBy("query_id", "n", key).agg(F.count(F.lit(1)).alias("m"), F.sum("weight").alias("s"))
-    if op == "and":
-        found = found.filter("m = n")
-    return top_per(found.withColumn("score", F.round(C("s") / (1 + C("s")), 9)), "query_id", k, F.desc("score"), key).select("query_id", key, "score", "rank")
+    words = F.slice(wordsearch.plain_words(C("text")), 1, 8)
+    q = queries.select("query_id", words.alias("words")).filter("size(words) > 0").withColumn("ask", F.array_join("words", " "))
+    asked = q.select("ask", F.transform("words", lambda w: F.array(w)).alias("places")).dropDuplicates(["ask"]).withColumn("prefixes", F.array().cast("array<string>"))
+    found = wordsearch.best_rows(asked, wordsearch.indexed(reference, weights, key), k, op, prefix_last, reference.schema[key].dataType.simpleString())
+    best = top_per(found, "ask", k, F.desc("score"), "key")
+    return q.select("query_id", "ask").join(best, "ask").select("query_id", C("key").alias(key), "score", "rank")
+
+
+def weighted_search(queries: DataFrame, reference: DataFrame, k: int = 20, chapters: DataFrame | None = None, key: str = "hsn_code", synonyms: dict = fixed.SYNONYMS, mode: str = "both") -> DataFrame:
+    """(query_id, key, score, whole, rank): the first six words of the query against description (weight 1) and category (0.4).
+
+    A word may be met by one of its synonyms; the last place, with its synonyms, also by words that it begins. chapters (query_id, chapters:
+    array) keeps keys with such beginnings; queries without a row there, or with none of two digits, keep all. Rows that meet all places
+    come first: only if a query has none are those with any place taken (mode "both"; "and", "or": only these). The k best by rank are
+    scored: 2.8 * rank + 0.08 for each common word (0.35 at most) + 0.16, 0.96 at most.
+    """
+    words = F.slice(F.array_distinct(text.tokenize(C("text"))), 1, 8)
+    usable = lambda w: (F.length(w) >= 3) & ~F.contains(w, F.lit(" "))
+    letters = lambda w: F.regexp_replace(F.lower(w), "[^a-z]", "")
+    others = lambda w: F.transform(F.filter(F.slice(text.expand_synonyms(F.array(w), synonyms), 2, 1000), usable), letters)
+    places = F.transform(F.slice("words", 1, 6), lambda w: F.filter(F.array_distinct(F.concat(F.array(w), others(w))), lambda v: F.length(v) >= 2))
+    q = queries.select("query_id", words.alias("words")).filter("size(words) > 0")
+    if chapters is None:
+        q = q.withColumn("prefixes", F.array().cast("array<string>"))
+    else:
+        clean = F.array_sort(F.array_distinct(F.filter(F.transform("chapters", lambda p: F.regexp_replace(p, "[^0-9]", "")), lambda p: F.length(p) >= 2)))
+        q = q.join(chapters.select("query_id", clean.alias("prefixes")), "query_id", "left").withColumn("prefixes", F.coalesce("prefixes", F.array().cast("array<string>")))
+    q = q.withColumn("ask", F.concat_ws("|", F.array_join("words", " "), F.array_join("prefixes", " ")))
+    asked = q.dropDuplicates(["ask"]).select("ask", places.alias("places"), "prefixes")
+    one = reference.groupBy(key).agg(F.min("description").alias("description"), F.min("category").alias("category"))
+    found = wordsearch.best_rows(asked, wordsearch.indexed(one, {"description": 1.0, "category": 0.4}, key), k, mode, True, reference.schema[key].dataType.simpleString())
+    if mode == "both":
+        any_whole = F.max(C("whole").cast("int")).over(Window.partitionBy("ask"))
+        found = found.withColumn("w", any_whole).filter((C("w") == 0) | C("whole")).drop("w")
+    best = top_per(found, "ask", k, F.desc("score"), "key").withColumnRenamed("score", "r")
+    shown = best.join(one.select(C(key).alias("key"), F.array_distinct(text.tokenize(C("description"))).alias("d")), "key").join(q.select("ask", "words").dropDuplicates(["ask"]), "ask")
+    common = F.size(F.array_intersect("words", "d"))
+    score = F.round(F.least(F.lit(0.96), C("r") * 2.8 + F.least(F.lit(0.35), common * 0.08) + 0.16), 3)
+    return q.select("query_id", "ask").join(shown.select("ask", "key", score.alias("score"), "whole", "rank"), "ask").select("query_id", C("key").alias(key), "score", "whole", "rank")
 
 
 def token_set_topk(queries: DataFrame, names: DataFrame, k: int, cutoff: float = 60.0) -> DataFrame:
@@ -302,15 +323,13 @@ def hybrid_match(queries: DataFrame, dataset: DataFrame, k: int) -> DataFrame:
 
     0.68 of the query's words found, 0.20 of the text's words, 0.10 if the core word is there, plus the source bonus;
     equal text scores 0.95, the text inside the other 0.80 at least. Groups of a code rank by best score, then support.
+    Distinct texts are asked once; rows without a code take no part.
     """
-    q = queries.select("query_id", text.text_key(C("text")).alias("qk"), F.array_distinct(text.tokenize(C("text"))).alias("q"), text.core_product(C("text")).alias("core"))
-    d = dataset.select("id", "hsn_code", "bonus", text.text_key(C("description")).alias("dk"), F.array_distinct(text.tokenize(C("description"))).alias("d"))
-    shared = q.select("query_id", F.size("q").alias("nq"), F.explode("q").alias("w")).join(d.select("id", F.size("d").alias("nd"), F.explode("d").alias("w")), "w").groupBy("query_id", "id", "nq", "nd").agg(F.count(F.lit(1)).alias("n"))
-    rows = shared.join(q, "query_id").join(d, "id")
-    raw = C("n") / C("nq") * 0.68 + C("n") / C("nd") * 0.20 + F.when(F.array_contains("d", C("core")), 0.10).otherwise(0.0) + C("bonus")
-    score = F.when(C("qk") == C("dk"), F.greatest(raw, F.lit(0.95))).when(F.contains("dk", "qk") | F.contains("qk", "dk"), F.greatest(raw, F.lit(0.80))).otherwise(raw)
-    groups = rows.withColumn("score", F.round(F.least(F.lit(1.0), score), 9)).groupBy("query_id", "hsn_code").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("support"))
-    return top_per(groups, "query_id", k, F.desc("score"), F.desc("support"), "hsn_code")
+    asked = queries.select(C("text").alias("ask")).distinct().select("ask", text.text_key(C("ask")).alias("qk"), F.array_distinct(text.tokenize(C("ask"))).alias("q"), text.core_product(C("ask")).alias("core")).filter("ask is not null and size(q) > 0")
+    rows = dataset.filter("hsn_code is not null").select("id", "hsn_code", C("bonus").cast("double").alias("bonus"), text.text_key(C("description")).alias("dk"), F.array_distinct(text.tokenize(C("description"))).alias("d")).filter("size(d) > 0")
+    groups = wordsearch.code_scores(asked, rows).groupBy("ask", "hsn_code").agg(F.max("score").alias("score"), F.sum("support").alias("support"))
+    best = top_per(groups, "ask", k, F.desc("score"), F.desc("support"), "hsn_code")
+    return queries.select("query_id", C("text").alias("ask")).join(best, "ask").drop("ask")
 
 
 def sound_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:

@@ -104,6 +104,21 @@ def _(c, t):
     return S.fts_search(asked, t, {"description": 1.0, "category": 0.4}, 5, op="and", key="hsn_code")
 
 
+ASK_SEARCH = "select id as query_id, case id % 4 when 0 then text when 1 then text || ' zz' when 2 then split_part(text, ' ', 2) || ' dru' else 'xyz ' || text end as text, case id % 3 when 0 then ['01', '1', '2x3'] when 1 then [] else null end as chapters from v_text where id % 100 = 0"
+WEIGHTED = f"""q0 as ({ASK_SEARCH}), q1 as (select query_id, {tokens_sql('text')} as l, chapters from q0), q2 as (select query_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:8] as words, list_filter(list_transform(coalesce(chapters, []), lambda p: regexp_replace(p, '[^0-9]', '', 'g')), lambda p: len(p) >= 2) as prefixes from q1), q as (select * from q2 where len(words) > 0),
+pl as (select query_id, least(len(words), 6) as n, unnest(range(1, least(len(words), 6) + 1)) as pos, unnest(words[1:6]) as w from q), alt as (select query_id, n, pos, unnest(list_filter(list_distinct(list_concat([w], list_transform(list_filter(coalesce({SYN_SQL}[w], []), lambda y: len(y) >= 3 and not contains(y, ' ')), lambda y: regexp_replace(lower(y), '[^a-z]', '', 'g')))), lambda v: len(v) >= 2)) as word from pl),
+one as (select hsn_code, min(description) as description, min(category) as category from v_tariff group by 1), k as (select hsn_code, token, max(weight) as weight from (select hsn_code, unnest(string_split_regex(lower(description), '[^a-z0-9]+')) as token, 1.0 as weight from one union all select hsn_code, unnest(string_split_regex(lower(category), '[^a-z0-9]+')), 0.4 from one) where token <> '' group by 1, 2),
+p as (select query_id, n, hsn_code, pos, max(weight) as weight from alt join k on word = token or (pos = n and starts_with(token, word)) group by 1, 2, 3, 4), f as (select query_id, hsn_code, count(*) = n as whole, round(sum(weight) / (1 + sum(weight)), 9) as r from p join q using (query_id) where len(prefixes) = 0 or len(list_filter(prefixes, lambda x: starts_with(hsn_code, x))) > 0 group by query_id, n, hsn_code),
+g as (select *, max(case when whole then 1 else 0 end) over (partition by query_id) as any_whole from f), b as (select query_id, hsn_code, r, whole, cast(row_number() over (partition by query_id order by r desc, hsn_code) as int) as rank from g where any_whole = 0 or whole qualify rank <= 20)
+select query_id, hsn_code, round(least(0.96, r * 2.8 + least(0.35, len(list_intersect(words, list_distinct({tokens_sql('description')}))) * 0.08) + 0.16), 3)::double as score, whole, rank from b join q using (query_id) join one using (hsn_code)"""
+
+
+@query("r7b_weighted_search", "v_text v_tariff", f"with {WEIGHTED}")
+def _(q, t):
+    asked = q.filter("id % 100 = 0").selectExpr("id as query_id", "case id % 4 when 0 then text when 1 then text || ' zz' when 2 then split_part(text, ' ', 2) || ' dru' else 'xyz ' || text end as text", "case id % 3 when 0 then array('01', '1', '2x3') when 1 then cast(array() as array<string>) end as chapters")
+    return S.weighted_search(asked, t, 20, asked.select("query_id", "chapters"))
+
+
 @query("r8_token_set_topk", "v_text v_catalog")
 def _(q, c):
     return S.token_set_topk(as_queries(q, "id", "text"), c, 3)
