@@ -196,16 +196,25 @@ def search_products(queries: DataFrame, tariff: DataFrame, k: int = 5) -> DataFr
     return listed.unionByName(match_query(queries.filter(~number), tariff, k).select("query_id", "hsn_code", "score"))
 
 
-def brand_lookup(queries: DataFrame, aliases: DataFrame, catalog: DataFrame, floor: float, commodity: list[str]) -> DataFrame:
-    """(query_id, code, score, step): guarded; language alias, brand's usual code, similar brand at 0.9 of its similarity, category word; first with the floor."""
-    asked = L.brand_guard(queries, commodity).filter(~C("skip")).select("query_id", "text")
-    brand = F.upper(F.trim("text"))
-    modes = L.brand_mode(catalog)
+def brand_lookup(queries: DataFrame, aliases: DataFrame, catalog: DataFrame, floor: float, commodity: list[str], categories: list[str] = (), least: int = 5, near: float = 0.35) -> DataFrame:
+    """(query_id, code, score, step): the first step with a score of `floor` or more.
+
+    1: language alias of the brand word, else of the first two words; 2: the brand word's usual code; 3: that of the most similar brand from `near`
+    on, at 0.9 of the similarity, for brand words of `least` letters (5 to classify, 4 to explore); 4: a category word's usual code, 0.65.
+    Lone commodity words and texts of other languages are left out.
+    """
+    asked = L.brand_guard(queries, commodity).filter(~C("skip")).select("query_id", "text", text.brand_token(C("text")).alias("brand"))
+    modes = L.brand_mode(catalog.filter("brand is not null").withColumn("brand", F.upper("brand")))
     one = L.match_language_alias(asked, aliases).withColumn("step", F.lit(1))
-    two = asked.withColumn("brand", brand).join(modes, "brand").select("query_id", "code", F.lit(0.85).alias("score"), F.lit(2).alias("step"))
-    near = S.trgm_topk(asked.select("query_id", brand.alias("text")), modes.select(C("brand").alias("description"), C("code").alias("id")), 0.35, 1)
-    three = near.select("query_id", C("id").alias("code"), F.round(C("similarity") * 0.9, 6).alias("score"), F.lit(3).alias("step"))
-    return L.first_per(one.unionByName(two).unionByName(three).filter(C("score") >= floor), "query_id", "step", F.desc("score"), "code")
+    two = asked.join(modes, "brand").select("query_id", "code", F.lit(0.85).alias("score"), F.lit(2).alias("step"))
+    similar = S.trgm_topk(asked.filter(F.length("brand") >= least).select("query_id", C("brand").alias("text")), modes.select(C("brand").alias("description"), C("code").alias("id")), near, 1, strict=False)
+    three = similar.select("query_id", C("id").alias("code"), F.round(C("similarity") * 0.9, 6).alias("score"), F.lit(3).alias("step"))
+    every = one.unionByName(two).unionByName(three)
+    if categories:
+        lone = (F.size(F.split(F.trim("text"), r"\s+")) == 1) & F.lower(F.trim("text")).isin(list(commodity))
+        four = L.match_category_keyword(asked.filter(~lone), catalog.filter(~codes.is_unclassified(C("raw_code"))), list(categories))
+        every = every.unionByName(four.select("query_id", "code", F.lit(0.65).alias("score"), F.lit(4).alias("step")))
+    return L.first_per(every.filter(C("score") >= floor), "query_id", "step", F.desc("score"), "code")
 
 
 def multi_search(queries: DataFrame, catalog: DataFrame, tariff: DataFrame, hints: DataFrame, k: int = 5) -> DataFrame:
@@ -312,10 +321,11 @@ def match_catalog_v3(queries: DataFrame, catalog: DataFrame, tariff: DataFrame,
     ]))
 
 
-def hybrid_cascade(queries: DataFrame, dataset: DataFrame, k: int) -> DataFrame:
-    """(query_id, hsn_code, score, rank): exact code 1, exact text 0.82 and bare text 0.76 plus the source bonus, else the word score; best of each code.
+def hybrid_cascade(queries: DataFrame, dataset: DataFrame, k: int, near: DataFrame | None = None) -> DataFrame:
+    """(query_id, hsn_code, score, rank): exact code 1, exact text 0.82 and bare text 0.76 plus the source bonus; a query without one of these
+    gets word scores (R16) and 0.9 of its vector scores, the greater of both for each code.
 
-    dataset: id, hsn_code, description, bonus.
+    dataset: id, hsn_code, description, bonus. near: query_id, id, score of the nearest rows by vector; None: words alone.
     """
     code = queries.select("query_id", codes.canonicalize_hsn(C("text")).alias("hsn_code")).filter("hsn_code <> ''").join(dataset.select("hsn_code").distinct(), "hsn_code").select("query_id", "hsn_code", F.lit(1.0).alias("score"))
     parts = [code]
@@ -324,8 +334,12 @@ def hybrid_cascade(queries: DataFrame, dataset: DataFrame, k: int) -> DataFrame:
         parts.append(queries.select("query_id", make(C("text")).alias("key")).join(refs, "key").select("query_id", "hsn_code", (base + C("bonus")).alias("score")))
     settled = kept(parts[0].union(parts[1]).union(parts[2]))
     left = queries.join(settled.select("query_id").distinct(), "query_id", "left_anti")
-    every = settled.union(S.hybrid_match(left, dataset, k).select("query_id", "hsn_code", "score")).groupBy("query_id", "hsn_code").agg(F.round(F.max("score"), 9).alias("score"))
-    return L.top_per(every, "query_id", k, F.desc("score"), "hsn_code")
+    every = settled.union(S.hybrid_match(left, dataset, k).select("query_id", "hsn_code", "score"))
+    if near is not None:
+        meant = near.join(left.select("query_id"), "query_id", "left_semi").join(dataset.select("id", "hsn_code"), "id")
+        every = every.union(meant.select("query_id", "hsn_code", (C("score") * 0.9).alias("score")))
+    best = every.groupBy("query_id", "hsn_code").agg(F.round(F.max("score"), 9).alias("score"))
+    return L.top_per(best, "query_id", k, F.desc("score"), "hsn_code")
 
 
 def predict_catalog(queries: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:

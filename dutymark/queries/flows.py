@@ -270,10 +270,27 @@ def _(x, t):
     return W.search_products(x.select(C("id").alias("query_id"), F.when(C("id") % 5 == 0, F.lpad((1 + C("id") % 97).cast("string"), 2, "0")).otherwise(C("text")).alias("text")), t)
 
 
-@query("w15_brand_lookup", "v_queries v_catalog")
+BRANDED = "upper(split_part(description, ' ', 1)) || case when len(split_part(description, ' ', 1)) >= 5 then 'S' else '' end"
+CATEGORIES = ("anvil", "ring", "new")
+STOP_LIST = listed([x.upper() for x in fixed.STOPWORDS])
+BRAND_SQL = f"""c as (select id, description, raw_code, {BRANDED} as brand from v_catalog), known as (select *, {CANON('raw_code')} as code from c where coalesce(raw_code, '') not in ('', '99999999', '00000000')),
+a as (select {NO_SIZE('description')} as term, min({CANON('raw_code')}) as code, case when len({NO_SIZE('description')}) % 2 = 0 then 2.0 else 0.6 end::double as weight from c group by 1), q as (select distinct row_id as query_id, query, {NO_SIZE('query')} as n from v_queries),
+b as (select *, coalesce(list_filter(string_split(n, ' '), lambda w: len(w) >= 2 and not list_contains({STOP_LIST}, w))[1], '') as token from q), k as (select query_id, unnest([0, 1]) as pos, unnest([token, array_to_string(string_split(n, ' ')[1:2], ' ')]) as term from b),
+s1 as (select query_id, code, least(1.0, weight / 2) as score, 1 as step from k join a using (term) where term <> '' {TOP('pos, weight desc, code')}), m as (select brand, code from (select brand, code, count(*) as n from known group by 1, 2) qualify row_number() over (partition by brand order by n desc, code) = 1),
+s2 as (select query_id, code, 0.85 as score, 2 as step from b join m on brand = token), t3 as (select distinct token, {R1_TRI('token')} as ta from b where len(token) >= 4), m3 as (select code, {R1_TRI('brand')} as tb from m),
+b3 as (select token, code, {SIM('ta', 'tb')} as s from t3, m3 where {SIM('ta', 'tb')} >= 0.35 qualify row_number() over (partition by token order by s desc, code) = 1), s3 as (select query_id, code, round(round(s, 9) * 0.9, 6) as score, 3 as step from b join b3 using (token)),
+cat as (select unnest({listed(CATEGORIES)}) as keyword), cm as (select keyword, code from (select keyword, code, count(*) as n from known join cat on contains(lower(description), keyword) group by 1, 2) qualify row_number() over (partition by keyword order by n desc, code) = 1),
+s4 as (select query_id, code, 0.65 as score, 4 as step from (select query_id, list_filter({listed(CATEGORIES)}, lambda x: contains(lower(query), x))[1] as keyword from b) join cm using (keyword))
+select query_id, code, score::double as score, cast(step as int) as step from (from s1 union all from s2 union all from s3 union all from s4) where score >= 0.5 {TOP('step, score desc, code')}"""
+
+
+@query("w15_brand_lookup", "v_queries v_catalog", f"with {BRAND_SQL}")
 def _(q, c):
-    aliases = c.filter("id % 3 = 0").groupBy(text.strip_sizes(C("description")).alias("term")).agg(F.min(canon(C("raw_code"))).alias("code"), F.max(1.0 + (C("id") % 10) / 8.0).alias("weight"))
-    return W.brand_lookup(as_queries(q), aliases, c, 0.5, ["oil"])
+    first = F.upper(F.substring_index("description", " ", 1))
+    own = c.withColumn("brand", F.when(F.length(first) >= 5, F.concat(first, F.lit("S"))).otherwise(first))
+    term = text.strip_sizes(C("description"))
+    aliases = c.groupBy(term.alias("term")).agg(F.min(canon(C("raw_code"))).alias("code")).withColumn("weight", F.when(F.length("term") % 2 == 0, 2.0).otherwise(0.6))
+    return W.brand_lookup(as_queries(q), aliases, own, 0.5, ["oil"], CATEGORIES, 4)
 
 
 @query("w6_multi_search", "v_text v_catalog v_tariff")
@@ -357,9 +374,35 @@ def _(x, a, c):
     return W.match_regional(as_queries(x, "id", "text"), a, terms, c, ["blue"], foods)
 
 
-@query("w14_hybrid_cascade", "v_text v_catalog")
+W14_SQL = f"""d as materialized (select id, {CANON('raw_code')} as hsn_code, (id % 4) / 100.0::double as bonus, {KEY('description')} as dk, {NO_SIZE('description')} as db, list_distinct({tokens_sql('description')}) as d, description from v_catalog),
+x as materialized (select id as query_id, {CANON('text')} as code, {KEY('text')} as qk, {NO_SIZE('text')} as qb, list_distinct({tokens_sql('text')}) as q, coalesce({tokens_sql('text')}[-1], '') as core from v_asked14),
+settled as materialized (select query_id, hsn_code, 1.0::double as score from x join (select distinct hsn_code from d) on hsn_code = code where code <> '' union all select query_id, hsn_code, 0.82 + max(bonus) from x join d on qk = dk group by 1, 2 union all select query_id, hsn_code, 0.76 + max(bonus) from x join d on qb = db group by 1, 2),
+l as (select * from x where query_id not in (select query_id from settled)), r as (select *, len(list_intersect(q, d)) / len(q) * 0.68 + len(list_intersect(q, d)) / len(d) * 0.20 + case when list_contains(d, core) then 0.10 else 0.0 end + bonus as raw from l, d where len(list_intersect(q, d)) > 0),
+s as (select query_id, hsn_code, round(least(1.0, case when qk = dk then greatest(raw, 0.95) when contains(dk, qk) or contains(qk, dk) then greatest(raw, 0.80) else raw end), 9)::double as score from r), g as (select query_id, hsn_code, max(score) as score, count(*) as support from s group by 1, 2),
+w as (select query_id, hsn_code, score from g qualify row_number() over (partition by query_id order by score desc, support desc, hsn_code) <= 5)"""
+W14_BEST = "select query_id, hsn_code, score, cast(row_number() over (partition by query_id order by score desc, hsn_code) as int) as rank from (select query_id, hsn_code, round(max(score), 9)::double as score from ({}) group by 1, 2) qualify rank <= 5"
+ASKED14 = "v_asked14 as (select id, case id % 10 when 0 then text when 1 then text when 2 then description when 3 then coalesce(raw_code, '') else description || ' ' || (id % 90) || ' ML' end as text from v_text join v_catalog using (id))"
+
+
+def asked14(x, c):
+    return x.join(c.select("id", "description", "raw_code"), "id").selectExpr("id as query_id", "case id % 10 when 0 then text when 1 then text when 2 then description when 3 then coalesce(raw_code, '') else description || ' ' || (id % 90) || ' ML' end as text")
+
+
+def dataset14(c):
+    return c.select("id", canon(C("raw_code")).alias("hsn_code"), "description", (C("id") % 4 / 100.0).alias("bonus"))
+
+
+@query("w14_hybrid_cascade", "v_text v_catalog", f"with {ASKED14}, {W14_SQL} {W14_BEST.format('from settled union all from w')}")
 def _(x, c):
-    return W.hybrid_cascade(as_queries(x, "id", "text"), c.select("id", canon(C("raw_code")).alias("hsn_code"), "description", (C("id") % 4 / 100.0).alias("bonus")), 5)
+    return W.hybrid_cascade(asked14(x, c), dataset14(c), 5)
+
+
+@query("w14_hybrid_vectors", "v_text v_catalog embeddings")
+def _(x, c, e):
+    # texts and catalog rows have the vectors of their ids; the index answers for the texts whose id is divisible by 100
+    e = e.select("vec_id", C("embedding").alias("vector"))
+    near = S.vector_index_topk(e.filter("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), "vector"), e, 10)
+    return W.hybrid_cascade(asked14(x, c), dataset14(c), 5, near.select("query_id", C("vec_id").alias("id"), "score"))
 
 
 @query("w5_predict_catalog", "v_queries v_catalog v_alias v_tariff")

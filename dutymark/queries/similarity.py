@@ -134,6 +134,12 @@ def _(e):
     return S.vector_topk(e.filter("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), "vector"), e, 10)
 
 
+@query("r9_vector_index", "embeddings")
+def _(e):
+    e = e.select("vec_id", C("embedding").alias("vector"))
+    return S.vector_index_topk(e.filter("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), "vector"), e, 10)
+
+
 POOL = "select id % 500 as query_id, lpad(cast(1 + id % 23 as varchar), 2, '0') || '01' as hsn_code, case id % 5 when 0 then 'L2_inverted_index' when 1 then 'L3_pg_trgm_fuzzy' when 2 then 'L6_verified_products' when 3 then 'L5_prefix_code' else 'x' end as method, (id % 50) / 50.0::double as score from v_catalog"
 
 
