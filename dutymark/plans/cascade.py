@@ -83,13 +83,22 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def staged(queries: DataFrame, tiers: list) -> DataFrame:
-    """Candidates of all tiers, each run only on queries that no earlier one settled. tiers: functions of a queries frame."""
+    """Candidates of all tiers, each run only on queries that no earlier one settled. tiers: functions of a queries frame, or lists of such.
+
+    Tiers of a list run together, on the same queries: what a later one says of a query that an earlier one settles does not
+    count, so cheap tiers are better asked at once than written and subtracted one by one.
+    """
     left, out = kept(queries), None
-    for tier in tiers:
-        found = kept(tier(left))
+    for n, tier in enumerate(tiers):
+        parts = [t(left) for t in (tier if isinstance(tier, list) else [tier])]
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+        found = kept(found)
         out = found if out is None else out.unionByName(found)
-        settled = found.filter((C("confidence") >= ACCEPT) & ~C("review")).select("query_id").distinct()
-        left = kept(left.join(settled, "query_id", "left_anti"))
+        if n < len(tiers) - 1:
+            settled = found.filter((C("confidence") >= ACCEPT) & ~C("review")).select("query_id").distinct()
+            left = kept(left.join(settled, "query_id", "left_anti"))
     return out
 
 
@@ -124,12 +133,14 @@ def classify_distinct(queries: DataFrame, refs: dict[str, DataFrame]) -> DataFra
     canon = lambda c: codes.canonicalize_hsn(C(c))
     code = refs["curated"].select("id", canon("raw_code").alias("code"))
     steps = staged(queries, [
-        lambda q: candidates(q.join(refs["cache"], q["query_id"] == refs["cache"]["key"]), 0, C("code"), F.lit(100), "L0_cache", "curated"),
-        lambda q: candidates(L.match_exact(q, refs["verified"]), 1, canon("raw_code"), F.when(C("priority") == 0, 99).otherwise(88), "L0_verified_product", "verified"),
-        lambda q: candidates(L.match_alias(q, refs["aliases"]), 2, canon("code"), F.lit(98), "L0_alias_dict", "curated"),
-        lambda q: candidates(brand_lookup(q, refs["brand_terms"], refs["catalog"], 0.65, ["oil", "rice", "salt"]), 3, canon("code"), percent(C("score")), "L1_brand_lookup", "curated"),
-        lambda q: candidates(L.match_regional_alias(q, refs["regional"], []).join(q, "query_id"), 4, canon("code"), F.when(F.lower("text") == C("alias"), 96).otherwise(92), "L0_kerala_retail", "curated"),
-        lambda q: candidates(q.join(refs["brands"], F.upper(F.trim(q["text"])) == refs["brands"]["brand"]), 5, C("code"), F.lit(99), "L1_brand_alias", "curated"),
+        [
+            lambda q: candidates(q.join(refs["cache"], q["query_id"] == refs["cache"]["key"]), 0, C("code"), F.lit(100), "L0_cache", "curated"),
+            lambda q: candidates(L.match_exact(q, refs["verified"]), 1, canon("raw_code"), F.when(C("priority") == 0, 99).otherwise(88), "L0_verified_product", "verified"),
+            lambda q: candidates(L.match_alias(q, refs["aliases"]), 2, canon("code"), F.lit(98), "L0_alias_dict", "curated"),
+            lambda q: candidates(brand_lookup(q, refs["brand_terms"], refs["catalog"], 0.65, ["oil", "rice", "salt"]), 3, canon("code"), percent(C("score")), "L1_brand_lookup", "curated"),
+            lambda q: candidates(L.match_regional_alias(q, refs["regional"], []).join(q, "query_id"), 4, canon("code"), F.when(F.lower("text") == C("alias"), 96).otherwise(92), "L0_kerala_retail", "curated"),
+            lambda q: candidates(q.join(refs["brands"], F.upper(F.trim(q["text"])) == refs["brands"]["brand"]), 5, C("code"), F.lit(99), "L1_brand_alias", "curated"),
+        ],
         lambda q: candidates(S.match_curated(q, refs["curated"]).join(code, "id"), 6, C("code"), C("confidence"), "L3_curated_master", "curated"),
         lambda q: candidates(L.match_keyword(q, refs["keywords"]), 7, C("code"), F.lit(75), "L4_keyword_category", "curated"),
         lambda q: broad_search(q, refs),
@@ -308,8 +319,10 @@ def match_catalog_v3(queries: DataFrame, catalog: DataFrame, tariff: DataFrame,
     listed = lambda df: df.withColumn("score", F.lit(1.0))
     weights = {"description": 1.0, "category": 0.4}
     return resolve_cascade(staged(queries, [
-        lambda q: candidates(L.match_code(q.filter(C("text").rlike("^[0-9. ]+$")), one), 0, C("hsn_code"), F.lit(98), "code", "tariff"),
-        lambda q: candidates(L.match_exact(q, catalog), 1, codes.canonicalize_hsn(C("raw_code")), F.lit(96), "exact", "verified"),
+        [
+            lambda q: candidates(L.match_code(q.filter(C("text").rlike("^[0-9. ]+$")), one), 0, C("hsn_code"), F.lit(98), "code", "tariff"),
+            lambda q: candidates(L.match_exact(q, catalog), 1, codes.canonicalize_hsn(C("raw_code")), F.lit(96), "exact", "verified"),
+        ],
         lambda q: vote(q, S.trgm_topk(q, catalog, 0.55, 10).withColumnRenamed("similarity", "score"), 2, percent(C("score")), "similar"),
         lambda q: vote(q, listed(L.match_prefix(q, catalog, 10)), 3, F.lit(80), "prefix"),
         lambda q: vote(q, listed(L.match_words(q, catalog, "all", 10)), 4, F.lit(74), "words"),

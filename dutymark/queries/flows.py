@@ -182,7 +182,8 @@ def tier(step: int, body: str) -> str:
 
 TOP = lambda by: f"qualify row_number() over (partition by query_id order by {by}) = 1"
 QUERY_GRAMS = lambda step: f"g{step} as materialized (select query as query_id, {R1_TRI('query')} as ta from v_open{step})"
-CURATED = "v_catalog where starts_with(description, 'NEW ROD') or starts_with(description, 'NEW BOLT')"
+# every catalog row is in one reference table, by its first word: cache OLD, verified RED and SMALL, aliases BLUE, brand terms COLD, regional HOT, brands LARGE, curated NEW
+CURATED = "v_catalog where starts_with(description, 'NEW ')"
 SAID = f"(select query as query_id, {squeeze('lower(query)')} as p from v_open4)"
 OPEN_WORDS = f"""kw1 as (select query as query_id, {TYPOS_SQL.replace('(text)', '(query)')} as fixed from v_open9), kw2 as (select query_id, regexp_extract_all(upper(fixed), '([A-Z0-9_]+|[^A-Z0-9_]+)') as w from kw1), kw3 as (select query_id, {POS_SQL} as text from kw2),
 kw4 as (select query_id, list_filter(string_split({squeeze(chain_sql('upper(text)', NOISE))}, ' '), lambda x: x <> '') as w from kw3), kw5 as (select query_id, w, coalesce(list_min(list_filter(range(1, len(w) + 1), lambda i: not list_contains({listed([b.upper() for b in fixed.BRANDS])}, w[i]))), len(w) + 1) as first from kw4),
@@ -197,9 +198,9 @@ p8 as (select query_id, hsn_code, pos, max(weight) as weight from e8 join k8 on
 one8 as materialized (select hsn_code, {R1_TRI('description')} as tb from one), near8 as (select query_id, hsn_code, 'L3_pg_trgm_fuzzy' as method, round({SIM('ta', 'tb')}, 9) as score from g8, one8 where query_id not in (select query_id from early) and {SIM('ta', 'tb')} > 0.3 {TOP(SIM('ta', 'tb') + ' desc, hsn_code')}),
 pool8 as (select *, score + case method when 'L6_verified_products' then 0.18 when 'L2_inverted_index' then 0.10 else 0.05 end::double as adjusted from (from early union all from words8 union all from near8) where hsn_code not in ('', '99999999', '00000000')),
 multi8 as (select query_id, hsn_code, cast(least(90, greatest(40, floor(round(least(1.0, greatest(0.0, adjusted)), 4) * 100))) as int) as confidence from pool8 {TOP('adjusted desc, hsn_code')})"""
-STEPS = f"""{ONCE}, cache as (select upper(trim(regexp_replace(description, '\\s+', ' ', 'g'))) as key, min({CANON('raw_code')}) as code from v_catalog where id % 50 = 0 group by 1),
+STEPS = f"""{ONCE}, cache as (select upper(trim(regexp_replace(description, '\\s+', ' ', 'g'))) as key, min({CANON('raw_code')}) as code from v_catalog where starts_with(description, 'OLD ') group by 1),
 {tier(0, "select query as query_id, 0 as step, code as hsn_code, 100 as confidence, 'L0_cache' as layer, 'curated' as trust, false as review from v_open0 join cache on query = key")},
-{swap(EXACT, 1).replace('from v_catalog)', 'from v_catalog where id % 3 = 1)')}, {tier(1, f"select query_id, 1 as step, {CANON('raw_code')} as hsn_code, case when priority = 0 then 99 else 88 end as confidence, 'L0_verified_product' as layer, 'verified' as trust, false as review from exact")},
+{swap(EXACT, 1).replace('from v_catalog)', "from v_catalog where starts_with(description, 'RED ') or starts_with(description, 'SMALL '))")}, {tier(1, f"select query_id, 1 as step, {CANON('raw_code')} as hsn_code, case when priority = 0 then 99 else 88 end as confidence, 'L0_verified_product' as layer, 'verified' as trust, false as review from exact")},
 {swap(ALIASES, 2).replace('join v_alias on', "join (select * from v_alias where starts_with(alias, 'blue ')) on")}, {tier(2, f"select query_id, 2 as step, {CANON('code')} as hsn_code, 98 as confidence, 'L0_alias_dict' as layer, 'curated' as trust, false as review from alias_hits")},
 terms as (select {NO_SIZE('description')} as term, min({CANON('raw_code')}) as code, max(1.0 + (id % 10) / 8.0) as weight from v_catalog where starts_with(description, 'COLD ') group by 1), bt as (select query as query_id, {NO_SIZE('query')} as n from v_open3), bk as (select query_id, unnest([0, 1]) as pos, unnest([coalesce(list_filter(string_split(n, ' '), lambda w: len(w) >= 2 and not list_contains({listed([x.upper() for x in fixed.STOPWORDS])}, w))[1], ''), array_to_string(string_split(n, ' ')[1:2], ' ')]) as term from bt),
 bh as (select query_id, code, least(1.0, weight / 2) as score from bk join terms using (term) where term <> '' {TOP('pos, weight desc, code')}), {tier(3, f"select query_id, 3 as step, {CANON('code')} as hsn_code, cast(round(score * 100) as int) as confidence, 'L1_brand_lookup' as layer, 'curated' as trust, false as review from bh where score >= 0.65")},
@@ -220,9 +221,9 @@ def refs(c, a, t, h):
     code = F.min(canon(C("raw_code"))).alias("code")
     opens = lambda df, column, word: df.filter(F.startswith(column, F.lit(word)))
     return {
-        "cache": c.filter("id % 50 = 0").groupBy(text.query_key(C("description")).alias("key")).agg(code), "verified": c.filter("id % 3 = 1"), "catalog": c, "aliases": opens(a, "alias", "blue "), "regional": opens(a, "alias", "hot "),
+        "cache": opens(c, "description", "OLD ").groupBy(text.query_key(C("description")).alias("key")).agg(code), "verified": opens(c, "description", "RED ").unionByName(opens(c, "description", "SMALL ")), "catalog": c, "aliases": opens(a, "alias", "blue "), "regional": opens(a, "alias", "hot "),
         "brand_terms": opens(c, "description", "COLD ").groupBy(text.strip_sizes(C("description")).alias("term")).agg(code, F.max(1.0 + (C("id") % 10) / 8.0).alias("weight")), "brands": opens(c, "description", "LARGE ").groupBy(C("description").alias("brand")).agg(code),
-        "curated": opens(c, "description", "NEW ROD").unionByName(opens(c, "description", "NEW BOLT")).selectExpr("id", "description", "raw_code", SCOPE), "keywords": keywords(c.sparkSession), "tariff": t, "goods": goods(t), "services": services(c.sparkSession), "history": h,
+        "curated": opens(c, "description", "NEW ").selectExpr("id", "description", "raw_code", SCOPE), "keywords": keywords(c.sparkSession), "tariff": t, "goods": goods(t), "services": services(c.sparkSession), "history": h,
     }
 
 
