@@ -84,6 +84,20 @@ def chapter_hints(queries: DataFrame, rules: DataFrame) -> DataFrame:
     return words.join(rules, "keyword").groupBy("query_id").agg(F.min_by("chapters", "rule_no").alias("chapters"))
 
 
+def category_prefixes(queries: DataFrame, rules: DataFrame, domains: DataFrame, synonyms: dict = fixed.SYNONYMS) -> DataFrame:
+    """(query_id, prefixes, by_rule): code beginnings that the words of a query and their synonyms allow, rising.
+
+    The chapters of the first rule (rule_no, keyword, chapters) with one of the words; where no rule has one, all prefixes of the words' domains
+    (keyword, prefixes). Queries with neither have no row.
+    """
+    words = queries.select("text").distinct().select("text", F.explode(F.array_distinct(text.expand_synonyms(text.tokenize(C("text"), True), synonyms))).alias("keyword"))
+    ruled = words.join(rules, "keyword").groupBy("text").agg(F.min_by("chapters", "rule_no").alias("prefixes"))
+    others = words.join(ruled.select("text"), "text", "left_anti").join(domains, "keyword").groupBy("text").agg(F.flatten(F.collect_set("prefixes")).alias("prefixes"))
+    both = ruled.withColumn("by_rule", F.lit(True)).unionByName(others.withColumn("by_rule", F.lit(False)))
+    sorted_ = both.select("text", F.array_sort(F.array_distinct("prefixes")).alias("prefixes"), "by_rule").filter("size(prefixes) > 0")
+    return queries.select("query_id", "text").join(sorted_, "text").drop("text")
+
+
 def apply_chapter_hints(cands: DataFrame, hints: DataFrame, penalty: float | None = None) -> DataFrame:
     """Candidates outside the allowed chapters go, or lose `penalty` of their score."""
     joined = cands.join(hints, "query_id", "left")

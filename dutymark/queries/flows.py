@@ -101,6 +101,16 @@ def _(e):
     return E.warm_list(e, ["click", "view"])
 
 
+PREDICTED = "lpad(cast(1 + event_id % 97 as {0}), 2, '0') || lpad(cast(1 + event_id % 50 as {0}), 2, '0') || case when event_id % 3 = 0 then '' else '1090' end"
+
+
+@query("e4_warm_cache", "v_search_events v_tariff", f"""with e as (select *, {PREDICTED.format('varchar')} as raw_code from v_search_events), n as (select * from e where source in ('click', 'view') and confidence >= 65 order by ts desc, event_id desc limit 5000), w as (select *, {CANON('raw_code')} as code from n qualify row_number() over (partition by product_name order by ts desc, event_id desc) = 1),
+t as (select hsn_code, description, gst_rate from v_tariff qualify row_number() over (partition by hsn_code order by description, gst_rate) = 1)
+select product_name, code as hsn_code, coalesce(nullif(trim(t.description), ''), 'HSN ' || code) as description, t.gst_rate, code[1:2] as chapter, confidence / 100.0::double as score, case when confidence / 100.0::double >= 0.80 then 'high' when confidence / 100.0::double >= 0.55 then 'medium' else 'low' end as label, confidence / 100.0::double < 0.55 as review from w left join t on t.hsn_code = code""")
+def _(e, t):
+    return E.warm_cache(e.withColumn("raw_code", F.expr(PREDICTED.format("string"))), t, ["click", "view"]).drop("cache_key")
+
+
 CANDS = f"""select id % 700 as query_id, cast(id % 6 as int) as tier, {CANON('raw_code')} as hsn_code, cast(40 + (id * 7) % 60 as int) as confidence, case id % 3 when 0 then 'exact' else 'late' end as layer, case id % 4 when 0 then 'curated' when 1 then 'verified' else 'tariff' end as trust, id % 5 = 0 as review from v_catalog"""
 CASCADE = "select *, confidence >= 70 and not review as accepted from cands qualify row_number() over (partition by query_id order by confidence >= 70 and not review desc, case when confidence >= 70 and not review then tier else -confidence end, tier, confidence desc, hsn_code) = 1"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dutymark.functions import fixed
 from dutymark.operators import lookups as L
-from dutymark.queries.scalars import NO_SIZE, chain_sql, listed, squeeze, tokens_sql
+from dutymark.queries.scalars import NO_SIZE, SYN_SQL, chain_sql, listed, squeeze, tokens_sql
 from dutymark.registry import query
 
 C = F.col
@@ -60,6 +60,19 @@ def _(t):
     return L.chapter_hints(as_queries(t, "id", "description"), rule_table(t.sparkSession))
 
 
+DOMAINS = (("gear", ("84", "8483")), ("gizmo", ("85",)), ("small", ("39", "84")), ("azure", ("32",)))
+DOMAIN_ROWS = ", ".join(f"('{k}', {listed(p)})" for k, p in DOMAINS)
+
+
+@query("f7_category_prefixes", "v_text", f"""with r(rule_no, keyword, chapters) as (values {RULE_ROWS}), d(keyword, prefixes) as (values {DOMAIN_ROWS}), t as (select id as query_id, {tokens_sql('text', True)} as l from v_text),
+w as (select distinct query_id, unnest(list_concat(l, flatten(list_transform(l, lambda x: coalesce({SYN_SQL}[x], []))))) as keyword from t), a as (select query_id, min_by(chapters, rule_no) as prefixes, true as by_rule from w join r using (keyword) group by 1),
+b as (select query_id, flatten(list(prefixes)) as prefixes, false as by_rule from w join d using (keyword) where query_id not in (select query_id from a) group by 1)
+select query_id, list_sort(list_distinct(prefixes)) as prefixes, by_rule from (from a union all from b)""")
+def _(t):
+    domains = t.sparkSession.createDataFrame([(k, list(p)) for k, p in DOMAINS], "keyword string, prefixes array<string>")
+    return L.category_prefixes(as_queries(t, "id", "text"), rule_table(t.sparkSession), domains)
+
+
 @query("f8_apply_chapter_hints", "v_catalog v_tariff", f"""with r(rule_no, keyword, chapters) as (values {RULE_ROWS}), w as (select id as query_id, unnest({tokens_sql('description', True)}) as keyword from v_catalog),
 h as (select query_id, min_by(chapters, rule_no) as chapters from w join r using (keyword) group by 1), c as (select id as query_id, {CANON('raw_code')} as hsn_code from v_catalog)
 select c.query_id, hsn_code from c left join h using (query_id) where chapters is null or list_contains(chapters, hsn_code[1:2])""")

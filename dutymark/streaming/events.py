@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dutymark.functions import codes, text
 from dutymark.operators.lookups import first_per
 
 C = F.col
@@ -43,6 +44,23 @@ def warm_list(events: DataFrame, sources: list[str], most: int = 5000, least: in
     return first_per(newest, "product_name", F.desc("ts"), F.desc("event_id"))
 
 
+def warm_cache(events: DataFrame, tariff: DataFrame, sources: list[str], most: int = 5000, least: int = 65) -> DataFrame:
+    """(product_name, cache_key, hsn_code, description, gst_rate, chapter, score, label, review): warm_list (with raw_code) joined to the tariff.
+
+    The text of a code that the tariff lacks is `HSN` and the code. The key is that of the normal form of the name, or of the name where nothing is left of it; blank names go.
+    """
+    code = F.coalesce(F.nullif(codes.canonicalize_hsn(C("raw_code")), F.lit("")), C("raw_code"))
+    newest = warm_list(events, sources, most, least).withColumn("hsn_code", code)
+    one = first_per(tariff.select("hsn_code", C("description").alias("official"), "gst_rate"), "hsn_code", "official", "gst_rate")
+    name = F.coalesce(F.nullif(text.normalize_name(C("product_name")), F.lit("")), F.trim("product_name"))
+    score = C("confidence") / 100.0
+    out = newest.join(one, "hsn_code", "left").withColumn("name", name).filter("name <> ''")
+    return out.select(
+        "product_name", text.cache_key(C("name")).alias("cache_key"), "hsn_code", F.coalesce(F.nullif(F.trim("official"), F.lit("")), F.concat(F.lit("HSN "), "hsn_code")).alias("description"), "gst_rate",
+        F.when(F.length("hsn_code") >= 2, F.substring("hsn_code", 1, 2)).alias("chapter"), score.alias("score"), text.confidence_label(score).alias("label"), (score < 0.55).alias("review"),
+    )
+
+
 def stream_calls(stream: DataFrame, limit: int, delay: str = "10 minutes") -> DataFrame:
     """calls_per_minute of a stream; minutes close `delay` after their end."""
     return calls_per_minute(stream.withWatermark("ts", delay), limit)
