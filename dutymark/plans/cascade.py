@@ -181,30 +181,52 @@ def analyze_pending(pending: DataFrame, matcher) -> DataFrame:
     return best.select("id", "variant", "hsn_code", "score", F.when(C("score") >= 0.80, "update").otherwise("review").alias("action"))
 
 
-def match_query(queries: DataFrame, tariff: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, hsn_code, score, step): exact code, embedded prefix, similarity, word search with all words, then any; first step with rows wins."""
+def match_query(queries: DataFrame, tariff: DataFrame, k: int = 5, catalog: DataFrame | None = None, chapters: DataFrame | None = None) -> DataFrame:
+    """(query_id, hsn_code, score, step, rank): the first step with rows wins.
+
+    1 exact code, 2 embedded prefix, 3 similar texts of tariff and catalog (id, description, raw_code) together, each code by its best row; word search (R7b,
+    within chapters (query_id, chapters) if given) with 4 all words or 5 any; 6 words inside texts: 0.22 and 0.12 for each, 0.72 at most.
+    """
     one = tariff.groupBy("hsn_code").agg(F.min("description").alias("description"), F.min("category").alias("category"))
-    weights = {"description": 1.0, "category": 0.4}
+    refs = one.select(C("hsn_code").alias("code"), "description")
+    if catalog is not None:
+        refs = refs.unionByName(catalog.select(codes.canonicalize_hsn(C("raw_code")).alias("code"), "description").filter(~codes.is_unclassified(C("code")))).distinct()
+
+    def similar(q: DataFrame) -> DataFrame:
+        texts = q.select(C("text").alias("a")).distinct()
+        pairs = S.trgm_pairs(texts, refs.select(C("description").alias("b")), 0.4).filter(C("similarity") > 0.4)
+        best = pairs.join(refs, pairs["b"] == refs["description"]).groupBy("a", C("code").alias("hsn_code")).agg(F.round(F.max("similarity"), 9).alias("score"))
+        first = L.top_per(best, "a", k, F.desc("score"), "hsn_code")
+        return q.join(first, q["text"] == first["a"]).select("query_id", "hsn_code", "score", F.lit(3).alias("step"))
+
+    def inside(q: DataFrame) -> DataFrame:
+        words = q.select("text").distinct().select("text", F.explode(F.array_distinct(text.tokenize(C("text")))).alias("word")).filter("length(word) >= 3")
+        n = L.words_inside(words, one, "hsn_code").groupBy("text", "hsn_code").agg(F.count(F.lit(1)).alias("n"))
+        first = L.top_per(n.withColumn("score", F.round(F.least(F.lit(0.72), 0.22 + 0.12 * C("n")), 9)), "text", k, F.desc("score"), "hsn_code")
+        return q.join(first, "text").select("query_id", "hsn_code", "score", F.lit(6).alias("step"))
+
+    def searched(q: DataFrame) -> DataFrame:
+        found = S.weighted_search(q, one, k, chapters)
+        return found.select("query_id", "hsn_code", "score", F.when(C("whole"), 4).otherwise(5).alias("step"))
+
     steps = [
-        lambda q: L.match_code(q.filter(C("text").rlike("^[0-9. ]+$")), one).select("query_id", "hsn_code", F.lit(1.0).alias("score")),
-        lambda q: L.match_embedded_code(q, one, k).select("query_id", "hsn_code", "score"),
-        lambda q: S.trgm_topk(q, one.withColumnRenamed("hsn_code", "id"), 0.4, k).select("query_id", C("id").alias("hsn_code"), C("similarity").alias("score")),
-        lambda q: S.fts_search(q, one, weights, k, "and", key="hsn_code").select("query_id", "hsn_code", "score"),
-        lambda q: S.fts_search(q, one, weights, k, key="hsn_code").select("query_id", "hsn_code", "score"),
-    ]
+        lambda q: L.match_code(q.filter(C("text").rlike("^[0-9. ]+$")), one).select("query_id", "hsn_code", F.lit(1.0).alias("score"), F.lit(1).alias("step")),
+        lambda q: L.match_embedded_code(q, one, k).select("query_id", "hsn_code", "score", F.lit(2).alias("step")),
+        similar, searched, inside,
+    ]
     left, out = queries, None
-    for n, step in enumerate(steps, 1):
-        found = kept(step(left).withColumn("step", F.lit(n)))
+    for step in steps:
+        found = kept(step(left))
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
     return L.top_per(out, "query_id", k, F.desc("score"), "hsn_code")
 
 
-def search_products(queries: DataFrame, tariff: DataFrame, k: int = 5) -> DataFrame:
+def search_products(queries: DataFrame, tariff: DataFrame, k: int = 5, catalog: DataFrame | None = None) -> DataFrame:
     """Texts of 2 to 8 digits list codes by prefix (score 1 - length / 20); others go through match_query."""
     number = C("text").rlike("^[0-9]{2,8}$")
     listed = L.match_code_prefix(queries.filter(number), tariff, k).select("query_id", "hsn_code", F.round(1 - F.length("hsn_code") / 20.0, 4).alias("score"))
-    return listed.unionByName(match_query(queries.filter(~number), tariff, k).select("query_id", "hsn_code", "score"))
+    return listed.unionByName(match_query(queries.filter(~number), tariff, k, catalog).select("query_id", "hsn_code", "score"))
 
 
 def brand_lookup(queries: DataFrame, aliases: DataFrame, catalog: DataFrame, floor: float, commodity: list[str], categories: list[str] = (), least: int = 5, near: float = 0.35) -> DataFrame:

@@ -271,14 +271,14 @@ def _(x, t):
     return W.analyze_pending(x.select("id", "text"), tariff_matcher(t))
 
 
-@query("w12_match_query", "v_text v_tariff")
-def _(x, t):
-    return W.match_query(x.select(C("id").alias("query_id"), F.when(C("id") % 5 == 0, F.lpad((1 + C("id") % 97).cast("string"), 4, "0")).otherwise(C("text")).alias("text")), t)
+@query("w12_match_query", "v_text v_tariff v_catalog")
+def _(x, t, c):
+    return W.match_query(x.select(C("id").alias("query_id"), F.when(C("id") % 5 == 0, F.lpad((1 + C("id") % 97).cast("string"), 4, "0")).otherwise(C("text")).alias("text")), t, 5, c)
 
 
-@query("w13_search_products", "v_text v_tariff")
-def _(x, t):
-    return W.search_products(x.select(C("id").alias("query_id"), F.when(C("id") % 5 == 0, F.lpad((1 + C("id") % 97).cast("string"), 2, "0")).otherwise(C("text")).alias("text")), t)
+@query("w13_search_products", "v_text v_tariff v_catalog")
+def _(x, t, c):
+    return W.search_products(x.select(C("id").alias("query_id"), F.when(C("id") % 5 == 0, F.lpad((1 + C("id") % 97).cast("string"), 2, "0")).otherwise(C("text")).alias("text")), t, 5, c)
 
 
 BRANDED = "upper(split_part(description, ' ', 1)) || case when len(split_part(description, ' ', 1)) >= 5 then 'S' else '' end"
