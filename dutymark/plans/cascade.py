@@ -263,6 +263,34 @@ def multi_search(queries: DataFrame, catalog: DataFrame, tariff: DataFrame, hint
     return merged.filter(C("rank") <= k)
 
 
+def expanded_search(
+    queries: DataFrame, catalog: DataFrame, tariff: DataFrame, hints: DataFrame, terms: DataFrame, brand_terms: DataFrame, goods: DataFrame, k: int = 5, commodity: list[str] = (), filters: dict | None = None,
+) -> DataFrame:
+    """(query_id, hsn_code, method, score, rank): multi_search with its surroundings.
+
+    Words with aliases (terms) are translated first. A brand that brand_terms or the catalog knows settles a query without hinted codes at the floor
+    of its brand word (0.75 under four letters, else 0.55). The others get multi_search and the codes that begin with their digits, merged per
+    code, and filtered (filter_candidates' arguments in filters). Queries left without a row ask goods by their product words.
+    hints: query_id, codes.
+    """
+    said = kept(S.expand_query(queries, terms).select("query_id", C("expanded").alias("text")))
+    free = said.join(hints.filter("size(codes) > 0").select("query_id"), "query_id", "left_anti")
+    floors = L.brand_guard(free, list(commodity)).filter(~C("skip")).select("query_id", "floor")
+    brands = brand_lookup(free, brand_terms, catalog, 0.55, list(commodity), least=4).join(floors, "query_id").filter((C("score") >= C("floor")) & ~codes.is_unclassified(C("code")))
+    brands = kept(brands.select("query_id", C("code").alias("hsn_code"), F.lit("L0b_brand_alias").alias("method"), "score"))
+    left = kept(said.join(brands.select("query_id"), "query_id", "left_anti"))
+    merged = multi_search(left, catalog, tariff, hints, 2 * k).select("query_id", "hsn_code", "method", "score")
+    listed = L.match_code_prefix(queries.join(left.select("query_id"), "query_id", "left_semi"), tariff, 3 * k)
+    listed = listed.select("query_id", "hsn_code", F.lit("L5_prefix_code").alias("method"), "score")
+    one = L.first_per(tariff.select("hsn_code", "category", "gst_rate"), "hsn_code", "category", "gst_rate")
+    pool = L.first_per(merged.unionByName(listed), ["query_id", "hsn_code"], F.desc("score"), "method").join(one, "hsn_code", "left")
+    found = kept(L.filter_candidates(pool, **(filters or {})).select("query_id", "hsn_code", "method", "score"))
+    code = goods.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code")).filter(~codes.is_unclassified(C("hsn_code")))
+    rest = S.match_extracted_keyword(queries.join(left.select("query_id"), "query_id", "left_semi").join(found.select("query_id").distinct(), "query_id", "left_anti"), goods)
+    last = rest.join(code, "id").select("query_id", "hsn_code", F.lit("L5_keyword_fallback").alias("method"), (C("confidence") / 100.0).alias("score"))
+    return L.top_per(brands.unionByName(found).unionByName(last), "query_id", k, F.desc("score"), "hsn_code")
+
+
 def retry_with_core(queries: DataFrame, matcher, floor: float = 0.35) -> DataFrame:
     """Best match per query; texts under the floor are asked again by their core word, the better answer stays."""
     best = lambda found: L.first_per(found, "query_id", F.desc("score"), "hsn_code").select("query_id", "hsn_code", "score")

@@ -309,6 +309,15 @@ def _(x, c, t):
     return W.multi_search(as_queries(x, "id", "text"), c, t, x.select(C("id").alias("query_id"), F.array(F.lit("10")).alias("codes")))
 
 
+@query("w6_expanded_search", "v_text v_catalog v_tariff")
+def _(x, c, t):
+    terms = x.sparkSession.createDataFrame([("vellam", "jaggery", 2.0), ("podi", "powder", 1.0), ("biscuit", "anvil", 1.0)], "term string, english string, weight double")
+    term = text.strip_sizes(C("description"))
+    brands = c.groupBy(term.alias("term")).agg(F.min(canon(C("raw_code"))).alias("code")).withColumn("weight", F.when(F.length("term") % 2 == 0, 2.0).otherwise(0.6))
+    hints = x.select(C("id").alias("query_id"), F.when(C("id") % 2 == 0, F.array(F.lit("10"))).otherwise(F.array().cast("array<string>")).alias("codes"))
+    return W.expanded_search(as_queries(x, "id", "text"), c, t, hints, terms, brands, c, 5, ["oil"], {"min_score": 0.2})
+
+
 ONE_TARIFF = f"one as (select hsn_code, min(description) as description, min(category) as category, {R1_TRI('min(description)')} as tb from v_tariff group by 1)"
 NEAREST = lambda asked, floor: f"(select query_id, hsn_code, round({SIM('ta', 'tb')}, 9) as score from {asked}, one where {SIM('ta', 'tb')} {floor} {TOP(SIM('ta', 'tb') + ' desc, hsn_code')})"
 
