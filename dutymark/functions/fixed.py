@@ -9,6 +9,10 @@ CESS_CHAPTERS = ("22", "24", "27", "87")
 # Codes that stand for "unclassified".
 PLACEHOLDERS = ("99999999", "00000000")
 
+# Rate of an alias of the corpus by its chapter, and of all other chapters.
+ALIAS_RATES = {"19": 18.0, "21": 18.0, "20": 12.0}
+ALIAS_RATE = 5.0
+
 # Amended codes (old, new, effective date, reference).
 AMENDMENTS = (
     ("21069099", "19019090", "2022-07-13", "GST Council 47th meeting, Notification 6/2022-CT(Rate)"),

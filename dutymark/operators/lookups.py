@@ -255,15 +255,6 @@ def match_prefix(queries: DataFrame, catalog: DataFrame, k: int = 20) -> DataFra
     return top_per(hits, "query_id", k, F.length("description"), "id").select("query_id", "id", "raw_code", "description", "rank")
 
 
-def search_by_language(queries: DataFrame, aliases: DataFrame, tariff: DataFrame, k: int) -> DataFrame:
-    """Alias equal to a run of words, then tariff by exact or prefix code; weight first, then the shorter code."""
-    grams = queries.select("query_id", F.explode(alias_ngrams(text.squeeze(F.lower("text")))).alias("g")).select("query_id", C("g.phrase").alias("alias")).distinct()
-    found = grams.join(aliases, "alias").select("query_id", C("code").alias("prefix"), "weight")
-    one = tariff.groupBy("hsn_code").agg(F.min("description").alias("description"))
-    hits = found.join(code_prefixes(one), "prefix").groupBy("query_id", "hsn_code").agg(F.max("weight").alias("weight"))
-    return top_per(hits, "query_id", k, F.desc("weight"), F.length("hsn_code"), "hsn_code")
-
-
 def match_regional_alias(queries: DataFrame, aliases: DataFrame, blocked: list[str]) -> DataFrame:
     """(query_id, alias, code): exact, else an alias that opens the text, longest first; aliases from 10 letters also by their first 8. Blocked lone words never match."""
     q = queries.select("query_id", text.squeeze(F.lower("text")).alias("said")).filter(~C("said").isin(blocked) & (F.length("said") >= 3))

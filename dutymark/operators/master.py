@@ -125,12 +125,24 @@ def ambiguous_terms(corpus: DataFrame) -> DataFrame:
     return g.filter(~F.contains("term", F.lit(" ")) & ((C("lowest") < 50) | C("noted") | (C("lowest") < C("highest"))))
 
 
-def derive_maps(corpus: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(kind, term, value): joined forms, transliterations and coded aliases; terms with a manual override are left to it."""
+def derive_maps(corpus: DataFrame, overrides: DataFrame, ambiguous: DataFrame | None = None) -> DataFrame:
+    """(kind, term, value): joined forms, transliterations, coded aliases, the rate of an alias and food hints; terms with a manual override are left to it.
+
+    rate: the label of an alias code of 4, 6 or 8 digits, by its chapter (fixed.ALIAS_RATES, else fixed.ALIAS_RATE). food: lone words that are
+    not `ambiguous` (term; ambiguous_terms by default), with the English term, a bar, and a code of 4, 6 or 8 digits if there is one.
+    """
     joined = corpus.filter(F.contains("term", F.lit(" "))).select(F.lit("joined").alias("kind"), F.replace("term", F.lit(" "), F.lit("")).alias("term"), C("term").alias("value"))
     translit = corpus.filter("english is not null and language <> 'en'").select(F.lit("translit").alias("kind"), "term", C("english").alias("value"))
     alias = corpus.filter("hsn_code is not null").select(F.lit("alias").alias("kind"), "term", C("hsn_code").alias("value"))
-    derived = joined.union(translit).union(alias).groupBy("kind", "term").agg(F.min("value").alias("value"))
+    unclear = (ambiguous_terms(corpus) if ambiguous is None else ambiguous).select("term").distinct()
+    code = codes.digits(C("hsn_code"))
+    lone = corpus.filter("trim(term) <> '' and not contains(trim(term), ' ') and trim(english) <> ''").join(unclear, "term", "left_anti")
+    food = lone.select(F.lit("food").alias("kind"), "term", F.concat(F.lower(F.trim("english")), F.lit("|"), F.when(F.length(code).isin(4, 6, 8), code).otherwise("")).alias("value"))
+    found = joined.union(translit).union(alias).union(food).groupBy("kind", "term").agg(F.min("value").alias("value"))
+    chapter = F.substring("value", 1, 2)
+    rate = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in fixed.ALIAS_RATES.items() for x in pair]), chapter), F.lit(fixed.ALIAS_RATE))
+    rates = found.filter(C("kind") == "alias").withColumn("value", codes.digits(C("value"))).filter(F.length("value").isin(4, 6, 8))
+    derived = found.unionByName(rates.select(F.lit("rate").alias("kind"), "term", codes.rate_label(rate).alias("value")))
     return derived.join(overrides.select("kind", "term"), ["kind", "term"], "left_anti").unionByName(overrides)
 
 
@@ -150,6 +162,23 @@ def seed_brands(misses: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
     return kept.groupBy("brand", "n").agg(F.max(F.when(C("r") == middle, C("name"))).alias("representative"), F.sort_array(F.collect_list(F.when(C("r") <= most, C("name")))).alias("products"))
 
 
+def learn_brands(misses: DataFrame, classify, floor: int = 65, least: int = 2, most: int = 50) -> DataFrame:
+    """(brand, hsn_code, confidence, n, representative, products): the brands of seed_brands whose representative gets a code.
+
+    classify takes queries (query_id, text) and gives (query_id, hsn_code, confidence); a code counts from confidence `floor` on and is filled to
+    8 digits on the left. Only one name of each brand is classified.
+    """
+    seeds = seed_brands(misses, least, most)
+    sure = classify(seeds.select(C("brand").alias("query_id"), C("representative").alias("text"))).filter((C("confidence") >= floor) & ~codes.is_unclassified(C("hsn_code")))
+    return seeds.join(sure.select(C("query_id").alias("brand"), codes.clean_hsn(C("hsn_code")).alias("hsn_code"), "confidence"), "brand").select("brand", "hsn_code", "confidence", "n", "representative", "products")
+
+
+def brand_products(learned: DataFrame) -> DataFrame:
+    """(description, key, brand, hsn_code): one catalog row per product of the learned brands; of equal keys the first in order of brand and description."""
+    rows = learned.select("brand", "hsn_code", F.explode("products").alias("description")).select("description", F.upper(F.trim("description")).alias("key"), "brand", "hsn_code")
+    return first_per(rows, "key", "brand", "description")
+
+
 def split_hits(results: DataFrame) -> DataFrame:
     """results plus hit and reason of a miss, in a fixed order."""
     reason = F.when(C("hsn_code").isNull(), "no code").when(codes.is_unclassified(C("hsn_code")), "placeholder").when(C("gst_rate").isNull(), "no rate").when(C("review"), "review").when(C("confidence") < 70, "low confidence")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from dutymark.functions import fixed, sound, text
 from dutymark.operators import ratios, vectors, wordsearch
-from dutymark.operators.lookups import first_per, top_per
+from dutymark.operators.containment import contained
+from dutymark.operators.lookups import code_prefixes, first_per, top_per
 
 C = F.col
 
@@ -230,24 +231,45 @@ def rerank(cands: DataFrame, k: int) -> DataFrame:
     return top_per(scored, "query_id", k, F.desc("reranked"), "old_rank", "hsn_code", rank="new_rank").select("query_id", "hsn_code", "reranked", "new_rank")
 
 
-def lexical_score(cands: DataFrame) -> DataFrame:
+def lexical_score(cands: DataFrame, prefixes: DataFrame | None = None, domains: tuple[str, ...] = (), synonyms: dict = fixed.SYNONYMS) -> DataFrame:
     """(query_id, id, lexical): words weighted by rarity among the candidates of their own query, 0.74 of that and 0.26 of the base score.
 
-    A word in the text counts whole, in the category 0.75; a phrase of up to four words adds 0.12, else all of the first three 0.06.
+    Candidates are (query_id, query, id, hsn_code, description, category, base). A product word of the query weighs its rarity, 0.25 more from
+    five letters on and 0.35 more among `domains`; it counts whole in the text, 0.75 in the category, 0.55 by a synonym in either. A brand
+    weighs 2.8 and its rarity and counts 1.25 if the text names it; a text with other brands only loses 0.16. A phrase of up to four words adds
+    0.12, else all of the first three 0.06. Where `prefixes` (query_id, prefixes) has code beginnings for the query, a code under one adds
+    0.08, any other code loses 0.06. Queries without words keep the base score.
     """
-    base = cands.select("query_id", "id", "base", text.tokenize(C("query")).alias("q"), F.array_distinct(text.tokenize(C("description"))).alias("d"), F.array_distinct(text.tokenize(C("category"))).alias("c"), F.lower("description").alias("low"))
-    base = base.withColumn("q", F.array_distinct("q"))
+    kept = text.word_list(fixed.BRANDS)
+    words = C("f.product_tokens")
+    base = cands.select(
+        "query_id", "id", "base", "hsn_code", text.query_fields(C("query")).alias("f"), F.array_distinct(text.tokenize(C("description"))).alias("d"),
+        F.filter(F.array_distinct(text.tokenize(C("description"), True)), lambda t: F.array_contains(kept, t)).alias("named"),
+        F.array_distinct(text.tokenize(C("category"))).alias("c"), F.lower("description").alias("low"),
+    ).withColumn("held", F.array_union(F.array_union("d", "c"), C("named")))
     n = base.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    df = base.select("query_id", "id", F.explode(F.array_union("d", "c")).alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("df"))
-    words = base.select("query_id", "id", F.explode("q").alias("word"), "d", "c").join(n, "query_id").join(df, ["query_id", "word"], "left")
-    weight = F.log((C("n") + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)) + 1.0 + F.when(F.length("word") >= 5, 0.25).otherwise(0.0)
-    won = F.when(F.array_contains("d", C("word")), weight).when(F.array_contains("c", C("word")), weight * 0.75).otherwise(0.0)
-    sums = words.groupBy("query_id", "id").agg((F.sum(won) / F.sum(weight)).alias("share"))
-    long_words = F.filter("q", lambda w: F.length(w) >= 3)
+    df = base.select("query_id", F.explode("held").alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("df"))
+    asked = base.select("query_id", "id", "d", "c", "named", "held", F.explode("f.all_tokens").alias("word")).withColumn("brand", F.array_contains(kept, C("word")))
+    asked = asked.join(n, "query_id").join(df, ["query_id", "word"], "left")
+    rarity = F.log((C("n") + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)) + 1.0
+    weight = rarity + F.when(C("brand"), 2.8).otherwise(F.when(F.length("word") >= 5, 0.25).otherwise(0.0) + F.when(C("word").isin(list(domains)), 0.35).otherwise(0.0))
+    alike = F.arrays_overlap(text.expand_synonyms(F.array("word"), synonyms), C("held"))
+    share = (
+        F.when(C("brand"), F.when(F.array_contains("named", C("word")), 1.25).otherwise(0.0))
+        .when(F.array_contains("d", C("word")), 1.0).when(F.array_contains("c", C("word")), 0.75).when(alike, 0.55).otherwise(0.0)
+    )
+    sums = asked.groupBy("query_id", "id").agg((F.sum(weight * share) / F.sum(weight)).alias("share"))
+    clash = F.when((F.size("f.brand_tokens") > 0) & (F.size("named") > 0) & ~F.arrays_overlap("f.brand_tokens", "named"), 0.16).otherwise(0.0)
+    long_words = F.filter(words, lambda w: F.length(w) >= 3)
     phrase = F.array_join(F.slice(long_words, 1, 4), " ")
-    plus = F.when((phrase != "") & F.contains("low", phrase), 0.12).when((F.size(long_words) > 0) & (F.size(F.array_except(F.slice(long_words, 1, 3), F.array_union("d", "c"))) == 0), 0.06).otherwise(0.0)
+    plus = F.when((phrase != "") & F.contains("low", phrase), 0.12).when((F.size(long_words) > 0) & (F.size(F.array_except(F.slice(long_words, 1, 3), "held")) == 0), 0.06).otherwise(0.0)
     out = base.join(sums, ["query_id", "id"], "left")
-    score = F.when(F.size("q") == 0, C("base")).otherwise((F.coalesce("share", F.lit(0.0)) + plus) * 0.74 + F.greatest("base", F.lit(0.0)) * 0.26)
+    chapter = F.lit(0.0)
+    if prefixes is not None:
+        out = out.join(prefixes.select("query_id", "prefixes"), "query_id", "left")
+        under = F.exists("prefixes", lambda p: F.startswith("hsn_code", p))
+        chapter = F.when((F.coalesce(F.size("prefixes"), F.lit(0)) <= 0) | (F.coalesce("hsn_code", F.lit("")) == ""), 0.0).when(under, 0.08).otherwise(-0.06)
+    score = F.when(F.size("f.all_tokens") == 0, C("base")).otherwise((F.coalesce("share", F.lit(0.0)) - clash + plus + chapter) * 0.74 + F.greatest("base", F.lit(0.0)) * 0.26)
     return out.select("query_id", "id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 9).alias("lexical"))
 
 
@@ -330,6 +352,24 @@ def similar_terms(words: DataFrame, aliases: DataFrame, floor: float = 0.50, sou
     return top_per(hits, "word", most, F.desc("similarity"), F.desc("weight"), "english", rank="__r").drop("__r")
 
 
+def search_by_language(queries: DataFrame, aliases: DataFrame, tariff: DataFrame, k: int, floor: float = 0.30) -> DataFrame:
+    """(query_id, hsn_code, weight, rank): tariff rows whose code is or begins with the code of an alias; weight first, then the shorter code.
+
+    An alias (alias, code, weight, language) counts if it is the query, holds it, or has a trigram similarity of `floor` or more, letters'
+    case aside, and is of the query's language where queries have a column language. Empty queries and aliases without a code find nothing.
+    """
+    by_language = ["language"] if "language" in queries.columns else []
+    asked = queries.select("query_id", text.squeeze(F.lower("text")).alias("said"), *by_language).filter("said <> ''")
+    known = aliases.filter("alias <> '' and code <> ''").select(F.lower("alias").alias("known"), C("code").alias("prefix"), "weight", *by_language)
+    said, terms = asked.select("said").distinct(), known.select("known").distinct()
+    inside = contained(terms.select(C("known").alias("text")), said.select(C("said").alias("keyword"))).select(C("keyword").alias("said"), C("text").alias("known"))
+    near = trgm_pairs(said.select(C("said").alias("a")), terms.select(C("known").alias("b")), floor).select(C("a").alias("said"), C("b").alias("known"))
+    pairs = inside.union(near).distinct()
+    found = asked.join(pairs, "said").join(known, ["known", *by_language]).groupBy("query_id", "prefix").agg(F.max("weight").alias("weight"))
+    hits = found.join(code_prefixes(tariff.select("hsn_code").distinct()), "prefix").groupBy("query_id", "hsn_code").agg(F.max("weight").alias("weight"))
+    return top_per(hits, "query_id", k, F.desc("weight"), F.length("hsn_code"), "hsn_code")
+
+
 def expand_query(queries: DataFrame, aliases: DataFrame, floor: float = 0.50, sound_floor: float = 0.40) -> DataFrame:
     """(query_id, expanded): each word with an alias gives way to the English term: that of an equal term, else of the similar one (similar_terms)
     with the greatest weight times similarity."""

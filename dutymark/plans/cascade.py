@@ -167,9 +167,18 @@ def classify_bulk(rows: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
 
 
 def to_bulk_result(df: DataFrame) -> DataFrame:
-    """Outward rows: authoritative, needs review, or empty; confidence as a share."""
+    """Outward rows: authoritative, needs review, or empty; confidence as a share.
+
+    Where df has alternates (array of hsn_code, score), their valid codes follow as alternate_codes and alternate_scores in the same order,
+    codes for display, scores over 1 as hundredths; no score or 0 counts as 0.5. Empty rows have none.
+    """
     state = F.when(C("hsn_code").isNull(), "empty").when(L.is_authoritative(C("hsn_code"), C("gst_rate"), C("confidence"), C("review")), "ok").otherwise("needs review")
-    return df.select("row_id", "query", F.when(state != "empty", C("hsn_code")).alias("hsn_code"), state.alias("state"), F.round(C("confidence") / 100.0, 4).alias("score"), text.confidence_label(C("confidence") / 100.0).alias("label"))
+    out = [C("row_id"), C("query"), F.when(state != "empty", C("hsn_code")).alias("hsn_code"), state.alias("state"), F.round(C("confidence") / 100.0, 4).alias("score"), text.confidence_label(C("confidence") / 100.0).alias("label")]
+    if "alternates" in df.columns:
+        listed = F.transform(F.coalesce("alternates", F.array().cast(df.schema["alternates"].dataType)), lambda a: F.struct(codes.display_code(a["hsn_code"]).alias("code"), a["hsn_code"].alias("raw"), F.coalesce(F.nullif(a["score"].cast("double"), F.lit(0.0)), F.lit(0.5)).alias("score")))
+        valid = F.when(state == "empty", F.array().cast("array<struct<code:string,raw:string,score:double>>")).otherwise(F.filter(listed, lambda a: (F.coalesce(a["code"], F.lit("")) != "") & ~codes.is_unclassified(a["raw"]) & ~codes.is_unclassified(a["code"])))
+        out += [F.transform(valid, lambda a: a["code"]).alias("alternate_codes"), F.transform(valid, lambda a: F.round(F.when(a["score"] > 1, a["score"] / 100.0).otherwise(a["score"]), 4)).alias("alternate_scores")]
+    return df.select(*out)
 
 
 def analyze_pending(pending: DataFrame, matcher) -> DataFrame:

@@ -9,7 +9,7 @@ from dutymark.operators import lookups as L
 from dutymark.operators import similarity as S
 from dutymark.plans import cascade as W
 from dutymark.queries.lookups import ALIASES, CANON, CHAPTER, DIG, EXACT, FOOD, KEY, WORD_ROWS, WORDS, as_queries, rule_table
-from dutymark.queries.scalars import NO_SIZE, NOISE, POS_SQL, R1_TRI, SYN_SQL, TYPOS_SQL, chain_sql, listed, squeeze, tokens_sql
+from dutymark.queries.scalars import NAME_SQL, NO_SIZE, NOISE, POS_SQL, R1_TRI, SAC, SYN_SQL, TYPOS_SQL, chain_sql, listed, squeeze, tokens_sql
 from dutymark.queries.similarity import SCOPE, SIM, fts_sql
 from dutymark.registry import query
 from dutymark.sources import files
@@ -254,11 +254,16 @@ def _(q, c, a, t, h):
     return W.classify_bulk(q, refs(c, a, t, h))
 
 
-@query("w10_to_bulk_result", "v_codes", f"""with b as ({BULK}), r as (select *, case row_id % 3 when 0 then null else 18.0 end as gst_rate from b)
-select row_id, query, hsn_code, case when hsn_code is null then 'empty' when regexp_full_match(hsn_code, '[0-9]{{4}}|[0-9]{{6}}|[0-9]{{8}}') and hsn_code not in ('99999999', '00000000') and gst_rate is not null and confidence >= 70 and not review then 'ok' else 'needs review' end as state, round(confidence / 100.0, 4)::double as score, case when confidence >= 80 then 'high' when confidence >= 55 then 'medium' else 'low' end as label from r""")
+@query("w10_to_bulk_result", "v_codes", f"""with b as ({BULK}), r as (select *, case row_id % 3 when 0 then null else 18.0 end as gst_rate from b),
+e as (select id as row_id, unnest([1, 2, 3, 4]) as pos, unnest([code, '99999999', substr(code, 1, 4), name[1:0]]) as code, unnest([id % 150, 90, 0.62, null]) as s from v_codes where id % 4 <> 0 and id % 10 <> 0),
+o as (select row_id, pos, code as raw, case when {SAC} then substr({DIG('code')}, 1, 6) when len({DIG('code')}) < 8 then rpad({DIG('code')}, 8, '0') else {DIG('code')} end as code, coalesce(nullif(s::double, 0), 0.5) as s from e),
+l as (select row_id, list(code order by pos) as alternate_codes, list(round(case when s > 1 then s / 100.0 else s end, 4)::double order by pos) as alternate_scores from o where coalesce(raw, '') not in ('', '99999999', '00000000') and code not in ('', '99999999', '00000000') group by 1)
+select row_id, query, hsn_code, case when hsn_code is null then 'empty' when regexp_full_match(hsn_code, '[0-9]{{4}}|[0-9]{{6}}|[0-9]{{8}}') and hsn_code not in ('99999999', '00000000') and gst_rate is not null and confidence >= 70 and not review then 'ok' else 'needs review' end as state, round(confidence / 100.0, 4)::double as score, case when confidence >= 80 then 'high' when confidence >= 55 then 'medium' else 'low' end as label,
+case when hsn_code is null then [] else coalesce(alternate_codes, []) end as alternate_codes, case when hsn_code is null then [] else coalesce(alternate_scores, []) end as alternate_scores from r left join l using (row_id)""")
 def _(c):
-    b = c.selectExpr("id as row_id", "name as query", "case id % 4 when 0 then null else code end as hsn_code", "cast(id % 101 as int) as confidence", "id % 6 = 0 as review", "case id % 3 when 0 then null else 18.0D end as gst_rate")
-    return W.to_bulk_result(b)
+    listed = "array(struct(code as hsn_code, cast(id % 150 as double) as score), struct('99999999' as hsn_code, 90D as score), struct(substring(code, 1, 4) as hsn_code, 0.62D as score), struct('' as hsn_code, cast(null as double) as score))"
+    rows = c.selectExpr("id as row_id", "name as query", "case id % 4 when 0 then null else code end as hsn_code", "cast(id % 101 as int) as confidence", "id % 6 = 0 as review", "case id % 3 when 0 then null else 18.0D end as gst_rate", f"case when id % 10 <> 0 then {listed} end as alternates")
+    return W.to_bulk_result(rows)
 
 
 def tariff_matcher(t, floor=0.3):
@@ -266,7 +271,9 @@ def tariff_matcher(t, floor=0.3):
     return lambda q: S.trgm_topk(q, one, floor, 1).select("query_id", C("id").alias("hsn_code"), C("similarity").alias("score"))
 
 
-@query("w11_analyze_pending", "v_text v_tariff")
+@query("w11_analyze_pending", "v_text v_tariff", f"""with names as ({NAME_SQL}), v as (select id, 0 as variant, text from v_text union all select id, 1, case when regexp_matches(text, '[^\\x00-\\x7F]') then trim(text) else name end from v_text left join names using (id)),
+u as (select text, {R1_TRI('text')} as ta from (select distinct text from v)), t as (select hsn_code, {R1_TRI('min(description)')} as tb from v_tariff group by 1), b as (select text, hsn_code, round({SIM('ta', 'tb')}, 9) as score from u, t where {SIM('ta', 'tb')} > 0.3 qualify row_number() over (partition by text order by {SIM('ta', 'tb')} desc, hsn_code) = 1)
+select id, cast(variant as int) as variant, hsn_code, score, case when score >= 0.80 then 'update' else 'review' end as action from v join b using (text) qualify row_number() over (partition by id order by score desc, variant, hsn_code) = 1""")
 def _(x, t):
     return W.analyze_pending(x.select("id", "text"), tariff_matcher(t))
 
@@ -329,10 +336,17 @@ def _(x, t):
     return W.retry_with_core(as_queries(x, "id", "text"), tariff_matcher(t, 0.2))
 
 
-@query("r19_expansions", "v_text")
+KNOWN = (("blue", "azure", "32041100", 2.0), ("blue", "navy", "32041200", 1.0), ("gear", "cog", "84834000", 1.0), ("steel", "metal", None, 1.5))
+KNOWN_ROWS = ", ".join(f"('{t}', '{e}', {'null' if c is None else repr(c)}, {w})" for t, e, c, w in KNOWN)
+
+
+@query("r19_expansions", "v_text", f"""with a(term, english, code, weight) as (values {KNOWN_ROWS}), g as (select *, row_number() over (partition by term order by weight desc, english) as r from a qualify r <= 4),
+q as (select id as query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') as l from v_text), w as (select query_id, unnest(range(len(l))) as pos, unnest(l) as word from q),
+e as (select query_id, pos, r, english, code from w join g on term = word union all select query_id, pos, 100 + i, s[i + 1], null from (select query_id, pos, coalesce({SYN_SQL}[word], [])[1:3] as s, unnest(range(len(coalesce({SYN_SQL}[word], [])[1:3]))) as i from w)),
+f as (select query_id, english, min((pos, r)) as first from e group by 1, 2), h as (select query_id, code, min((pos, r)) as first from e where code is not null group by 1, 2), c as (select query_id, list(code order by first)[1:8] as codes from h group by 1)
+select query_id, list(english order by first)[1:12] as expanded, coalesce(any_value(codes), []) as codes from f left join c using (query_id) group by 1""")
 def _(x):
-    known = x.sparkSession.createDataFrame([("blue", "azure", "32041100", 2.0), ("blue", "navy", "32041200", 1.0), ("gear", "cog", "84834000", 1.0)], "term string, english string, code string, weight double")
-    return S.expansions(as_queries(x, "id", "text"), known)
+    return S.expansions(as_queries(x, "id", "text"), x.sparkSession.createDataFrame(list(KNOWN), "term string, english string, code string, weight double"))
 
 
 SAME = EXACT.replace("row_id as query_id", "id as query_id").replace("upper(query)", "upper(text)").replace("from v_queries", "from v_text")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from dutymark.functions import fixed
 from dutymark.operators import lookups as L
-from dutymark.queries.scalars import NO_SIZE, SYN_SQL, chain_sql, listed, squeeze, tokens_sql
+from dutymark.operators import similarity as S
+from dutymark.queries.scalars import NO_SIZE, R1_TRI, SYN_SQL, chain_sql, listed, squeeze, tokens_sql
 from dutymark.registry import query
 
 C = F.col
@@ -230,11 +231,20 @@ def _(c):
     return L.apply_amendments(c.selectExpr("id", "case id % 4 when 0 then '21069099' when 1 then '21069011' when 2 then '04015000' else code end as hsn_code"), table)
 
 
-@query("j16_search_by_language", "v_queries v_alias v_tariff", f"""with q as (select row_id as query_id, {squeeze('lower(query)')} as p from v_queries), f as (select distinct query_id, code, cast(code[1:2] as int) / 50.0 as weight from q join v_alias on contains(' ' || p || ' ', ' ' || alias || ' ')),
-h as (select query_id, hsn_code, max(weight) as weight from f join (select distinct hsn_code from v_tariff) t on starts_with(hsn_code, code) group by 1, 2)
+#: Languages of the searches: by the id of a text, by the letters of an alias. Each third text asks with its first word.
+LANGUAGE_SQL = "['hi', 'ml', 'en'][1 + {} % 3]"
+
+
+@query("j16_search_by_language", "v_text v_alias v_tariff", f"""with q as (select id as query_id, {squeeze("lower(case when id % 300 = 0 then split_part(text, ' ', 1) else text end)")} as p, {LANGUAGE_SQL.format('(id // 100)')} as language from v_text where id % 100 = 0), a as (select *, {LANGUAGE_SQL.format('len(alias)')} as language, cast(code[1:2] as int) / 50.0 as weight from v_alias),
+t as (select p, {R1_TRI('p')} as ta from q group by p), b as (select alias, {R1_TRI('alias')} as tb from v_alias), m as (select p, alias from t, b where contains(alias, p) or len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb))) >= 0.3),
+f as (select query_id, code, max(weight) as weight from q join m using (p) join a using (alias, language) group by 1, 2), h as (select query_id, hsn_code, max(weight)::double as weight from f join (select distinct hsn_code from v_tariff) t on starts_with(hsn_code, code) group by 1, 2)
 select *, cast(row_number() over (partition by query_id order by weight desc, len(hsn_code), hsn_code) as int) as rank from h qualify rank <= 5""")
 def _(q, a, t):
-    return L.search_by_language(as_queries(q), a.withColumn("weight", F.substring("code", 1, 2).cast("int") / 50.0), t, 5)
+    of = lambda n: F.element_at(F.array(*map(F.lit, ("hi", "ml", "en"))), (n % 3 + 1).cast("int"))
+    said = F.when(C("id") % 300 == 0, F.substring_index("text", " ", 1)).otherwise(C("text"))
+    asked = q.filter("id % 100 = 0").select(C("id").alias("query_id"), said.alias("text"), of(F.floor(C("id") / 100)).alias("language"))
+    known = a.select("alias", "code", (F.substring("code", 1, 2).cast("int") / 50.0).alias("weight"), of(F.length("alias")).alias("language"))
+    return S.search_by_language(asked, known, t, 5)
 
 
 @query("j19_match_regional_alias", "v_queries v_alias", f"""with q as (select row_id as query_id, {squeeze('lower(query)')} as p from v_queries)

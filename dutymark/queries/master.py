@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from dutymark.functions import codes, fixed, text
 from dutymark.operators import master as M
+from dutymark.operators import similarity as S
 from dutymark.queries.lookups import CANON, CHAPTER, DIG, KEY, PREFIXES, RULE_ROWS, rule_table
-from dutymark.queries.scalars import NO_SIZE, SLABS
+from dutymark.queries.scalars import NO_SIZE, R1_TRI, SLABS
+from dutymark.queries.similarity import SIM
 from dutymark.registry import query
 
 C = F.col
@@ -137,10 +139,13 @@ def _(c):
     return M.ambiguous_terms(corpus(c))
 
 
-@query("a14_derive_maps", "v_catalog", f"""with c as ({CORPUS}), o(kind, term, value) as (values ('alias', 'blue', '999'), ('joined', 'x', 'y')), d as (select 'joined' as kind, replace(term, ' ', '') as term, term as value from c where contains(term, ' ') union all select 'translit', term, english from c where english is not null and language <> 'en' union all select 'alias', term, hsn_code from c where hsn_code is not null)
-select kind, term, min(value) as value from d where (kind, term) not in (select (kind, term) from o) group by 1, 2 union all select * from o""")
+@query("a14_derive_maps", "v_catalog", f"""with c as ({CORPUS}), o(kind, term, value) as (values ('alias', 'blue', '999'), ('joined', 'x', 'y')), d as (select 'joined' as kind, replace(term, ' ', '') as term, term as value from c where contains(term, ' ') union all select 'translit', term, english from c where english is not null and language <> 'en' union all select 'alias', term, hsn_code from c where hsn_code is not null
+union all select 'food', term, lower(english) || '|' || case when len(hsn_code) in (4, 6, 8) then hsn_code else '' end from c where term <> ' ' and not contains(term, ' ') and english is not null and term not in (select term from c where ambiguous and ord % 360 = 0)),
+m as (select kind, term, min(value) as value from d group by 1, 2), n as (from m union all select 'rate', term, case when value[1:2] in ('19', '21') then '18%' when value[1:2] = '20' then '12%' else '5%' end from m where kind = 'alias' and len(value) in (4, 6, 8))
+select kind, term, value from n where (kind, term) not in (select (kind, term) from o) union all select * from o""")
 def _(c):
-    return M.derive_maps(corpus(c), c.sparkSession.createDataFrame([("alias", "blue", "999"), ("joined", "x", "y")], "kind string, term string, value string"))
+    x = corpus(c)
+    return M.derive_maps(x, c.sparkSession.createDataFrame([("alias", "blue", "999"), ("joined", "x", "y")], "kind string, term string, value string"), x.filter("ambiguous and ord % 360 = 0"))
 
 
 @query("a15_merge_curated", "v_alias v_catalog", f"""with d as (select lower(split_part(description, ' ', 1) || ' ' || split_part(description, ' ', 2)) as term, min({CANON('raw_code')}[1:6]) as value from v_catalog where id % 2 = 0 group by 1), c as (select alias as term, code as value from v_alias where cast(code[1:2] as int) < 60)
@@ -156,6 +161,15 @@ def _(c):
     return M.seed_brands(c.select(C("description").alias("name")))
 
 
+@query("a16_learn_brands", "v_catalog v_tariff", f"""with m as (select distinct description as name, split_part(description, ' ', 1) as brand from v_catalog), n as (select brand, count(*) as n from m group by 1), r as (select name, brand, row_number() over (partition by brand order by len(name), name) as r, n from m join n using (brand) where n >= 2),
+g as (select brand, n, max(case when r = floor(n / 2) + 1 then name end) as representative, list(name order by name) filter (r <= 50) as products from r group by 1, 2), q as (select *, {R1_TRI('representative')} as ta from g), t as (select hsn_code, {R1_TRI('min(description)')} as tb from v_tariff group by 1),
+b as (select brand, hsn_code, cast(round(round({SIM('ta', 'tb')}, 9) * 100) as int) as confidence, n, representative, products from q, t where {SIM('ta', 'tb')} > 0.3 qualify row_number() over (partition by brand order by {SIM('ta', 'tb')} desc, hsn_code) = 1) from b where confidence >= 40""")
+def _(c, t):
+    one = t.groupBy(C("hsn_code").alias("id")).agg(F.min("description").alias("description"))
+    classify = lambda q: S.trgm_topk(q, one, 0.3, 1).select("query_id", C("id").alias("hsn_code"), F.round(C("similarity") * 100).cast("int").alias("confidence"))
+    return M.learn_brands(c.select(C("description").alias("name")), classify, floor=40)
+
+
 RESULTS = "select id, case id % 5 when 0 then null when 1 then '99999999' else code end as hsn_code, cast(rate as double) as gst_rate, cast(id % 100 as int) as confidence, id % 7 = 0 as review, case id % 3 when 0 then 'exact' when 1 then 'alias' else 'fuzzy' end as layer from v_codes"
 
 

@@ -137,9 +137,12 @@ def _(t):
     return t.filter(text.is_plain(C("text"))).select("id", text.strip_noise(C("text")).alias("plain"))
 
 
-@query("t4_normalize_name", "v_text", f"""with p as (select id, text, regexp_extract_all({chain_sql("upper(trim(text))", fixed.TYPOS)}, '([A-Z0-9_]+|[^A-Z0-9_]+)') as w from v_text where not regexp_matches(text, '[^\\x00-\\x7F]')),
+NAME_SQL = f"""with p as (select id, text, regexp_extract_all({chain_sql("upper(trim(text))", fixed.TYPOS)}, '([A-Z0-9_]+|[^A-Z0-9_]+)') as w from v_text where not regexp_matches(text, '[^\\x00-\\x7F]')),
 q as (select id, {squeeze(chain_sql(f"regexp_replace({squeeze(chain_sql(f'upper({POS_SQL})', NOISE))}, '[()\\[\\]{{}}#@\\\\|^~`]', ' ', 'g')", [(x, " ") for x in fixed.SHAPES]))} as n from p)
-select id, case when regexp_full_match(n, '({"|".join(fixed.LEADING_STOPS)})( ({"|".join(fixed.LEADING_STOPS)}))*') then regexp_extract(n, '[A-Z]+$') else regexp_replace(n, '^(({"|".join(fixed.LEADING_STOPS)}) )+', '') end as name from q""")
+select id, case when regexp_full_match(n, '({"|".join(fixed.LEADING_STOPS)})( ({"|".join(fixed.LEADING_STOPS)}))*') then regexp_extract(n, '[A-Z]+$') else regexp_replace(n, '^(({"|".join(fixed.LEADING_STOPS)}) )+', '') end as name from q"""
+
+
+@query("t4_normalize_name", "v_text", NAME_SQL)
 def _(t):
     return t.filter(text.is_plain(C("text"))).select("id", text.normalize_name(C("text")).alias("name"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dutymark.functions import codes, fixed, text
+from dutymark.operators import lookups as L
 from dutymark.operators import similarity as S
-from dutymark.queries.lookups import CANON, KEY, as_queries
-from dutymark.queries.scalars import NO_SIZE, R1_TRI, SOUNDS, SYN_SQL, tokens_sql
+from dutymark.queries.lookups import CANON, DOMAIN_ROWS, DOMAINS, KEY, RULE_ROWS, as_queries, rule_table
+from dutymark.queries.scalars import NO_SIZE, R1_TRI, SOUNDS, SYN_SQL, listed, tokens_sql
 from dutymark.registry import query
 
 C = F.col
@@ -170,17 +171,28 @@ def _(q, c):
     return S.rerank(found(q, c).join(k, "id").drop("id"), 5)
 
 
-LEX = f"""with {FOUND}, c as (select t.id as query_id, k.id, {tokens_sql('t.text')} as q0, {tokens_sql('k.description')} as d0, {tokens_sql("coalesce(k.category, '')")} as c0, lower(k.description) as low, (k.id % 8) / 8.0::double as base from found o join v_text t on t.id = o.query_id join v_catalog k on k.id = o.id),
-u as (select query_id, id, list_filter(q0, lambda x, i: list_position(q0, x) = i) as q, list_distinct(d0) as d, list_distinct(c0) as c, low, base from c), n as (select query_id, count(*) as n from u group by 1), df as (select query_id, word, count(*) as df from (select query_id, id, unnest(list_distinct(list_concat(d, c))) as word from u) group by 1, 2),
-w as (select query_id, id, unnest(q) as word, d, c from u), x as (select w.*, ln((n + 1.0) / (coalesce(df, 0) + 0.5)) + 1.0 + case when len(word) >= 5 then 0.25 else 0.0 end as weight from w join n using (query_id) left join df using (query_id, word)),
-s as (select query_id, id, sum(case when list_contains(d, word) then weight when list_contains(c, word) then weight * 0.75 else 0.0 end) / sum(weight) as share from x group by 1, 2),
-y as (select u.*, share, list_filter(q, lambda x: len(x) >= 3) as lw from u left join s using (query_id, id))
-select query_id, id, round(least(1.0, greatest(0.0, case when len(q) = 0 then base else (coalesce(share, 0) + case when array_to_string(lw[1:4], ' ') <> '' and contains(low, array_to_string(lw[1:4], ' ')) then 0.12 when len(lw) > 0 and len(list_filter(lw[1:3], lambda x: list_contains(d, x) or list_contains(c, x))) = len(lw[1:3]) then 0.06 else 0 end) * 0.74 + base * 0.26 end)), 9)::double as lexical from y"""
+LEX_DOMAINS = ", ".join(f"'{k}'" for k, _ in DOMAINS)
+LEX = f"""with {FOUND}, c as (select t.id as query_id, k.id, {tokens_sql('t.text', True)} as q0, {tokens_sql('k.description')} as d0, {tokens_sql('k.description', True)} as b0, {tokens_sql("coalesce(k.category, '')")} as c0, lower(k.description) as low, (k.id % 8) / 8.0::double as base, {CANON('k.raw_code')} as code from found o join v_text t on t.id = o.query_id join v_catalog k on k.id = o.id),
+u as (select query_id, id, code, list_filter(q0, lambda x, i: list_position(q0, x) = i) as every, list_filter(list_distinct(b0), lambda x: list_contains({listed(fixed.BRANDS)}, x)) as named, list_distinct(d0) as d, list_distinct(c0) as c, low, base from c),
+v as (select *, list_filter(every, lambda x: list_contains({listed(fixed.BRANDS)}, x)) as b, list_filter(every, lambda x: not list_contains({listed(fixed.BRANDS)}, x)) as q, list_distinct(list_concat(list_concat(d, c), named)) as held from u),
+n as (select query_id, count(*) as n from v group by 1), df as (select query_id, word, count(*) as df from (select query_id, id, unnest(held) as word from v) group by 1, 2),
+w as (select query_id, id, unnest(b) as word, true as brand, d, c, named, held from v union all select query_id, id, unnest(q), false, d, c, named, held from v),
+x as (select w.*, ln((n + 1.0) / (coalesce(df, 0) + 0.5)) + 1.0 + case when brand then 2.8 else case when len(word) >= 5 then 0.25 else 0.0 end + case when word in ({LEX_DOMAINS}) then 0.35 else 0.0 end end as weight from w join n using (query_id) left join df using (query_id, word)),
+s as (select query_id, id, sum(weight * case when brand then case when list_contains(named, word) then 1.25 else 0.0 end when list_contains(d, word) then 1.0 when list_contains(c, word) then 0.75 when list_has_any(coalesce({SYN_SQL}[word], []), held) then 0.55 else 0.0 end) / sum(weight) as share from x group by 1, 2),
+pt as (select id as query_id, {tokens_sql('text', True)} as l from v_text), pw as (select distinct query_id, unnest(list_concat(l, flatten(list_transform(l, lambda x: coalesce({SYN_SQL}[x], []))))) as keyword from pt),
+pr(rule_no, keyword, chapters) as (values {RULE_ROWS}), pd(keyword, prefixes) as (values {DOMAIN_ROWS}), pa as (select query_id, min_by(chapters, rule_no) as prefixes from pw join pr using (keyword) group by 1),
+p as (from pa union all select query_id, flatten(list(prefixes)) from pw join pd using (keyword) where query_id not in (select query_id from pa) group by 1),
+y as (select v.*, share, list_filter(q, lambda x: len(x) >= 3) as lw, case when coalesce(len(prefixes), 0) = 0 or code = '' then 0.0 when len(list_filter(prefixes, lambda z: starts_with(code, z))) > 0 then 0.08 else -0.06 end as chapter from v left join s using (query_id, id) left join p using (query_id))
+select query_id, id, round(least(1.0, greatest(0.0, case when len(every) = 0 then base else (coalesce(share, 0) - case when len(b) > 0 and len(named) > 0 and not list_has_any(b, named) then 0.16 else 0.0 end + chapter
+ + case when array_to_string(lw[1:4], ' ') <> '' and contains(low, array_to_string(lw[1:4], ' ')) then 0.12 when len(lw) > 0 and list_has_all(held, lw[1:3]) then 0.06 else 0 end) * 0.74 + base * 0.26 end)), 9)::double as lexical from y"""
 
 
 @query("r12_lexical_score", "v_text v_catalog", LEX)
 def _(q, c):
-    return S.lexical_score(found(q, c).join(c.select("id", "description", F.coalesce("category", F.lit("")).alias("category"), (C("id") % 8 / 8.0).alias("base")), "id"))
+    rows = c.select("id", codes.canonicalize_hsn(C("raw_code")).alias("hsn_code"), "description", F.coalesce("category", F.lit("")).alias("category"), (C("id") % 8 / 8.0).alias("base"))
+    domains = q.sparkSession.createDataFrame([(k, list(p)) for k, p in DOMAINS], "keyword string, prefixes array<string>")
+    prefixes = L.category_prefixes(as_queries(q.filter("id % 100 = 0"), "id", "text"), rule_table(q.sparkSession), domains)
+    return S.lexical_score(found(q, c).join(rows, "id"), prefixes, tuple(k for k, _ in DOMAINS))
 
 
 @query("r13_weighted_jaccard", "v_text v_catalog", f"""with p as (select t.id, list_distinct({tokens_sql('t.text')}) as q, list_distinct({tokens_sql('c.description')}) as d from v_text t join v_catalog c on t.id = c.id), s as (select *, list_filter(list_distinct(flatten(list_transform(q, lambda x: coalesce({SYN_SQL}[x], [])))), lambda x: not list_contains(q, x)) as o from p),
