@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from dutymark.llm.decontaminate import GAP, MATCH, MIN_SCORE, MISMATCH, SEED, align, drop_copies, find_copies
+from dutymark.llm.decontaminate import GAP, LEAST_SCATTERED, MATCH, MIN_SCORE, MISMATCH, SEED, Block, align, copies_in, drop_copies, find_copies
 from tests.llm.cases import awkward_docs, no_docs
 
 ITEMS = "item_id long, text string, score string"
@@ -93,7 +93,7 @@ def test_awkward_rows(spark):
 
 
 def test_equals_alignment_of_all_pairs(spark):
-    """Every document and item with a common run of SEED words, whatever was inserted or replaced."""
+    """Every document and item, short items with a common run of SEED words, whatever was inserted or replaced."""
     rng = random.Random(5)
     items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for i, n in enumerate((1, 2, 12, 40, 40, 60))]
     rows = []
@@ -112,7 +112,47 @@ def test_equals_alignment_of_all_pairs(spark):
             runs = {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}
             number = {w: k for k, w in enumerate(dict.fromkeys(a + b))}
             score = align(np.array([number[w] for w in a]), np.array([number[w] for w in b]))[0] / (2 * len(a))
-            if score >= MIN_SCORE and any(tuple(a[k : k + n]) in runs for k in range(len(a) - n + 1)):
+            if score >= MIN_SCORE and (len(a) >= LEAST_SCATTERED or any(tuple(a[k : k + n]) in runs for k in range(len(a) - n + 1))):
                 want[d, i] = round(score, 9)
     assert len(want) > 40
     assert {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in find_copies(docs, bench).collect()} == want
+
+
+def test_copies_without_a_run_of_equal_words_are_found(spark):
+    """Every third word replaced, a word put between each two, or every word pair: no n-gram is left."""
+    rng = random.Random(13)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(30 + i))) for i in range(12)]
+    rows, want = [], {}
+    for i, text in items:
+        a = text.split()
+        edits = ([f"e{k}" if k % 3 == 1 else w for k, w in enumerate(a)], [x for k, w in enumerate(a) for x in (w, f"e{k}")][:-1], [x for k, w in enumerate(a) for x in ((w, f"e{k}") if k % 2 else (w,))])
+        for e, words in enumerate(edits):
+            assert not {tuple(a[k : k + 3]) for k in range(len(a) - 2)} & {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+            filler = [[f"w{rng.randrange(3000)}" for _ in range(80)] for _ in range(2)]
+            number = {w: k for k, w in enumerate(dict.fromkeys([*a, *words, *filler[0], *filler[1]]))}
+            whole = filler[0] + words + filler[1]
+            score = align(np.array([number[w] for w in a]), np.array([number[w] for w in whole]))[0] / (MATCH * len(a))
+            assert score >= MIN_SCORE
+            rows.append((3 * i + e, " ".join(whole)))
+            want[3 * i + e, i] = round(score, 9)
+    found = find_copies(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=3000).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in found} == want
+
+
+def test_equals_all_pairs_over_few_words(monkeypatch):
+    """Few different words, so that chance copies, repeated words and scattered matches abound; rare words are read in small parts."""
+    monkeypatch.setattr("dutymark.llm.decontaminate.PLACES", 50)
+    rng = random.Random(17)
+    for words, floor in ((12, 0.45), (40, 0.45), (40, 0.3), (40, 0.6)):
+        rows = [(i, " ".join(f"w{min(rng.randrange(words), rng.randrange(words))}" for _ in range(rng.randrange(8, 40)))) for i in range(25)]
+        block, count = Block.of(rows, floor), 0
+        for _ in range(40):
+            some = lambda n: [rng.randrange(-1, len(block.vocabulary)) for _ in range(n)]
+            edited, rate = [], rng.random()
+            for w in rng.choice(block.items):
+                edited += rng.choice(([], some(1), [w, *some(1)])) if rng.random() < rate else [w]
+            numbers = np.array(some(rng.randrange(0, 60)) + edited + some(rng.randrange(0, 60)), np.int64)
+            want = {i: s for i, x in enumerate(block.items) if (s := align(x, numbers)[0] / (MATCH * len(x))) >= floor}
+            assert {i: s for i, s, *_ in copies_in(numbers, block, floor)} == want
+            count += len(want)
+        assert count >= 10
