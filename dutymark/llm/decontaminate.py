@@ -29,7 +29,7 @@ MATCH, MISMATCH, GAP = 2, -1, 1
 #: Items of fewer words need a run of SEED equal words: a few scattered words are no copy.
 LEAST_SCATTERED = 8
 #: Rare words of an item that must stand close together, as a share of the item and at least.
-CLOSE_SHARE, LEAST_CLOSE = 0.25, 3
+CLOSE_SHARE, LEAST_CLOSE = 0.2, 3
 #: Places of rare words that are looked at in one go.
 PLACES = 1_000_000
 
@@ -58,6 +58,9 @@ class Block:
     close: np.ndarray | None = None
     span: np.ndarray | None = None
     share: np.ndarray | None = None
+    sizes: np.ndarray | None = None
+    #: a mark for each word and one for words of no item; False between uses
+    marks: np.ndarray | None = None
 
     @classmethod
     def of(cls, rows: list[tuple], min_score: float = MIN_SCORE) -> Block:
@@ -82,6 +85,7 @@ class Block:
         other words can be missing, so any len - m + t of its places hold t equal ones. A copy's edits are bounded too, hence its length.
         """
         n = len(self.items)
+        self.sizes, self.marks = np.fromiter((len(x) for x in self.items), np.int64, n), np.zeros(len(self.vocabulary) + 1, bool)
         held = [np.unique(x) for x in self.items]
         spread = np.bincount(np.concatenate([np.empty(0, np.int64), *held]), minlength=len(self.vocabulary) + 1)
         letters = np.fromiter((len(w) for w in self.vocabulary), np.int64, len(self.vocabulary))
@@ -179,10 +183,9 @@ def regions(numbers: np.ndarray, block: Block, min_score: float) -> Iterator[tup
     """(item index, first word, end word, n-grams) of the parts of a text that may hold a copy; those of an item do not overlap."""
     places, found = block.hits(numbers)
     owner, start = block.owner[found], places - block.place[found]
-    sizes = np.fromiter((len(x) for x in block.items), np.int64, len(block.items))
     # words that an alignment can skip before its score falls below min_score
-    reach = (MATCH * sizes[owner] * (1 - min_score)).astype(np.int64) // GAP + 1
-    parts = [(owner, start - reach, start + sizes[owner] + reach, np.ones(len(owner), np.int64))]
+    reach = (MATCH * block.sizes[owner] * (1 - min_score)).astype(np.int64) // GAP + 1
+    parts = [(owner, start - reach, start + block.sizes[owner] + reach, np.ones(len(owner), np.int64))]
     parts += [(i, one - block.span[i], two + block.span[i] + 1, np.zeros(len(i), np.int64)) for i, one, two in block.crowds(numbers)]
     owner, low, high, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
     if not len(owner):
@@ -204,7 +207,10 @@ def copies_in(numbers: np.ndarray, block: Block, min_score: float) -> Iterator[t
         for _, low, high, grams in parts:
             near = numbers[low:high]
             # each matched word must occur
-            if np.isin(item, near).mean() < (min_score if grams else block.share[i]):
+            block.marks[near] = True
+            held = np.count_nonzero(block.marks[item])
+            block.marks[near] = False
+            if held < (min_score if grams else block.share[i]) * len(item):
                 continue
             score, end = align(item, near)
             score = score / (MATCH * len(item))
