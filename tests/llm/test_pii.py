@@ -76,3 +76,34 @@ def test_awkward_rows(spark):
     assert clean.columns == docs.columns
     assert {r["doc_id"]: r["text"] for r in clean.collect()}[10] == "mail [EMAIL] or call [PHONE], card [CARD], host [IP]"
     assert find_personal_data(no_docs(spark)).count() == 0 and redact(no_docs(spark)).count() == 0
+
+
+def test_ibans_before_other_words():
+    from dutymark.llm.pii import ibans
+
+    good = "GB82 WEST 1234 5698 7654 32"
+    for text in (good, f"{good} PLEASE", f"{good} PLEASE PAY NOW", f"AB12 CDEF GHIJ KLMN {good}", f"{good}, DE89370400440532013000 NOW", f"x{good}"):
+        want = [g for g in (good, "DE89370400440532013000") if g in text and not text.startswith("x")]
+        assert [text[s:e] for s, e in ibans(text)] == want
+    assert not list(ibans("GB82 WEST 1234 5698 7654 33 PLEASE")) and not list(ibans("GB82 WEST 1234 5698 7654 32X PLEASE"))
+    assert len(list(ibans((good + " PLEASE ") * 5000))) == 5000
+
+
+def test_query_digests_equal_plain_ones(spark, tmp_path):
+    """base_sha256, spans and counts of the query, over texts with every base kind and awkward rows."""
+    import hashlib
+
+    from dutymark.llm.pii import BASE, entities, op7_pii
+
+    texts = ["mail a.b@c.org or 10.0.0.1", "card 4111 1111 1111 1111, +49 (30) 1234-5678", "999.1.1.1 and 4111 1111 1111 1112", "", None, "\U0001f600 x@y.zz x@y.zz", "GB82 WEST 1234 5698 7654 32 PLEASE"]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0]])] + [(None, texts[1]), (0, texts[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in op7_pii(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans").collect()), key=repr)
+    want = []
+    for i, t in rows:
+        found = [(e["kind"], e["start"], e["end"]) for e in entities(t or "")]
+        base = [f for f in found if f[0] in BASE]
+        digest = hashlib.sha256(",".join("%s:%d:%d" % f for f in base).encode()).hexdigest()
+        want.append((i, *[sum(f[0] == k for f in base) for k in BASE], digest, ",".join("%s:%d:%d" % f for f in found)))
+    assert got == sorted(want, key=repr)
+    assert sorted(sum(r[1:5]) for r in got) == [0, 0, 0, 0, 2, 2, 2, 2, 2, 2]
