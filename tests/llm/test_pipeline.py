@@ -39,4 +39,4 @@ def test_stages_take_awkward_rows(spark, sf_dir, make):
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
