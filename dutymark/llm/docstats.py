@@ -85,6 +85,16 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 
+def labelled(rows: DataFrame, labels: DataFrame, keep=None) -> DataFrame:
+    """The rows of with_stats whose document is labelled, with its quality.
+
+    A label row without quality or id is left out; of several labels of a document the lowest counts.
+    """
+    own = labels.filter("quality is not null and doc_id is not null")
+    if keep is not None:
+        own = own.filter(keep)
+    return rows.join(own.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, salt: str, keep=None) -> DataFrame:
     """The stats of at most `rows` labelled documents and their quality, chosen by a hash of the id.

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dutymark.llm import classifier, quality_rules
@@ -58,6 +59,32 @@ def test_rules_keep_clean_and_reject_junk(spark, sf_dir):
     assert {r["doc_id"] for r in keep_good(docs, forest).collect()} == kept
 
 
+def test_every_labelled_row_counts(spark):
+    late = F.row_number().over(Window.orderBy(F.xxhash64(F.lit("forest"), "doc_id"), "doc_id")) > 20_000
+    rows = spark.range(20_400).withColumnRenamed("id", "doc_id").withColumn("bad", late)
+    plain = F.concat(*[F.concat(F.lit(f"word{k}x"), F.col("doc_id") % (k + 7), F.lit(" ")) for k in range(15)])
+    docs = rows.select("doc_id", F.when(F.col("bad"), F.concat(plain, F.lit("### !!! $$$ ### !!!"))).otherwise(plain).alias("text"), "bad")
+    labels = rows.select("doc_id", F.when(F.col("bad"), 0).otherwise(1).alias("quality"))
+    kept = judge(docs.select("doc_id", "text"), fit_forest(docs.select("doc_id", "text"), labels)).filter("kept").join(docs, "doc_id").groupBy("bad").count().collect()
+    assert {r["bad"]: r["count"] for r in kept} == {False: 20_000}
+
+
+def test_trees_count_all_rows():
+    x = np.random.default_rng(3).beta(1, 9, (5000, 3))
+    forest = Forest.grow(x, np.zeros(3), np.ones(3), trees=5)
+    for root in forest.roots.tolist():
+        todo = [(root, np.arange(len(x)), 0)]
+        while todo:
+            node, own, depth = todo.pop()
+            share = len(own) * quality_rules.TREE_ROWS / len(x)
+            if forest.feature[node] < 0:
+                assert (share < 2 or depth == 16) and np.isclose(forest.path[node], depth + quality_rules.harmonic_depth(share))
+            else:
+                assert share >= 2 and depth < 16
+                right = x[own, forest.feature[node]] >= forest.cut[node]
+                todo += [(int(forest.left[node]) + side, own[right == side], depth + 1) for side in (0, 1)]
+
+
 def test_rules_on_awkward_rows(spark):
     docs = awkward_docs(spark)
     empty = spark.createDataFrame([], LABELS)
