@@ -94,17 +94,3 @@ def labelled(rows: DataFrame, labels: DataFrame, keep=None) -> DataFrame:
     if keep is not None:
         own = own.filter(keep)
     return rows.join(own.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, salt: str, keep=None) -> DataFrame:
-    """The stats of at most `rows` labelled documents and their quality, chosen by a hash of the id.
-
-    A label row without quality or id is left out; of several labels of a document the lowest counts.
-    Only ids and labels are compared before the cut; the texts join that bounded list.
-    """
-    own = labels.filter("quality is not null and doc_id is not null")
-    if keep is not None:
-        own = own.filter(keep)
-    own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = own.orderBy(F.xxhash64(F.lit(salt), F.col("doc_id")), "doc_id").limit(rows)
-    return with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")

@@ -59,14 +59,26 @@ def test_rules_keep_clean_and_reject_junk(spark, sf_dir):
     assert {r["doc_id"] for r in keep_good(docs, forest).collect()} == kept
 
 
-def test_every_labelled_row_counts(spark):
-    late = F.row_number().over(Window.orderBy(F.xxhash64(F.lit("forest"), "doc_id"), "doc_id")) > 20_000
-    rows = spark.range(20_400).withColumnRenamed("id", "doc_id").withColumn("bad", late)
+def rows_with_late_bad_ones(spark, salt, n):
+    """Documents and labels; the bad ones are those after the first n in the order of a hash."""
+    late = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id")) > n
+    rows = spark.range(n + 400).withColumnRenamed("id", "doc_id").withColumn("bad", late)
     plain = F.concat(*[F.concat(F.lit(f"word{k}x"), F.col("doc_id") % (k + 7), F.lit(" ")) for k in range(15)])
-    docs = rows.select("doc_id", F.when(F.col("bad"), F.concat(plain, F.lit("### !!! $$$ ### !!!"))).otherwise(plain).alias("text"), "bad")
-    labels = rows.select("doc_id", F.when(F.col("bad"), 0).otherwise(1).alias("quality"))
-    kept = judge(docs.select("doc_id", "text"), fit_forest(docs.select("doc_id", "text"), labels)).filter("kept").join(docs, "doc_id").groupBy("bad").count().collect()
-    assert {r["bad"]: r["count"] for r in kept} == {False: 20_000}
+    text = F.when(F.col("bad"), F.concat(plain, F.lit("### !!! $$$ ### !!!"))).otherwise(plain)
+    return rows.select("doc_id", text.alias("text")), rows.select("doc_id", F.when(F.col("bad"), 0).otherwise(1).alias("quality"))
+
+
+def test_every_labelled_row_counts(spark):
+    docs, labels = rows_with_late_bad_ones(spark, "forest", 20_000)
+    kept = judge(docs, fit_forest(docs, labels)).filter("kept").join(labels, "doc_id").groupBy("quality").count().collect()
+    assert {r["quality"]: r["count"] for r in kept} == {1: 20_000}
+
+
+def test_classifier_learns_from_every_labelled_row(spark):
+    docs, labels = rows_with_late_bad_ones(spark, "kernel", 30_000)
+    found = classifier.score(docs, classifier.fit(docs, labels)).join(labels, "doc_id").groupBy("quality").agg(F.min("score").alias("least"), F.max("score").alias("most")).collect()
+    found = {r["quality"]: r for r in found}
+    assert found[0]["most"] < 0.3 <= found[1]["least"]
 
 
 def test_trees_count_all_rows():
