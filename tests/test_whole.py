@@ -1,6 +1,7 @@
 """Queries do their whole job: nothing is left out for its length, frequency or place."""
 
 from dutymark.operators import lookups as L
+from dutymark.operators import similarity as S
 
 
 def test_aliases_of_any_length_are_found(spark):
@@ -8,3 +9,11 @@ def test_aliases_of_any_length_are_found(spark):
     texts = {1: "one two three four five", 2: "One two three four five, more", 3: "more one two three four five six", 4: "abc six seven eight nine ten eleven twelve", 5: "xabc", 6: "one two three four", 7: "six", 8: "one one two three four five"}
     asked = spark.createDataFrame(list(texts.items()), "query_id long, text string")
     assert {r["query_id"]: r["code"] for r in L.match_alias(asked, aliases).collect()} == {1: "5", 2: "5", 3: "5", 4: "7", 6: "2", 8: "5"}
+
+
+def test_every_text_of_a_code_counts_in_match_tariff(spark):
+    tariff = spark.createDataFrame([("01", "aaa first text"), ("01", "copper kettle"), ("02", "copper kettles of zinc"), ("03", "copper kettle"), ("03", "zzz"), ("04", None)], "hsn_code string, description string")
+    catalog = spark.createDataFrame([("01",), ("01",), ("02",)], "hsn_code string")
+    got = S.match_tariff(spark.createDataFrame([(1, "copper kettle")], "query_id long, text string"), tariff, catalog, k=2)
+    assert [(r["hsn_code"], r["volume"], r["rank"]) for r in got.orderBy("rank").collect()] == [("01", 2, 1), ("02", 1, 2)]
+    assert got.filter("rank = 1").first()["similarity"] == 1.0
