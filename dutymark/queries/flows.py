@@ -433,10 +433,12 @@ def _(x, c):
 
 @query("w14_hybrid_vectors", "v_text v_catalog embeddings")
 def _(x, c, e):
-    # texts and catalog rows have the vectors of their ids; the index answers for the texts whose id is divisible by 100
-    e = e.select("vec_id", C("embedding").alias("vector"))
-    near = S.vector_index_topk(e.filter("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), "vector"), e, 10)
-    return W.hybrid_cascade(asked14(x, c), dataset14(c), 5, near.select("query_id", C("vec_id").alias("id"), "score"))
+    # texts and catalog rows have the vectors of their ids; every text that no exact step settles asks all of them
+    def near(q):
+        asked = e.select(C("vec_id").alias("query_id"), C("embedding").alias("vector")).join(q, "query_id", "left_semi")
+        return S.vector_topk(asked, e.select("vec_id", C("embedding").alias("vector")), 10).select("query_id", C("vec_id").alias("id"), "score")
+
+    return W.hybrid_cascade(asked14(x, c), dataset14(c), 5, near)
 
 
 @query("w5_predict_catalog", "v_queries v_catalog v_alias v_tariff")

@@ -1,8 +1,13 @@
 """Queries do their whole job: nothing is left out for its length, frequency or place."""
 
+import numpy as np
+
 from dutymark.operators import lookups as L
 from dutymark.operators import similarity as S
 from dutymark.plans import cascade
+from dutymark.queries import flows
+from dutymark.registry import QUERIES
+from dutymark.views import view
 
 
 def test_aliases_of_any_length_are_found(spark):
@@ -29,3 +34,15 @@ def test_every_text_of_a_code_counts_in_multi_search(spark):
     # the same text by trigrams is 1 and 0.05 of its layer, over 2 / 3 and 0.10 by words
     first, second = ("01010000", "L3_pg_trgm_fuzzy", 1.0), ("02020000", "L2_inverted_index", round(1.4 / 2.4 + 0.10, 4))
     assert got == [(q, n + 1, *row) for q in (1, 2) for n, row in enumerate((first, second))]
+
+
+def test_every_open_text_asks_all_vectors(spark, sf_dir):
+    text, catalog, e = (view(spark, sf_dir, n) for n in ("v_text", "v_catalog", "embeddings"))
+    rows = e.select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows])
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    score = np.round(x @ x.T, 9)
+    near = [(int(ids[i]), int(ids[j]), float(score[i, j])) for i in range(len(ids)) for j in np.lexsort((ids, -score[i]))[:10]]
+    want = cascade.hybrid_cascade(flows.asked14(text, catalog), flows.dataset14(catalog), 5, spark.createDataFrame(near, "query_id long, id long, score double"))
+    plain = lambda df: sorted((r["query_id"], r["rank"], r["hsn_code"], round(r["score"], 6)) for r in df.collect())
+    assert plain(QUERIES["w14_hybrid_vectors"](spark, sf_dir)) == plain(want)
